@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, mixing, packing, pii, simhash, tokenfile, toxicity
+from tidemark.llm import common, html, mixing, packing, pii, simhash, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +22,10 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(common.read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     chain = toxicity.train(docs, common.read(spark, sf_dir, "labels"))

@@ -77,7 +77,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int = 4, most: int = 4000, penalty: float = 0.6, rounds: int = 250) -> Model:
+def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int = 4, most: int = 600, penalty: float = 0.05, rounds: int = 150) -> Model:
     """A model of y (0, 1) on the rows in use: the `most` features that tell most by chi-squared, then L1."""
     n, pos = int(use.sum()), int(y[use].sum())
     if not n or not pos or pos == n:
