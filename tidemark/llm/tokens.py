@@ -6,11 +6,11 @@ the whole text. Each distinct piece is encoded by the library once while it stay
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
-import numpy as np
 
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: A space before a printable character that no Unicode version counts as white space.
@@ -31,7 +31,7 @@ _LONG = 80
 def pieces(text: str) -> list[str]:
     """text cut into parts that byte-level and word BPE encode one by one as in the whole.
 
-    Cuts are made before white space that follows none, and before a comma or stop that follows a
+    Cuts are made before white space that follows none, after a new line, and before a comma or stop that follows a
     letter or digit: places where such tokenizers always end a piece.
     """
     for c in _ODD:
@@ -42,78 +42,70 @@ def pieces(text: str) -> list[str]:
             return _SAFE_GAP.split(text)
     if not _BARE.search(text):
         text = text.replace(",", "\x01,").replace(".", "\x01.")
-    return text.replace("\n", "\x01\n").replace(" ", "\x01 ").split("\x01")
+    return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
 
-class Encoder:
-    """encode() gives the ids of a text as little-endian unsigned 32-bit bytes.
+class _Pieces(dict):
+    """Ids of pieces, in two generations of at most `limit` entries, so memory stays bounded."""
 
-    limit: entries of each of two generations of the cache, so memory stays bounded.
-    """
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+            if len(piece) > _LONG:
+                return ids
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """encode() gives the ids of a text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        # A cut is safe only if no special token can span it.
-        import json
-
+        self.pieces = _Pieces(self._piece, limit)
         spec = json.loads(self.tok.to_str())
+        split = json.dumps(spec["pre_tokenizer"])
         self.model = self.tok.model
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        self.strips = "Removed" in split
         # One word of letters is one piece for either kind of tokenizer; its bytes go straight to the model.
-        self.direct = spec["model"]["type"] == "BPE" and "ByteLevel" in json.dumps(spec["pre_tokenizer"])
-        self.strips = "Removed" in json.dumps(spec["pre_tokenizer"])
+        self.direct = spec["model"]["type"] == "BPE" and "ByteLevel" in split
+        # A cut is safe only if no special token can span it.
         self.cuttable = not any(" " in t.content or "\n" in t.content or t.lstrip or t.rstrip for t in self.tok.get_added_tokens_decoder().values())
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a piece that is one word of Latin letters, perhaps after a space."""
+    def _piece(self, piece: str) -> bytes:
+        if not self.direct or not _WORD.fullmatch(piece):
+            return self._whole(piece)
+        word = piece
         if self.strips:
             word = word.lstrip(" ")
         if self.lower:
             word = word.lower()
-        mapped = word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _keep(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        """Values of missing keys: from the old generation or from the library."""
-        out = {k: self.old.get(k) for k in keys}
-        new = []
-        for k, v in out.items():
-            if v is None:
-                if self.direct and _WORD.fullmatch(k):
-                    out[k] = self._word(k)
-                else:
-                    new.append(k)
-        out.update(zip(new, self._whole(new)))
-        for k, v in out.items():
-            if len(k) <= _LONG:
-                self._keep(k, v)
-        return out
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        elif word[0] == " ":
+            word = "\u0120" + word[1:]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.cuttable:
-            return self._whole([text])[0]
-        keys = pieces(text)
-        found = list(map(self.young.get, keys))
-        if None in found:
-            more = self._learn([k for k, v in zip(keys, found) if v is None])
-            found = [more[k] if v is None else v for k, v in zip(keys, found)]
-        return b"".join(found)
+            return self._whole(text)
+        return b"".join(map(self.pieces.__getitem__, pieces(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
