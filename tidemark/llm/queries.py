@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, html, mixing, packing, pii, simhash, tokenfile, toxicity
+from tidemark.llm import ann, capfilters, common, html, licenses, mixing, packing, pii, simhash, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,10 +22,18 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(common.read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, top=20)
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(common.read(spark, sf_dir, "pages"))
 
 
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.link(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     chain = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
@@ -36,6 +44,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.read(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(common.read(spark, sf_dir, "documents"))
 
