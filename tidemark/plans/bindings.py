@@ -1,23 +1,9 @@
-"""How each operator runs on the synthetic tables: QUERIES by name, and the SQL of each where SQL can express it."""
+"""All queries of the reference's operators on the synthetic tables: QUERIES by name, SQL where it can express them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import core, measures, networks, stories  # noqa: F401  (each registers its queries)
+from tidemark.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "co08_validated_edges"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query (and its SQL) under name."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
