@@ -20,7 +20,7 @@ def count_if(condition: Column) -> Column:
 
 
 def with_pct_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Average rank over the number of non-null values; nulls have none.
+    """Average rank over the number of non-null values (one less that, if descending); nulls have none.
 
     The ranks come from one row per distinct value, so the single ordering task sees values, not rows.
     """
@@ -29,7 +29,7 @@ def with_pct_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = (),
     upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("_n").over(Window.partitionBy(*by))
     rank = (upto - (F.col("_n") - 1) / 2.0) / total
-    ranked = counts.select(*by, column, (1 + 1 / total - rank if descending else rank).alias(out))
+    ranked = counts.select(*by, column, (1 - rank if descending else rank).alias(out))
     return df.join(ranked, [*by, column], "left")
 
 

@@ -180,7 +180,7 @@ def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
         first = {c: names[np.argmax(label == c)] for c in np.unique(label)}  # names are sorted
         size = np.bincount(label, minlength=len(names))
         keep = size[label] > 1
-        return pd.DataFrame({"author_id": names[keep], "cluster_id": [first[c] for c in label[keep]]})
+        return pd.DataFrame({"author_id": names[keep].tolist(), "cluster_id": [str(first[c]) for c in label[keep]]}, dtype=object)
 
     return own.select("component", "src", "dst", "weight").groupBy("component").applyInPandas(optimise, "author_id string, cluster_id string")
 
