@@ -166,13 +166,16 @@ def _compare(keys, lo_a, hi_a, lo_b, hi_b, swapped: bool, batch: int = 1 << 21)
         stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + batch, "right")))
         if size[at] > batch:  # one node of equal paths, too large for a batch: row by row of it
             for i in range(lo_a[at], hi_a[at]):
-                yield from _close(keys, np.full(hi_b[at] - lo_b[at], i), np.arange(lo_b[at], hi_b[at]), swapped)
+                first = i + 1 if lo_a[at] == lo_b[at] else lo_b[at]
+                yield from _close(keys, np.full(hi_b[at] - first, i), np.arange(first, hi_b[at]), swapped)
             at += 1
             continue
         s = size[at:stop]
         k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
         width = np.repeat((hi_b - lo_b)[at:stop], s)
-        yield from _close(keys, np.repeat(lo_a[at:stop], s) + k // width, np.repeat(lo_b[at:stop], s) + k % width, swapped)
+        i, j = np.repeat(lo_a[at:stop], s) + k // width, np.repeat(lo_b[at:stop], s) + k % width
+        once = np.repeat(lo_a[at:stop] != lo_b[at:stop], s) | (i < j)  # a node with itself: each pair once
+        yield from _close(keys, i[once], j[once], swapped)
         at = stop
 
 
