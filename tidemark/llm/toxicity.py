@@ -64,12 +64,20 @@ class Model:
 class Sample:
     """Sparse rows: of nonzero k, row[k] has feature col[k] count[k] times; kind by feature."""
 
-    def __init__(self, rows: list[np.ndarray], kinds: list[np.ndarray], dense: np.ndarray):
-        each = [np.unique(x, return_counts=True, return_index=True) for x in rows]
-        self.row = np.repeat(np.arange(len(rows)), [len(x[0]) for x in each])
-        self.col = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in each]]).astype(np.int64)
-        self.count = np.concatenate([np.zeros(0), *[x[2] for x in each]]).astype(float)
-        self.kind = np.concatenate([np.zeros(0, np.int64), *[k[x[1]] for k, x in zip(kinds, each)]]).astype(np.int64)
+    def __init__(self, rows: list[np.ndarray], kinds: list[np.ndarray], dense: np.ndarray, least: int = 4):
+        """Features of fewer than `least` rows are left out at once: no model could use them."""
+        df = np.zeros(1 << BITS, np.int32)
+        for x in rows:
+            df[np.unique(x)] += 1
+        row, col, count, kind = [], [], [], []
+        for i, (x, k) in enumerate(zip(rows, kinds)):
+            keep = df[x] >= least
+            f, first, n = np.unique(x[keep], return_index=True, return_counts=True)
+            row.append(np.full(len(f), i, np.int32))
+            col.append(f.astype(np.int32))
+            count.append(np.minimum(n, 4).astype(np.int8))
+            kind.append(k[keep][first].astype(np.int8))
+        self.row, self.col, self.count, self.kind = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((row, np.int32), (col, np.int32), (count, np.int8), (kind, np.int8)))
         self.dense, self.n = dense, len(rows)
 
 
@@ -89,12 +97,12 @@ def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int
     with_pos = np.bincount(col, weights=y[row], minlength=1 << BITS)
     expected = df * pos / n
     chi = np.where(df >= least, (with_pos - expected) ** 2 / np.maximum(expected * (1 - pos / n), 1e-9), -1)
-    chosen = np.argsort(-chi, kind="stable")[:most]
+    chosen = np.argsort(-chi, kind="stable")[:most]  # of the fold's own rows: held-out ones stay unseen
     chosen = np.sort(chosen[chi[chosen] > 4])
     to = np.full(1 << BITS, -1)
     to[chosen] = np.arange(len(chosen))
     ok = to[col] >= 0
-    row, col, count = row[ok], to[col[ok]], np.minimum(count[ok], 4)
+    row, col, count = row[ok], to[col[ok]], count[ok].astype(float)
     kind = np.zeros(len(chosen), np.int64)
     kind[col] = s.kind[live][ok]
     cost = np.array([_PENALTY[int(k)] for k in kind]) * penalty
@@ -131,7 +139,7 @@ def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int
 def score(s: Sample, dense: np.ndarray, m: Model) -> np.ndarray:
     table = np.zeros(1 << BITS)
     table[list(m.weights)] = list(m.weights.values())
-    return m.bias + dense @ m.dense + np.bincount(s.row, weights=np.minimum(s.count, 4) * table[s.col], minlength=s.n)
+    return m.bias + dense @ m.dense + np.bincount(s.row, weights=s.count * table[s.col], minlength=s.n)
 
 
 @dataclass
@@ -205,7 +213,7 @@ class _Scorer:
         return [float(_sigmoid(np.array(z))) for z in out]
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Chain:
     """The chain low_quality -> toxic, from at most train_rows labelled documents (the first by a hash of doc_id)."""
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(train_rows)
@@ -223,10 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) -> Chain:
     # At most train_rows labels are broadcast and as many documents' features come back.
     texts = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
     got = texts.mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double")).limit(train_rows)
-    rows = got.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
-    s = Sample([np.frombuffer(x, "<i4") for x in rows["features"]], [np.frombuffer(x, "i1") for x in rows["kinds"]], np.array(rows["dense"].tolist(), float).reshape(len(rows), len(DENSE)))
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["doc_id"]], int)
-    return fit_chain(s, {"low_quality": 1 - rows["quality"].to_numpy(float), "toxic": rows["toxic"].to_numpy(float)}, folds)
+    rows = got.toArrow().sort_by("doc_id")
+    column = {c: rows.column(c) for c in rows.column_names}
+    s = Sample([np.frombuffer(x.as_py(), "<i4") for x in column["features"]], [np.frombuffer(x.as_py(), "i1") for x in column["kinds"]], np.array(column["dense"].to_pylist(), float).reshape(rows.num_rows, len(DENSE)))
+    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in column["doc_id"].to_pylist()], int)
+    return fit_chain(s, {"low_quality": 1 - np.array(column["quality"].to_pylist(), float), "toxic": np.array(column["toxic"].to_pylist(), float)}, folds)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
