@@ -38,22 +38,24 @@ def split_lengths(n: int, length: int) -> list[int]:
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32 (and ids)."""
     schema = common.schema_with(docs, "doc_id", piece="int", start="long", length="long", ids_crc32="long", **({"ids": "array<int>"} if with_ids else {}))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            out: list[list] = [[] for _ in schema.fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                start = 0
-                for k, n in enumerate(split_lengths(len(ids) // 4, length)):
-                    own = ids[4 * start : 4 * (start + n)]
-                    row = (doc, k, start, n, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("i4")] if with_ids else []))
-                    for column, x in zip(out, row):
-                        column.append(x)
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow)], names=schema.names)
+            docs = batch.column(0).to_pylist()
+            for first, tokens, bounds in enc.encode_all(batch.column(1)):
+                out: list[list] = [[] for _ in schema.fields]
+                for doc, a, b in zip(docs[first:], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = np.concatenate([tokens[a:b], end])
+                    start = 0
+                    for k, n in enumerate(split_lengths(len(ids), length)):
+                        own = ids[start : start + n]
+                        row = (doc, k, start, n, zlib.crc32(own), *([own.astype("i4")] if with_ids else []))
+                        for column, x in zip(out, row):
+                            column.append(x)
+                        start += n
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow)], names=schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 

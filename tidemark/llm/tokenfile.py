@@ -58,16 +58,21 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _ids(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}")
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of whole texts."""
-    schema = common.schema_with(docs, "doc_id", n_tokens="long", ids="binary")
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id, width and ids (little-endian unsigned integers of width bytes, the end id last) of whole texts."""
+    schema = common.schema_with(docs, "doc_id", width="int", ids="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, narrow=True)
+        end = end_id.to_bytes(enc.width, "little")
         for batch in batches:
-            ids = [enc.encode(t.as_py()) + end for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+            for first, tokens, bounds in enc.encode_all(batch.column(1)):
+                ids = [tokens[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array([enc.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -78,15 +83,16 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(np.frombuffer(x.as_py(), "<u4"))
-                if len(own) > len(total):
-                    own, total = total, own
-                total[: len(own)] += own
+            if not batch.num_rows:
+                continue
+            own = np.bincount(_ids(b"".join(batch.column(0).to_pylist()), batch.column(1)[0].as_py()))
+            if len(own) > len(total):
+                own, total = total, own
+            total[: len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy().astype(np.uint32)
 
 
@@ -109,15 +115,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: in
         held = 0
 
         def block_of(shard: int) -> pa.RecordBatch:
-            control, data = encode_block(ranks[np.frombuffer(b"".join(each), "<u4")])
-            row = [[shard], [made], [ids], [[len(x) // 4 for x in each]], [control], [data]]
+            control, data = encode_block(ranks[_ids(b"".join(each), width)])
+            row = [[shard], [made], [ids], [[len(x) // width for x in each]], [control], [data]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=names)
 
-        shard = 0
+        shard, width = 0, 4
         for batch in batches:
-            for doc, x, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                x, shard = x.as_py(), s.as_py()
-                if each and held + len(x) > 4 * block:
+            for doc, x, s, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                x, shard, width = x.as_py(), s.as_py(), w.as_py()
+                if each and held + len(x) > width * block:
                     yield block_of(shard)
                     ids, each, held, made = [], [], 0, made + 1
                 ids.append(doc)
@@ -132,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: in
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     names, types = arrow.names, arrow.types
     ordered = common.in_order(tokens, "doc_id")
-    ordered.select("doc_id", "ids", "shard").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/shards")
+    ordered.select("doc_id", "ids", "shard", "width").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/shards")
     common.drop(tokens)
 
 
