@@ -200,7 +200,7 @@ def cluster_summary(edges: DataFrame, members: DataFrame, least: int = 3) -> Dat
     size = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     out = size.join(inner, "cluster_id", "left").join(ends, "cluster_id", "left")
     pairs = F.col("size") * (F.col("size") - 1) / 2
-    return out.select("cluster_id", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), (F.coalesce("internal_edges", F.lit(0)) / pairs).alias("density"), F.coalesce(2 * F.col("internal_weight") / F.col("w"), F.lit(0.0)).alias("internal_share"))
+    return out.select("cluster_id", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), F.coalesce(F.try_divide(F.coalesce("internal_edges", F.lit(0)), pairs), F.lit(0.0)).alias("density"), F.coalesce(2 * F.col("internal_weight") / F.col("w"), F.lit(0.0)).alias("internal_share"))
 
 
 def replicate_p_values(t: DataFrame, edges: DataFrame, how: str, iterations: int = 100, seed: int = 0, delta: int | None = None) -> DataFrame:

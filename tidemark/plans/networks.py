@@ -147,10 +147,10 @@ def _(t: Tables):
 
 @query("ag15_cluster_summary", "timed", f"""{STRONG}, mem AS (SELECT DISTINCT author_id, 'k' || (CAST(substr(author_id, 2) AS BIGINT) % 12) AS c FROM timed), j AS (SELECT x.c AS cs, y.c AS cd, weight FROM st JOIN mem x ON x.author_id = src JOIN mem y ON y.author_id = dst),
 inn AS (SELECT cs AS c, count(*) AS n, sum(weight) AS w FROM j WHERE cs = cd GROUP BY 1), al AS (SELECT c, sum(weight) AS w FROM (SELECT cs AS c, weight FROM j UNION ALL SELECT cd, weight FROM j) GROUP BY 1), sz AS (SELECT c, count(*) AS size FROM mem GROUP BY 1)
-SELECT sz.c AS cluster_id, size, coalesce(inn.n, 0) AS internal_edges, round(coalesce(inn.n, 0) / (size * (size - 1) / 2.0), 6) AS density, round(coalesce(2 * inn.w / al.w::DOUBLE, 0), 6) AS internal_share FROM sz LEFT JOIN inn USING (c) LEFT JOIN al USING (c)""")
+SELECT sz.c AS cluster_id, size, coalesce(inn.n, 0) AS internal_edges, round(coalesce(coalesce(inn.n, 0) / nullif(size * (size - 1) / 2.0, 0), 0), 6) AS density, round(coalesce(2 * inn.w / al.w::DOUBLE, 0), 6) AS internal_share FROM sz LEFT JOIN inn USING (c) LEFT JOIN al USING (c)""")
 def _(t: Tables):
     members = t.timed.select("author_id").distinct().withColumn("cluster_id", F.concat(F.lit("k"), (F.substring("author_id", 2, 20).cast("long") % 12).cast("string")))
-    out = N.cluster_summary(strong(t), members)
+    out = N.cluster_summary(strong(t), members, least=1)
     return out.select("cluster_id", "size", "internal_edges", F.round("density", 6).alias("density"), F.round("internal_share", 6).alias("internal_share"))
 
 

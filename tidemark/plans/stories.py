@@ -256,7 +256,7 @@ def _(t: Tables):
     return X2.mutual_follows(follows(t))
 
 
-@query("fx17_follow_density", "acts", f"{FOLLOWS}, m AS (SELECT DISTINCT concat('u', u) AS a, u % 9 AS c FROM acts), z AS (SELECT c, count(*) AS n FROM m GROUP BY 1), i AS (SELECT x.c, count(*) AS k FROM fo JOIN m x ON x.a = fo.f JOIN m y ON y.a = fo.t WHERE x.c = y.c GROUP BY 1) SELECT z.c AS cluster_id, n AS size, round(coalesce(k, 0) / (n * (n - 1))::DOUBLE, 6) AS density FROM z LEFT JOIN i USING (c)")
+@query("fx17_follow_density", "acts", f"{FOLLOWS}, m AS (SELECT DISTINCT concat('u', u) AS a, u % 9 AS c FROM acts), z AS (SELECT c, count(*) AS n FROM m GROUP BY 1), i AS (SELECT x.c, count(*) AS k FROM fo JOIN m x ON x.a = fo.f JOIN m y ON y.a = fo.t WHERE x.c = y.c GROUP BY 1) SELECT z.c AS cluster_id, n AS size, round(coalesce(coalesce(k, 0) / nullif(n * (n - 1), 0)::DOUBLE, 0), 6) AS density FROM z LEFT JOIN i USING (c)")
 def _(t: Tables):
     return X2.follow_density(follows(t), clusters_of(t)).withColumn("density", F.round("density", 6))
 
