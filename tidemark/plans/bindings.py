@@ -1,4 +1,4 @@
-"""All queries of the reference's operators on the synthetic tables: QUERIES by name, SQL where it can express them."""
+"""All queries of the monitoring operators on the synthetic tables: QUERIES by name, SQL where it can express them."""
 
 from __future__ import annotations
 
