@@ -65,6 +65,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that Arrow hands to Python: whole texts are long, and both sides hold a batch or two.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was told to hand texts to Python in batches of at most TEXT_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
+def tidy() -> None:
+    """Give back what a finished task freed: Python workers live on, and their memory counts."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -56,11 +56,12 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
                             column.append(x)
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow)], names=schema.names)
+        common.tidy()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(f.dataType) for f in schema.fields]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return common.text_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -359,12 +359,12 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(masked, batch.schema.field(at).type))
 
     if redact:
-        out = docs.mapInArrow(mask, docs.schema)
+        out = common.text_batches(docs).mapInArrow(mask, docs.schema)
         kind = dict(docs.dtypes).get("n_chars")
         return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)) if kind else out
     schema = common.schema_with(docs, "doc_id", n_email="long", n_ip="long", n_card="long", n_phone="long", base_sha256="string", spans="string")
     names = schema.names
-    return docs.select("doc_id", "text").mapInArrow(report, schema)
+    return common.text_batches(docs.select("doc_id", "text")).mapInArrow(report, schema)
 
 
 def masked_text(text: str, spans: list[Span]) -> str:

@@ -62,8 +62,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             text = batch.column(1).cast(pa.large_binary())
             got = np.array([fingerprint(t.as_py() or b"") for t in text], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
+        common.tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.schema_with(docs, "doc_id", fp="long"))
+    return common.text_batches(docs.select("doc_id", "text")).mapInArrow(run, common.schema_with(docs, "doc_id", fp="long"))
 
 
 def allowed(depth: int) -> int:

@@ -73,8 +73,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for first, tokens, bounds in enc.encode_all(batch.column(1)):
                 ids = [tokens[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array([enc.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=schema.names)
+        common.tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return common.text_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:

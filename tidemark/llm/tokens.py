@@ -97,7 +97,7 @@ class Encoder:
     narrow: 16-bit ids where the vocabulary allows it.
     """
 
-    def __init__(self, path: str, narrow: bool = False, limit: int = 250_000):
+    def __init__(self, path: str, narrow: bool = False, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

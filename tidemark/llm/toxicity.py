@@ -179,7 +179,7 @@ def fit_chain(s: Sample, labels: dict[str, np.ndarray], folds: np.ndarray) -> Ch
 class _Scorer:
     """Scores texts; a token's weights in every model are kept while the cache lasts."""
 
-    def __init__(self, chain: Chain, limit: int = 400_000):
+    def __init__(self, chain: Chain, limit: int = 150_000):
         self.chain, self.limit = chain, limit
         self.cache: dict[str, tuple[tuple[int, float, int], ...] | None] = {}
         self.used = {f for m in chain.models for f in m.weights}
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Chain:
 
     # At most train_rows labels are broadcast and as many documents' features come back.
     texts = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    got = texts.mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double")).limit(train_rows)
+    got = common.text_batches(texts).mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double")).limit(train_rows)
     rows = got.toArrow().sort_by("doc_id")
     column = {c: rows.column(c) for c in rows.column_names}
     s = Sample([np.frombuffer(x.as_py(), "<i4") for x in column["features"]], [np.frombuffer(x.as_py(), "i1") for x in column["kinds"]], np.array(column["dense"].to_pylist(), float).reshape(rows.num_rows, len(DENSE)))
@@ -256,5 +256,6 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
             cols = [pa.array([x[k] for x in p], pa.float64()) for k in range(len(scorer.chain.names))]
             toxic = pa.array([x[-1] >= scorer.chain.threshold for x in p], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols, toxic], names=names)
+        common.tidy()
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return common.text_batches(docs.select(*kept)).mapInArrow(run, schema)
