@@ -337,3 +337,10 @@ def test_pages_of_the_table_match_their_articles():
         article = re.search(r"<article>(.*?)</article>", h, re.S)[1]
         parts = (" ".join(unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article))
         assert html.main_text(h) == "\n".join(p for p in parts if p)
+
+
+def test_scripts_end_at_their_own_end_tag():
+    for raw in ("<script>for(i=0;i<n;i++){x();}</script>", "<script>a = '<!-- b';</SCRIPT >", "<style>a<b{}</style>", "<script>x = \"</scripts>\" + y<z</script\n>"):
+        got = html.blocks(f"<p>Before</p>{raw}<p>Hello <b>you</b></p><script>u<v</script><p>After</p>")
+        assert [b.text() for b in got] == ["Before", "Hello you", "After"], raw
+    assert [b.text() for b in html.blocks("<p>Before</p><script>no end <p>x</p>")] == ["Before"]

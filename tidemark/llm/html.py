@@ -28,6 +28,8 @@ _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style template noscript svg math iframe object canvas select option textarea button title head audio video".split())
+#: Where their content ends: their end tag alone, for anything else in them is no markup.
+_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*>?", re.I) for t in RAW if t != "head"}
 #: Elements that are no part of an article wherever they stand.
 ASIDE = frozenset("nav aside form footer menu dialog fieldset".split())
 #: Elements that end and begin a block.
@@ -85,7 +87,7 @@ def blocks(html: str) -> list[Block]:
     """The page's blocks that have text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, zone and heading outside of it
-    zone, heading, links, skip = PLAIN, False, 0, ""
+    zone, heading, links = PLAIN, False, 0
     block = Block(zone, heading)
     at = 0
 
@@ -95,8 +97,8 @@ def blocks(html: str) -> list[Block]:
             out.append(block)
         block = Block(zone, heading)
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not skip:
+    while m := _TOKEN.search(html, at):
+        if m.start() > at:
             text = html[at : m.start()]
             block.parts.append(text)
             if links:
@@ -105,10 +107,6 @@ def blocks(html: str) -> list[Block]:
         tag = m[2] and m[2].lower()
         if not tag:
             continue
-        if skip:  # raw content ends at its own end tag alone; anything else in it is no markup
-            if m[1] and tag == skip:
-                skip = ""
-            continue
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -128,7 +126,8 @@ def blocks(html: str) -> list[Block]:
             if tag == "head":
                 continue  # its title, styles and scripts are raw themselves
             if not m[3].endswith("/"):
-                skip = tag
+                end = _RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
         if tag in VOID or m[3].endswith("/"):
             if tag == "hr":
@@ -154,7 +153,7 @@ def blocks(html: str) -> list[Block]:
                 zone = inner
                 close()
                 links = 0
-    if at < len(html) and not skip:
+    if at < len(html):
         block.parts.append(html[at:])
     close()
     return [b for b in out if b.text()]
