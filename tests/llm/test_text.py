@@ -344,3 +344,11 @@ def test_scripts_end_at_their_own_end_tag():
         got = html.blocks(f"<p>Before</p>{raw}<p>Hello <b>you</b></p><script>u<v</script><p>After</p>")
         assert [b.text() for b in got] == ["Before", "Hello you", "After"], raw
     assert [b.text() for b in html.blocks("<p>Before</p><script>no end <p>x</p>")] == ["Before"]
+
+
+def test_zones_are_named_by_whole_attributes():
+    text = "The man said that it was not what they had for him and that he would be there when they are."
+    for own in ('article style="overflow:hidden"', 'div title="hidden gems"', 'div class="content has-sidebar"', 'div id="share-story"', 'div data-state="hidden"', 'div class="overflow-hidden"', 'div aria-label="Share this story"', "div title='display: none'"):
+        assert html.main_text(f"<{own}><p>{text}</p></div>") == text, own
+    for own in ("div hidden", 'div class="x" hidden=""', 'div style="color:red; display: none"', 'div aria-hidden="true"', 'div class="post sidebar"', 'div id="sidebar-left"', "div class=comments", 'div role="navigation"', 'div aria-label="Main navigation"'):
+        assert html.main_text(f"<{own}><p>{text}</p></div>") == "", own

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm import common
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style template noscript svg math iframe object canvas select option textarea button title head audio video".split())
 #: Where their content ends: their end tag alone, for anything else in them is no markup.
@@ -40,6 +40,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies cookiebar copyright disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies search share sharing sidebar signup site-header skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+#: Words that say where or in what shape such an element stands, and nothing of what it holds.
+_SHAPES = frozenset("area bar block body bottom box button buttons container footer global group header inner item items left link links list main mobile panel primary right secondary section site slot top unit wrap wrapper".split())
 #: The commonest words of the languages met most; a block with many of them is running text.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be because been but by can could do for from had has have he her his how i if in into is it its just like more my no not of on one only or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -67,16 +69,26 @@ class Block:
 OUT, PLAIN, INSIDE = 0, 1, 2
 
 
+def _aside(name: str) -> bool:
+    """Whether a class, id, role or label as a whole names what is no part of an article.
+
+    Each of its words has to be such a name or a shape: `sidebar-left` is one, `has-sidebar` is not.
+    """
+    words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return name.lower() in _ASIDE_NAMES or (any(w in _ASIDE_NAMES for w in words) and all(w in _ASIDE_NAMES or w in _SHAPES for w in words))
+
+
 def _zone(tag: str, attributes: str, zone: int) -> int:
     """The zone inside an element that stands in zone."""
     if zone == OUT or tag in ASIDE or (tag == "header" and zone != INSIDE):
         return OUT
     if attributes:
-        if _HIDDEN.search(attributes):
-            return OUT
-        for m in _NAMED.finditer(attributes):
-            for name in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()):
-                if name in _ASIDE_NAMES and tag not in ("body", "html", "article", "main"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+            if (key == "hidden" and value.lower() != "false") or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+                return OUT
+            if key in ("class", "id", "role", "aria-label") and tag not in ("body", "html", "article", "main"):
+                if any(map(_aside, [value] if key == "aria-label" else value.split())):
                     return OUT
         if 'role="main"' in attributes:
             return INSIDE
