@@ -312,6 +312,18 @@ def test_licenses(spark, docs, none):
         assert name in {f[0] for f in found} and found[0][1] == 1.0
 
 
+def test_repeated_notices_are_all_found():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name in ("MIT", "GPL-3.0", "CC-BY-NC-4.0"):
+        notice = licenses.TEMPLATES[name]
+        for times in (2, 3, 7):
+            for between in range(12):
+                text = (" and so" * 6) + " " + (" " + "filler " * between).join([notice] * times)
+                got = licenses.matches(text, index, 0.8)
+                assert [(f[0], f[1]) for f in got] == [(name, 1.0)] * times, (name, times, between)
+                assert [f[3] for f in got] == [m.start() for m in re.finditer(re.escape(notice), text)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var a="</p>";</script></head><body class="post comments-open">
 <header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies and so on for all of you and for us, as it is the law of the land.</p></div>
 <article><header><h1>The   title</h1></header><p>First &lt;b&gt; para of the <a href=x>text</a>.<p>Second<br>line</p><div class="ad">Buy it now and be one of the many who have it in the house.</div><ul><li>one</li><li>two</li></ul>

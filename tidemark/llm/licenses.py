@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +86,11 @@ class Index:
         return any(a in lower for a in self.anchors)
 
 
-def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int, int, int]:
+def align(text: list[str], template: list[str], diagonal: int, need: int = 0, taken: Set[int] = frozenset()) -> tuple[int, int, int, int]:
     """(score, matched words, first and end word of text) of the best local alignment within BAND of a diagonal.
 
-    diagonal is the place in text less the place in template.
+    diagonal is the place in text less the place in template. Alignments of fewer than need words are
+    passed over, and none leads through a word of text that is taken.
     """
     best = (0, 0, 0, 0)
     width = 2 * BAND + 1
@@ -99,7 +100,7 @@ def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int
         left = (0, 0, 0)
         for k in range(width):
             at = t + diagonal + k - BAND
-            if not 0 <= at < len(text):
+            if not 0 <= at < len(text) or at in taken:
                 left = (0, 0, at + 1)
                 row.append(left)
                 continue
@@ -114,7 +115,7 @@ def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int
             if left[0] <= 0:
                 left = (0, 0, at + 1)
             row.append(left)
-            if (left[0], left[1]) > best[:2]:
+            if left[1] >= need and (left[0], left[1]) > best[:2]:
                 best = (left[0], left[1], left[2], at + 1)
         above = [*row, (0, 0, 0)]
     return best
@@ -138,18 +139,21 @@ def matches(text: str | None, index: Index, least: float) -> list[tuple[str, flo
     found = []
     for name, diagonals in seeds.items():
         template = index.words[name]
+        need = next(m for m in range(1, len(template) + 2) if m / len(template) >= least or m > len(template))
         covered = -(10**9)
         for d in sorted(diagonals):
             if d - covered <= BAND // 2:
                 continue  # within the band of the one before
             covered = d
-            score, matched, first, end = align(words, template, d)
-            coverage = matched / len(template)
-            if coverage >= least:
-                found.append((name, coverage, matched, first, end))
+            # The band may hold the notice more than once: what is found is taken, until no more is.
+            taken: set[int] = set()
+            while (best := align(words, template, d, need, taken))[1]:
+                _, matched, first, end = best
+                found.append((name, matched / len(template), matched, first, end))
+                taken.update(range(first, end))
     found.sort(key=lambda f: (-f[2], -f[1], f[0], f[3]))
     kept: list = []
-    for f in found:
+    for f in dict.fromkeys(found):  # bands overlap
         if not any(f[3] < k[4] and k[3] < f[4] for k in kept):
             kept.append(f)
     return sorted(((n, c, m, spans[a][0], spans[b - 1][1]) for n, c, m, a, b in kept), key=lambda f: f[3])
