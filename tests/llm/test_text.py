@@ -274,6 +274,28 @@ def test_toxicity_on_held_out_rows_and_odd_ones(spark, docs, none):
     assert toxicity.classify(d.limit(3), blank).count() == 3
 
 
+def test_toxicity_sees_the_whole_of_unspaced_and_joined_texts(spark):
+    rng = np.random.default_rng(1)
+    han, latin = [chr(0x4E00 + i) for i in range(400)], [chr(97 + i) for i in range(20)]
+
+    def text(i):
+        kind, toxic = i % 3, i % 2
+        if kind == 0:  # one run of Han letters, the bad word at its end
+            return "".join(rng.choice(han, 80)) + ("\u9fa0\u9fa1\u9fa2" if toxic else "") + "".join(rng.choice(han, 5))
+        words = ["".join(rng.choice(latin, 6)) for _ in range(15)]
+        words[12] = "zyxwvz" if toxic else words[12]  # joined by signs, or by nothing
+        return "/".join(words) if kind == 1 else "".join(words)
+
+    rows = [(i, text(i)) for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.classify(d, toxicity.train(d, labels)).collect()}
+    for kind in range(3):
+        test = [i for i in range(900, 1200) if i % 3 == kind]
+        assert sum(got[i] == bool(i % 2) for i in test) >= 0.95 * len(test), kind
+    assert {f for f, _ in toxicity.word_features("word")} < {f for f, _ in toxicity.word_features("x-word-y")}
+
+
 def test_mix_meets_targets(spark, docs, none):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 200))), None if i % 10 == 0 else "abcz"[i % 4]) for i in range(3000)]

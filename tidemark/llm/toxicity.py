@@ -1,7 +1,10 @@
 """Toxicity by classifier chains: sparse linear models in a row, each fed the probabilities before it.
 
-A document's features are its distinct words, each word's beginnings of three to five letters, and
-four shares (capitals, symbols, distinct words, length). The chain predicts categories in order; the
+A document's features are those of its distinct tokens (what stands between white space) and four
+shares (capitals, symbols, distinct words, length). A token's words are all its letters joined and, if
+signs or digits part them, each run of letters; a word gives itself and its beginnings of three to
+five letters. A word in a script without spaces, or of more than LONG letters, also gives the runs of
+two to five letters at each of its places, so no part of any text is without features. The chain predicts categories in order; the
 model of a category also sees the log odds of the categories before it. In training these come from
 models fitted without the fold that the row is in, so later models learn from predictions as good as
 those they will get. Models are fitted on the driver by accelerated proximal gradient with an L1
@@ -14,6 +17,7 @@ several labels of one document count as their largest; repeated rows have equal
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,17 +34,43 @@ FOLDS = 3
 DENSE = ("capitals", "symbols", "distinct", "length")
 _CAPITALS = bytes(range(65, 91))
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ",.'")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Thai to Tibetan, Myanmar, Khmer, kana and bopomofo, Han, halfwidth kana.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af]")
+#: Letters of a word from which on it is taken to be several, written without spaces.
+LONG = 40
 #: Penalty of a feature by its kind: whole words are believed before beginnings, long before short.
 _PENALTY = {0: 1.0, 5: 1.3, 4: 1.6, 3: 2.5}
 
 
+def _feature(mark: bytes, letters: str) -> int:
+    return zlib.crc32(mark + letters.encode()) & (1 << BITS) - 1
+
+
 def word_features(token: str) -> list[tuple[int, int]]:
-    """(feature, kind) of a token: kind 0 is the word without its punctuation, k its first k letters."""
-    word = "".join(c for c in token if c.isalpha())[:40]
-    if not word:
+    """(feature, kind) of a token, each once: kind 0 is a word, k one's first k letters (or k in a row)."""
+    runs = _LETTERS.findall(token)
+    joined = "".join(runs)
+    if not joined.isalpha():
+        joined = "".join(c for c in joined if c.isalpha())
+    if not joined:
         return []
-    out = [(zlib.crc32(b"w" + word.encode()) & (1 << BITS) - 1, 0)]
-    return out + [(zlib.crc32(b"p" + word[:k].encode()) & (1 << BITS) - 1, k) for k in (3, 4, 5) if len(word) > k]
+    if len(runs) == 1 and len(joined) <= LONG and (joined.isascii() or not _UNSPACED.search(joined)):
+        return [(_feature(b"w", joined), 0)] + [(_feature(b"p", joined[:k]), k) for k in (3, 4, 5) if len(joined) > k]
+    out: dict[int, int] = {}
+    for word in dict.fromkeys([joined, *runs]):
+        out.setdefault(_feature(b"w", word), 0)
+        for k in (3, 4, 5):
+            if len(word) > k:
+                out.setdefault(_feature(b"p", word[:k]), k)
+        if len(word) > LONG or _UNSPACED.search(word):
+            for i in range(len(word) - 1):
+                # Two letters are a word of their own in such scripts; longer runs are as beginnings.
+                out.setdefault(_feature(b"w", word[i : i + 2]), 0)
+                for k in (3, 4, 5):
+                    if i + k <= len(word):
+                        out.setdefault(_feature(b"p", word[i : i + k]), k)
+    return list(out.items())
 
 
 def tokens(text: str) -> tuple[set[str], np.ndarray]:
