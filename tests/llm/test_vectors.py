@@ -55,6 +55,21 @@ def test_search(spark, vectors):
     assert few.count() == 4 and ann.search(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_within_a_hot_group_of_near_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1500, 64))
+    v[:500] = v[0] + rng.standard_normal((500, 64)) * 0.02  # a third of the rows are near, not equal
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    got = ann.search(table(spark, v, [0] * len(v)), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).toPandas()
+    hits = []
+    for q, g in got[got["query_id"] < 500].groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -1
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
+    print("recall", len(hits), np.mean(hits))
+    assert len(hits) == 25 and np.mean(hits) >= 0.9
+
+
 def test_links(spark, vectors):
     v, labels = vectors
     more = [*odd(700, 24), (800, [1.0] * 24, None, None, None), (801, [1.0] * 24, None, None, None), (802, [2.0] * 24, 2, None, None), (803, [1.0] * 24, 2, None, None)]

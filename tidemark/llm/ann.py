@@ -7,9 +7,8 @@ a node's worst neighbour goes to that node. Only pairs with an edge that is new
 are compared. Rounds end when few edges change. A search starts at the query's own node and keeps a
 beam: each round expands its best unexpanded nodes by a join with the graph.
 
-Graph and beam compare vectors by codes of eight bits a component (eight to a long, and a scale), so
-an edge costs some 90 bytes on its way; the beam that is left is compared exactly, in double
-precision, on the original vectors. Work per node depends on `k`, `sample` and `beam` alone.
+Graph and beam compare vectors in single precision, packed as bytes: four a component on an edge's
+way; the beam that is left is compared exactly, in double precision, on the original vectors. Work per node depends on `k`, `sample` and `beam` alone.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do those of another length than most; null ids neither; rows that share an id and a vector
@@ -40,29 +39,19 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _codes(dim: int) -> list[str]:
-    return [f"c{i}" for i in range(-(-dim // 8))]
-
-
-def _decode(pdf: pd.DataFrame, codes: list[str]) -> np.ndarray:
-    raw = np.ascontiguousarray(pdf[codes].to_numpy(np.int64)).view(np.int8).astype(np.float32)
-    return raw * pdf["scale"].to_numpy(np.float32)[:, None]
+def _decode(codes: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), dim)
 
 
 def nodes_of(vectors: DataFrame, dim: int) -> DataFrame:
-    """node, its code and scale, of (node, vec)."""
-    codes = _codes(dim)
+    """node and its code, the vector in single precision, of (node, vec)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = np.zeros((len(pdf), 8 * len(codes)))
-            v[:, :dim] = np.stack(pdf["vec"].to_numpy()) if len(pdf) else 0
-            top = np.abs(v).max(axis=1)
-            q = np.rint(v / np.where(top > 0, top, 1)[:, None] * 127).astype(np.int8)
-            out = pd.DataFrame(q.view(np.int64).reshape(len(pdf), len(codes)), columns=codes)
-            yield out.assign(node=pdf["node"].to_numpy(), scale=(top / 127).astype(np.float32))[["node", "scale", *codes]]
+            codes = [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "code": pd.Series(codes, dtype=object)})
 
-    return vectors.mapInPandas(run, "node long, scale float, " + ", ".join(f"{c} long" for c in codes))
+    return vectors.mapInPandas(run, "node long, code binary")
 
 
 def best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, old: np.ndarray | None = None) -> np.ndarray:
@@ -120,24 +109,24 @@ def _block(column: str, blocks: int) -> Column:
 
 def first_graph(nodes: DataFrame, n: int, dim: int, k: int, sample: int, trees: int, bucket: int, seed: int) -> DataFrame:
     """Edges to the best others within random-hyperplane buckets of about `bucket` nodes."""
-    codes, depth = _codes(dim), max(0, int(np.ceil(np.log2(max(1, n / bucket)))))
-    planes = np.random.default_rng(seed).standard_normal((trees, depth, 8 * len(codes))).astype(np.float32)
-    names = ["node", "scale", *codes]
+    depth = max(0, int(np.ceil(np.log2(max(1, n / bucket)))))
+    planes = np.random.default_rng(seed).standard_normal((trees, depth, dim)).astype(np.float32)
+    names = ["node", "code"]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = _decode(pdf, codes)
+            v = _decode(pdf["code"], dim)
             for t in range(trees):
                 signs = (v @ planes[t].T > 0) @ (1 << np.arange(depth, dtype=np.int64))
                 yield pdf.assign(tree=t, bucket=signs)[["tree", "bucket", *names]]
 
-    dealt = nodes.mapInPandas(hashed, f"tree int, bucket long, {nodes.select(names)._jdf.schema().toDDL()}")
+    dealt = nodes.mapInPandas(hashed, "tree int, bucket long, node long, code binary")
     sizes = dealt.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # A bucket that many nodes share is dealt out by a hash: rounds of descent join its parts.
     dealt = dealt.join(sizes, ["tree", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / (2 * bucket))))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, ids = _decode(pdf, codes), pdf["node"].to_numpy()
+        v, ids = _decode(pdf["code"], dim), pdf["node"].to_numpy()
         m = min(k, len(ids) - 1)
         if m < 1:
             return pd.DataFrame({"v": ids[:0], "u": ids[:0], "score": np.zeros(0, np.float32)})
@@ -160,8 +149,7 @@ def first_graph(nodes: DataFrame, n: int, dim: int, k: int, sample: int, trees:
 
 def descend(edges: DataFrame, nodes: DataFrame, n: int, dim: int, k: int, sample: int, salt: int) -> DataFrame:
     """One round of NN-descent: the edges after neighbours of neighbours have met."""
-    codes, blocks = _codes(dim), max(1, -(-n // BLOCK))
-    cols = ["scale", *codes]
+    blocks = max(1, -(-n // BLOCK))
     known = nodes.join(edges.groupBy("v").agg(F.max("worst").alias("worst")).withColumnRenamed("v", "node"), "node", "left").na.fill(float("-inf"), ["worst"])
     picked = edges.where("pick > 0").select("v", "u", "pick")
     # A node meets those it points at and those that point at it.
@@ -170,7 +158,7 @@ def descend(edges: DataFrame, nodes: DataFrame, n: int, dim: int, k: int, sample
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         at, node, pick, back = (pdf[c].to_numpy() for c in ("at", "node", "pick", "back"))
-        v, worst = _decode(pdf, codes), pdf["worst"].to_numpy()
+        v, worst = _decode(pdf["code"], dim), pdf["worst"].to_numpy()
         owners, group = np.unique(at, return_inverse=True)
         h = _mixed(at, node, salt)
         slots = []
@@ -238,7 +226,7 @@ def graph(nodes: DataFrame, n: int, dim: int, k: int = 56, sample: int = 24, tre
 
 def greedy(edges: DataFrame, nodes: DataFrame, starts: DataFrame, n: int, dim: int, beam: int = 96, expand: int = 24, rounds: int = 3) -> DataFrame:
     """(q, node, score): the beam of each query node in starts (q) after `rounds` expansions over the graph."""
-    codes, blocks = _codes(dim), max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK))
 
     def kept(q, node, s, done) -> pd.DataFrame:
         o = best(q, node, s, beam, done)
@@ -262,23 +250,22 @@ def greedy(edges: DataFrame, nodes: DataFrame, starts: DataFrame, n: int, dim: i
         near = front.join(edges.select("v", F.col("u").alias("node")), "v").select("q", "node").where("q <> node").distinct()
         near = near.join(state.select("q", "node"), ["q", "node"], "left_anti").join(nodes, "node")
         # One group holds a block's queries (code 0), its beams (1) and what was reached (2).
-        zeros = [F.lit(0).cast("long").alias(c) for c in codes]
         three = (
-            asks.select(F.lit(0).alias("part"), "q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("score"), F.lit(False).alias("done"), "scale", *codes)
-            .union(state.select(F.lit(1), "q", "node", "score", "done", F.lit(0.0).cast("float"), *zeros))
-            .union(near.select(F.lit(2), "q", "node", F.lit(0.0).cast("float"), F.lit(False), "scale", *codes))
+            asks.select(F.lit(0).alias("part"), "q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("score"), F.lit(False).alias("done"), "code")
+            .union(state.select(F.lit(1), "q", "node", "score", "done", F.lit(None).cast("binary")))
+            .union(near.select(F.lit(2), "q", "node", F.lit(0.0).cast("float"), F.lit(False), "code"))
         )
 
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
             part = pdf["part"].to_numpy()
             asked, beams, got = (pdf[part == i] for i in range(3))
             ids, place = np.unique(asked["q"].to_numpy(), return_index=True)
-            q = _decode(asked, codes)[place]
+            q = _decode(asked["code"], dim)[place]
             at = np.searchsorted(ids, got["q"].to_numpy())
             score = np.zeros(len(got), np.float32)
             for lo in range(0, len(got), 100_000):
                 s = slice(lo, lo + 100_000)
-                score[s] = np.einsum("ij,ij->i", q[at[s]], _decode(got[s], codes))
+                score[s] = np.einsum("ij,ij->i", q[at[s]], _decode(got["code"].iloc[s], dim))
             both = [np.concatenate([beams[c].to_numpy(), x]) for c, x in (("q", got["q"].to_numpy()), ("node", got["node"].to_numpy()), ("score", score), ("done", np.zeros(len(got), bool)))]
             return kept(both[0], both[1], both[2].astype(np.float32), both[3].astype(bool))
 
