@@ -376,8 +376,8 @@ def test_pages_of_the_table_match_their_articles():
 def test_scripts_end_at_their_own_end_tag():
     for raw in ("<script>for(i=0;i<n;i++){x();}</script>", "<script>a = '<!-- b';</SCRIPT >", "<style>a<b{}</style>", "<script>x = \"</scripts>\" + y<z</script\n>"):
         got = html.blocks(f"<p>Before</p>{raw}<p>Hello <b>you</b></p><script>u<v</script><p>After</p>")
-        assert [b.text() for b in got] == ["Before", "Hello you", "After"], raw
-    assert [b.text() for b in html.blocks("<p>Before</p><script>no end <p>x</p>")] == ["Before"]
+        assert [b.text for b in got] == ["Before", "Hello you", "After"], raw
+    assert [b.text for b in html.blocks("<p>Before</p><script>no end <p>x</p>")] == ["Before"]
 
 
 def test_zones_are_named_by_whole_attributes():
@@ -386,3 +386,65 @@ def test_zones_are_named_by_whole_attributes():
         assert html.main_text(f"<{own}><p>{text}</p></div>") == text, own
     for own in ("div hidden", 'div class="x" hidden=""', 'div style="color:red; display: none"', 'div aria-hidden="true"', 'div class="post sidebar"', 'div id="sidebar-left"', "div class=comments", 'div role="navigation"', 'div aria-label="Main navigation"'):
         assert html.main_text(f"<{own}><p>{text}</p></div>") == "", own
+
+
+PROSE = "The man said that it was not what they had for him and that he would be there when they are."
+
+
+def test_articles_survive_names_that_only_look_like_side_matter():
+    for own in ("class=overflow-hidden", 'title="a hidden gem"', 'class="content no-sidebar"', 'class="main-content has-comments"', 'class="post-body search-tags"'):
+        for tag in ("div", "article", "section"):
+            assert html.main_text(f"<nav>Home page</nav><{tag} {own}><p>{PROSE}</p></{tag}><footer>{PROSE}</footer>") == PROSE
+    # A form or a widget around the whole article: nothing else has text.
+    for around in ("form id=aspnetForm", 'div class="widget"'):
+        assert html.main_text(f"<{around}><nav>{PROSE}</nav><article><p>{PROSE}</p><aside>{PROSE}</aside></article></div></form>") == PROSE
+    # ... but comments in article elements are no article while there is one.
+    assert html.main_text(f"<article><p>Short.</p></article><div id=comments><article><p>{PROSE}</p></article></div>") == "Short."
+    share = f'<article><h1>Title</h1><p>{PROSE}</p><div class="share-buttons">Share this with all of your friends</div><p>{PROSE}</p></article>'
+    assert html.main_text(share) == f"Title\n{PROSE}\n{PROSE}"
+
+
+def test_both_passes_decide():
+    links = "<ul>" + "<li><a href=x>More of the same</a></li>" * 3 + "</ul>"
+    keywords = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat"
+    page = f"<div><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p><p>{keywords}</p><h2>Read on</h2>{links}<p>Tiny</p></div>"
+    found = html.blocks(page)
+    first = html.first_pass(found)
+    # Pass one: prose is good, a list of keywords and links are bad, what is short is open.
+    assert first == [html.GOOD, html.OPEN, html.GOOD, html.BAD, html.OPEN, html.BAD, html.BAD, html.BAD, html.OPEN]
+    assert html.main_text(page) == f"{PROSE}\nYes.\n{PROSE}"
+    # Turning off either pass changes the result: without the first all stays open, without the second short text is lost.
+    assert html.second_pass(found, [html.OPEN] * len(found)) != html.classify(found)
+    assert [label == html.GOOD for label in first] != [label == html.GOOD for label in html.classify(found)]
+    # Within an article as well: a heading and links at its end, and keywords beside them.
+    inner = f"<article><h1>Title</h1><p>{PROSE}</p><p>{keywords}</p><p>So be it.</p><p>{PROSE}</p><h2>Related</h2>{links}<p>{keywords}</p>{links}</article>"
+    found = html.blocks(inner)
+    assert html.main_text(inner) == f"Title\n{PROSE}\n{keywords}\nSo be it.\n{PROSE}"
+    assert html.second_pass(found, [html.OPEN] * len(found)) != html.classify(found)
+
+
+def test_unlisted_languages_go_by_length_and_links():
+    han = "汉字" * 120
+    finnish = "Kissa istuu ikkunalla ja katselee lintuja pihalla koko iltapäivän ajan hiljaa. " * 4
+    for text in (han, finnish.strip()):
+        assert html.main_text(f"<ul><li><a href=x>{text[:20]}</a></li></ul><div>{text}</div>") == text
+
+
+def test_reading_is_linear_and_markup_is_dropped():
+    import time
+
+    for page in ('<a "' * 250_000, '<a "' * 250_001 + ">", "<" + "a" * 10**6, "<a<" * 300_000, "<div>" * 100_000 + "</b>" * 100_000, "<svg>" * 200_000, "<!--" * 250_000, "<a \"'>" * 150_000, "</ " * 300_000, "&" * 10**6):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 2, page[:8]
+    text = html.main_text(f"<article><p>{PROSE} a < b &amp;lt; <b title='x > y'>bold</b><!-- no <p> --> &nbsp; end</article>")
+    assert text == f"{PROSE} a < b &lt; bold end"
+    long = "<p>" + "word of the day and more " * 60_000 + "</p>"
+    assert len(html.main_text(long)) == 60_000 * 25 - 1
+
+
+def test_pages_with_clashing_columns_and_ties(spark):
+    p = f"<p>{PROSE}</p>"
+    pages = spark.createDataFrame([(1, "u", p, 5, "t"), (1, "u", p, 6, "s"), (None, None, p, 7, None)], "page_id long, url string, html string, n_chars int, text string")
+    got = html.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [r["n_chars"] for r in got.collect()] == [len(PROSE)] * 3

@@ -1,20 +1,31 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read once into blocks: runs of text between block-level tags, each with its words, the
-words within links, and the zone it stands in. Pass one decides a block by link density, stop-word
-density and length; zones that are never the article (menus, headers and footers of the page, side
-bars, notices, adverts, forms, comments of readers) are bad at once. Pass two gives each block that
-is left the label of the nearest decided neighbours: good if both sides are good, or if one is and it
-is nearer; headings look ahead only. Within an article or main element a block with no decided
-neighbour there is good, for such an element says that its text is the page's.
+words within links, and the zone it stands in. Pass one decides each block by its link density, its
+stop-word density and its length; what they leave open (short blocks, and prose full of links or poor
+in stop words inside an article) pass two labels by the nearest decided neighbours: as both, if they
+agree, else as the nearer one, and good if both are as near. Headings look ahead only.
+
+What elements say of themselves shifts the bars. Within an article or main element, or one named so,
+shorter text counts as running text, text poor in stop words is open and not bad, and open blocks
+without a decided neighbour there are good. Menus, footers, side bars, notices, adverts, forms and
+comments of readers, named by tag, role or whole class, lose at once, for comments are prose too; but
+where that leaves a page without any text, blocks in an article within a form or within an element so
+named are judged by density after all. Hidden elements never count. On a page none of whose longer
+blocks has stop words enough, the language is not one of those listed, and length and links decide.
+
+The reader is linear in the page: each tag is found from its start, quoted values are jumped over, and
+scripts and the like end at their own end tag.
 
 Defined results: null html is empty; an empty text is an empty string; repeated rows have equal
-results; null ids and urls are passed through; an empty table gives no rows.
+results; null ids and urls are passed through; an empty table gives no rows; other columns give way.
+A tag that never ends is text; an unclosed comment or script runs to the end of the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,13 +34,17 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: From within a tag to where it ends or a quoted value begins.
+_TO_QUOTE = re.compile(r"[^>\"']*+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 _NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style template noscript svg math iframe object canvas select option textarea button title head audio video".split())
 #: Where their content ends: their end tag alone, for anything else in them is no markup.
-_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*>?", re.I) for t in RAW if t != "head"}
+_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+>?", re.I) for t in RAW if t != "head"}
+#: Of these, the ones that run to the end of the page if nothing ends them.
+_TO_THE_END = frozenset("script style textarea title iframe noscript".split())
 #: Elements that are no part of an article wherever they stand.
 ASIDE = frozenset("nav aside form footer menu dialog fieldset".split())
 #: Elements that end and begin a block.
@@ -49,24 +64,34 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui mais même ne nous ou où par pas plus pour qu que qui sa sans se ses son sont sur un une vous "
     "al como con del desde el ella ellos entre era ese esta este ha hay las lo los más me mi muy ni no nos o otro para pero por porque que se ser si sin sobre su sus también te tiene todo una uno y ya".split()
 )
+#: Two words that, one after the other, name an element as holding the article.
+_CLAIM = re.compile(r"(?:article|blog|entry|main|page|post|story|news)[-_]*(?:body|content|text|copy)", re.I)
 #: Pass one: a link share above which a block is bad; lengths in characters; stop-word shares.
 LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.33, 70, 200, 0.1, 0.25
+#: The length that counts as SHORT inside an article.
+SHORT_INSIDE = 20
 
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-class Block:
-    __slots__ = ("heading", "linked", "parts", "zone")
+#: Zones: never the article, anywhere, inside an article or main element.
+OUT, PLAIN, INSIDE = 0, 1, 2
 
-    def __init__(self, zone: int, heading: bool):
-        self.zone, self.heading, self.parts, self.linked = zone, heading, [], 0
 
-    def text(self) -> str:
-        return " ".join(unescape("".join(self.parts)).split())
+class Block:
+    """A run of text: its zone, the zone if names and forms counted for nothing, and its measures."""
 
+    __slots__ = ("bare", "heading", "linked", "parts", "stops", "text", "words", "zone")
 
-#: Zones: never the article, anywhere, inside an article or main element.
-OUT, PLAIN, INSIDE = 0, 1, 2
+    def __init__(self, zone: int, bare: int, heading: bool):
+        self.zone, self.bare, self.heading, self.parts, self.linked = zone, bare, heading, [], 0
+
+    def end(self) -> bool:
+        """Measure the block; whether it has text."""
+        words = unescape("".join(self.parts)).split() if len(self.parts) == 1 else "".join(map(unescape, self.parts)).split()
+        self.text, self.words, self.parts = " ".join(words), len(words), []
+        self.stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
+        return bool(words)
 
 
 def _aside(name: str) -> bool:
@@ -78,119 +103,186 @@ def _aside(name: str) -> bool:
     return name.lower() in _ASIDE_NAMES or (any(w in _ASIDE_NAMES for w in words) and all(w in _ASIDE_NAMES or w in _SHAPES for w in words))
 
 
-def _zone(tag: str, attributes: str, zone: int) -> int:
-    """The zone inside an element that stands in zone."""
-    if zone == OUT or tag in ASIDE or (tag == "header" and zone != INSIDE):
-        return OUT
+def _zone(tag: str, attributes: str, zone: int, bare: int) -> tuple[int, int]:
+    """The zone and bare zone inside an element that stands in the given ones."""
+    if bare == OUT:
+        return OUT, OUT
+    claims = tag in ("article", "main")
+    named = tag == "form"
+    if tag in ASIDE and not named or (tag == "header" and zone != INSIDE and bare != INSIDE):
+        return OUT, OUT
     if attributes:
+        names: list[str] = []
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
             if (key == "hidden" and value.lower() != "false") or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
-                return OUT
-            if key in ("class", "id", "role", "aria-label") and tag not in ("body", "html", "article", "main"):
-                if any(map(_aside, [value] if key == "aria-label" else value.split())):
-                    return OUT
-        if 'role="main"' in attributes:
-            return INSIDE
-    return INSIDE if tag in ("article", "main") else zone
+                return OUT, OUT
+            if key == "role" and value.lower() == "main" or key == "itemprop" and value.lower() == "articlebody":
+                claims = True
+            elif key in ("class", "id", "role", "aria-label"):
+                names += [value] if key == "aria-label" else value.split()
+        if tag not in ("body", "html", "article", "main"):
+            # An element that says it holds the article is not known by its other names.
+            claims = claims or any(map(_CLAIM.fullmatch, names))
+            named = named or (not claims and any(map(_aside, names)))
+    inside = INSIDE if claims else None
+    return OUT if named or zone == OUT else inside or zone, inside or bare
+
+
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name ends at `at`: the place after its >, or -1. Values in quotes are jumped over."""
+    while True:
+        at = _TO_QUOTE.match(html, at).end()
+        if at >= len(html):
+            return -1
+        if html[at] == ">":
+            return at + 1
+        # A quote that nothing closes is a letter like any other.
+        at = html.index(html[at], at + 1) + 1 if at < last[html[at]] else at + 1
+
+
+def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
+    """(text, False, ''), (tag, True, attributes) and ('/tag', True, '') in page order; tags in lower case.
+
+    Linear: the search for a tag's end fails once at most, and quotes are ignored from there on.
+    """
+    at, last, quotes, endless = 0, {q: html.rfind(q) for q in "\"'"}, True, set()
+    ends = html.rfind(">")
+    seek = 0
+    while True:
+        lt = html.find("<", seek)
+        if lt < 0 or lt > ends and not html.startswith("<!--", lt):
+            break
+        m = _TAG.match(html, lt)
+        if m:
+            end = _tag_end(html, m.end(), last) if quotes else html.find(">", m.end()) + 1
+            if end < 0:
+                quotes = False
+                end = html.find(">", m.end()) + 1
+            if lt > at:
+                yield html[at:lt], False, ""
+            tag = m[2].lower()
+            at = seek = end
+            yield (f"/{tag}", True, "") if m[1] else (tag, True, html[m.end() : end - 1])
+            if not m[1] and tag in _RAW_END and tag not in endless and html[end - 2] != "/":
+                closed = _RAW_END[tag].search(html, end)
+                if closed:
+                    at = seek = closed.end()
+                elif tag in _TO_THE_END:
+                    return
+                else:
+                    endless.add(tag)
+        elif html.startswith("<!--", lt):
+            if lt > at:
+                yield html[at:lt], False, ""
+            end = html.find("-->", lt + 4)
+            if end < 0:
+                return
+            at = seek = end + 3
+        elif html.startswith(("<!", "<?", "</"), lt):
+            if lt > at:
+                yield html[at:lt], False, ""
+            at = seek = html.find(">", lt) + 1
+        else:
+            seek = lt + 1
+    if at < len(html):
+        yield html[at:], False, ""
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, zone and heading outside of it
-    zone, heading, links = PLAIN, False, 0
-    block = Block(zone, heading)
-    at = 0
+    stack: list[tuple[str, int, int, bool]] = []  # tag, zone, bare zone and heading outside of it
+    opened: Counter[str] = Counter()
+    zone, bare, heading, links = PLAIN, PLAIN, False, 0
+    block = Block(zone, bare, heading)
 
     def close() -> None:
         nonlocal block
-        if block.parts:
+        if block.parts and block.end():
             out.append(block)
-        block = Block(zone, heading)
+        block = Block(zone, bare, heading)
 
-    while m := _TOKEN.search(html, at):
-        if m.start() > at:
-            text = html[at : m.start()]
-            block.parts.append(text)
+    for tag, markup, attributes in tokens(html):
+        if not markup:
+            block.parts.append(tag)
             if links:
-                block.linked += len(text.split())
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            continue
-        if m[1]:
+                block.linked += len(tag.split())
+        elif tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 links = max(0, links - 1)
-            elif any(t == tag for t, _, _ in stack):
+            elif opened[tag]:
                 # An end tag closes what was left open within; inline tags change no zone.
                 while True:
-                    t, zone, heading = stack.pop()
+                    t, zone, bare, heading = stack.pop()
+                    opened[t] -= 1
                     if t == tag:
                         break
-                if tag in BLOCK:
+                if tag in BLOCK or block.zone != zone:
                     links = 0
                     close()
             elif tag == "p":
                 close()
-            continue
-        if tag in RAW:
-            if tag == "head":
-                continue  # its title, styles and scripts are raw themselves
-            if not m[3].endswith("/"):
-                end = _RAW_END[tag].search(html, at)
-                at = end.end() if end else len(html)
-            continue
-        if tag in VOID or m[3].endswith("/"):
+        elif tag in RAW:
+            continue  # what is in it is passed over by tokens(); a head's title, styles and scripts are raw themselves
+        elif tag in VOID or attributes.endswith("/"):
             if tag == "hr":
                 close()
             elif tag == "br":
                 block.parts.append(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             links += 1
-            continue
-        if tag in BLOCK:
+        elif tag in BLOCK:
             # A paragraph ends where the next block begins; items and cells end at the next of their kind.
-            if stack and (stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack[-1][0] == tag)):
-                _, zone, heading = stack.pop()
-            stack.append((tag, zone, heading))
-            zone, heading = _zone(tag, m[3], zone), tag in HEADINGS or heading
+            if stack and (stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "td", "th", "tr") and stack[-1][0] == tag)):
+                t, zone, bare, heading = stack.pop()
+                opened[t] -= 1
+            stack.append((tag, zone, bare, heading))
+            opened[tag] += 1
+            (zone, bare), heading = _zone(tag, attributes, zone, bare), tag in HEADINGS or heading
             links = 0
             close()
-        elif m[3]:
-            inner = _zone(tag, m[3], zone)
-            if inner != zone:  # an inline element that is no part of the article
-                stack.append((tag, zone, heading))
-                zone = inner
+        elif attributes:
+            inner = _zone(tag, attributes, zone, bare)
+            if inner != (zone, bare):  # an inline element that is no part of the article
+                stack.append((tag, zone, bare, heading))
+                opened[tag] += 1
+                zone, bare = inner
                 close()
                 links = 0
-    if at < len(html):
-        block.parts.append(html[at:])
     close()
-    return [b for b in out if b.text()]
+    return out
 
 
-def classify(found: list[Block]) -> list[int]:
-    """GOOD or BAD for each block, by the two passes."""
+def first_pass(found: list[Block]) -> list[int]:
+    """GOOD, BAD or OPEN for each block, by its own measures."""
+    known = any(b.zone != OUT and len(b.text) >= SHORT and b.stops >= FEW_STOPS for b in found)
     labels = []
     for b in found:
-        text = b.text()
-        words = text.split()
-        if b.zone == OUT or b.linked > LINKS * len(words):
-            labels.append(BAD)
-            continue
-        if b.linked * 5 > len(words) and len(text) < SHORT:
-            labels.append(OPEN)
-            continue
-        stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-        if len(text) >= SHORT and (stops >= MANY_STOPS or (len(text) >= LONG and stops >= FEW_STOPS)):
-            labels.append(GOOD)
-        elif len(text) >= LONG and stops < FEW_STOPS and b.zone != INSIDE:
-            labels.append(BAD)
+        size, inside = len(b.text), b.zone == INSIDE
+        prose = not known or b.stops >= MANY_STOPS
+        if b.zone == OUT:
+            label = BAD
+        elif b.linked > LINKS * b.words:
+            label = OPEN if inside and prose and size >= SHORT else BAD
+        elif b.linked * 5 > b.words and size < SHORT:
+            label = OPEN
+        elif known and prose and size >= (SHORT_INSIDE if inside else SHORT) or size >= LONG and (not known or b.stops >= FEW_STOPS):
+            label = GOOD
+        elif known and size >= LONG and not inside:
+            label = BAD
         else:
-            labels.append(OPEN)
-    # Pass two, with neighbours of the same zone: what stands outside an article says nothing of what is in it.
+            label = OPEN
+        labels.append(label)
+    return labels
+
+
+def second_pass(found: list[Block], labels: list[int]) -> list[int]:
+    """labels with the open ones decided by their nearest decided neighbours of the same zone.
+
+    What stands outside an article says nothing of what is in it.
+    """
     out = list(labels)
     n = len(found)
     before, after = [(-1, OPEN)] * n, [(-1, OPEN)] * n
@@ -199,7 +291,7 @@ def classify(found: list[Block]) -> list[int]:
         for i in order:
             zone = INSIDE if found[i].zone == INSIDE else PLAIN
             side[i] = last.get(zone, (-1, OPEN))
-            if labels[i] != OPEN and found[i].zone != OUT or (labels[i] == BAD and zone == PLAIN):
+            if labels[i] != OPEN:
                 last[zone] = (i, labels[i])
     for i, label in enumerate(labels):
         if label != OPEN:
@@ -210,18 +302,27 @@ def classify(found: list[Block]) -> list[int]:
             out[i] = right if right != OPEN else (GOOD if inside else BAD)
         elif left == right:
             out[i] = left if left != OPEN else (GOOD if inside else BAD)
-        elif OPEN in (left, right):
+        elif OPEN in (left, right):  # the page or the article ends on one side
             only = left + right
-            out[i] = only if inside or only == BAD else (GOOD if len(found[i].text()) >= SHORT // 2 else BAD)
+            out[i] = only if inside or only == BAD else (GOOD if len(found[i].text) >= SHORT // 2 else BAD)
         else:
-            nearer = left if i - p < q - i else right if q - i < i - p else GOOD
-            out[i] = GOOD if inside else nearer
+            out[i] = left if i - p < q - i else right if q - i < i - p else GOOD
     return out
 
 
+def classify(found: list[Block]) -> list[int]:
+    """GOOD or BAD for each block, by the two passes."""
+    labels = second_pass(found, first_pass(found))
+    if GOOD not in labels and any(b.zone == OUT and b.bare == INSIDE for b in found):
+        for b in found:
+            b.zone = INSIDE if b.bare == INSIDE else OUT
+        labels = second_pass(found, first_pass(found))
+    return labels
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    return "\n".join(b.text() for b, label in zip(found, classify(found)) if label == GOOD)
+    return "\n".join(b.text for b, label in zip(found, classify(found)) if label == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
