@@ -309,16 +309,85 @@ def test_mix_meets_targets(spark, docs, none):
     assert abs(by["taken"] - by["target"]).max() <= 200 and by["target"].sum() == pytest.approx(1.5 * by["size"].sum())
     placed = mix.documents()
     assert placed.count() == got["copies"].sum() and placed.columns == [*d.columns, "shard"]
-    assert (mix.quotas.sum(axis=0) >= 0).all() and placed.select("shard").distinct().count() == mix.shards
+    assert placed.select("shard").distinct().count() == mix.shards
     assert mixing.Mix(docs).rows().count() == len(ODD) and mixing.Mix(none).rows().count() == 0 and mixing.Mix(none).documents().count() == 0
 
 
-def test_targets_and_tree():
-    t = mixing.targets(np.array([100, 100, 100, 0]), np.array([5.0, 2.0, 1.0, 5.0]), 1.5, 2.0)
-    assert t.tolist() == pytest.approx([200.0, 166.6667, 83.3333, 0.0], rel=1e-5)
-    q = np.array([7, 0, 90, 33])
-    s = mixing.split_quotas(q, 6, np.random.default_rng(0))
-    assert s.sum(axis=0).tolist() == q.tolist() and s.sum(axis=1).max() - s.sum(axis=1).min() <= 1
+def plain_targets(sizes, weights, share=1.5, cap=2.0):
+    """The contract's targets, one round after another; sources in order of code points, null last."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, free, left = {}, set(names), share * sum(sizes.values())
+    while free:
+        level = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if level[s] > cap * sizes[s]}
+        if not over:
+            return out | level
+        out |= {s: cap * sizes[s] for s in over}
+        left -= sum(cap * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_mix_against_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    names = [None, "a", "B", "\U0001f600", "\uffee", "z", "zz", "", "tiny"]
+    rows = [(i, None if i % 97 == 0 else " ".join(["w"] * int(rng.integers(0, 60))), names[int(rng.choice(9, p=[0.1, 0.34, 0.1, 0.1, 0.1, 0.1, 0.05, 0.1, 0.01]))]) for i in range(4000)]
+    rows += rows[:50]  # repeated rows
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=900, shard_words=9000)
+    got = mix.rows().toPandas()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = plain_targets(sizes, (5, 2, 1))
+    source = {i: s for i, _, s in rows}
+    for r in got.itertuples():
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken in (0, r.size, 2 * r.size)
+    by = got.assign(s=[str(source[i]) for i in got["doc_id"]]).groupby("s").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (by["taken"] - by["target"]).abs().max() <= 60
+    # What a document gives is the sum over the leaves' draws: shards hold exactly these copies.
+    placed = mix.documents().groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    per = got.groupby("doc_id")["copies"].sum()
+    assert placed.to_dict() == per[per > 0].to_dict()
+    words = mix.documents().select("shard", mixing.Mix.size().alias("n")).groupBy("shard").sum("n").toPandas()["sum(n)"]
+    assert len(words) == mix.shards and words.max() < 2 * words.min()
+    # Taking a leaf away takes its draws from the result: rows() has no other source.
+    mix.leaves = mix.leaves.where("shard <> 0")
+    assert mix.rows().agg(F.sum("taken")).first()[0] < got["taken"].sum()
+
+
+def test_the_tree_meets_quotas_and_has_the_right_spread(spark):
+    q = np.array([7, 0, 90, 33], np.int64)
+    at = np.arange(4)
+    leaves = mixing.split_node(0, 6, at, np.zeros(4, np.int64), q, 9, 1)
+    assert leaves.groupby("source_no")["quota"].sum().reindex(at, fill_value=0).tolist() == q.tolist()
+    size = leaves.groupby("lo")["quota"].sum()
+    assert len(size) == 6 and size.max() - size.min() <= 1
+    for _, own in leaves.sort_values("lo").groupby("source_no"):  # runs of draws, one after the other
+        assert own["first"].tolist() == [0, *own["quota"].cumsum().iloc[:-1]]
+    # 20,000 sources of 65,536 blocks: more than a billion draws.
+    many = np.full(20_000, 65_536, np.int64)
+    half = mixing.split_node(0, 2, np.arange(20_000), np.zeros(20_000, np.int64), many, 1, 3)
+    left = half[half["lo"] == 0]["quota"].to_numpy()
+    assert left.sum() == many.sum() // 2 and abs(left - 32_768).max() < 6 * 128 and 100 < left.std() < 156
+    rng = np.random.default_rng(0)
+    draws = np.array([mixing.hypergeometric(6 * 10**8, 14 * 10**8, 10**9, rng) for _ in range(300)])
+    assert abs(draws.mean() - 3 * 10**8) < 5 * 10247 / 300**0.5 and 9000 < draws.std() < 11600
+
+
+def test_mixes_of_many_sources(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"), F.lit("a b c d").alias("text"))
+    own = mixing.BROADCAST_SOURCES
+    mixing.BROADCAST_SOURCES = 100  # the way of very many sources
+    try:
+        got = mixing.Mix(d, shard_words=500).rows().toPandas()
+    finally:
+        mixing.BROADCAST_SOURCES = own
+    want = plain_targets({f"s{i}": 8 for i in range(1500)}, (5, 2, 1))
+    assert got["target"].to_numpy() == pytest.approx([want[f"s{i % 1500}"] for i in got["doc_id"]]) and len(got) == 3000
+    again = mixing.Mix(d, shard_words=500).rows().toPandas()
+    assert got.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
 
 
 def test_licenses(spark, docs, none):

@@ -99,7 +99,8 @@ def in_order(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     """df range-partitioned and sorted by keys (nulls first), with columns `shard` and `at`.
 
     Rows in order of (shard, at) are in order of keys. A key that many rows share is split among
-    partitions: df has to be a table from cut(), whose row ids do not change from run to run.
+    partitions: df has to be a table from cut(), whose row ids do not change from run to run. Bounds
+    come from a sample that differs from plan to plan: read the result once, or cut() it.
     """
     n = parts or partitions(df.sparkSession)
     dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *[F.col(k) for k in keys], F.col("_row"))
