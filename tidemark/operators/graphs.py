@@ -3,40 +3,83 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) for every end of edges (src, dst): the smallest node reachable.
+#: Links of one node up to which they meet in one task.
+HUB = 256
 
-    Alternates links of a node's larger neighbours, and of its smaller ones, to the smallest. Each
-    round's links are checkpointed, so a lost executor costs one round.
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df after a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Only a local master may do without that folder: elsewhere a folder of our own would be each machine's own.
     """
-    spark = edges.sparkSession
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
 
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+            base = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
-    links = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
-    nodes = links.select(F.col("hi").alias("node")).union(links.select("lo")).distinct().checkpoint()
-    links = links.where("hi <> lo").checkpoint()
+    return df.checkpoint()
+
+
+def spread_join(rows: DataFrame, key: str, values: DataFrame, total: int, hub: int = HUB) -> DataFrame:
+    """rows inner-joined on key to values, which has one row a key and its count of rows in column `n`.
+
+    No key's rows meet in one task: those of keys with over max(hub, total / 10,000) of the total rows, so
+    at most 10,000 keys, are joined where they are, by broadcast; the others by shuffle.
+    """
+    bar = max(hub, total // 10_000)
+    hot = F.broadcast(values.where(F.col("n") > bar).drop("n"))
+    cold = values.where(F.col("n") <= bar).drop("n")
+    rest = rows.join(F.broadcast(values.where(F.col("n") > bar).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def star_components(pairs: DataFrame, store: Callable[[DataFrame], DataFrame], free: Callable[[DataFrame], None] = lambda _: None, rounds: int = 60) -> DataFrame:
+    """pairs (hi, lo), hi > lo, as (hi, lo) with lo the smallest node reachable from hi.
+
+    Alternating large-star and small-star rounds. Each round's pairs are stored, so a lost executor
+    costs one round. A node's links never meet in one task: minima are taken in part before each
+    shuffle, and a hub's minimum goes to its links and not they to it.
+    """
+    pairs = store(pairs)
     for _ in range(rounds):
-        around = links.union(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        lowest = around.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("lo"), F.least("hi", "m").alias("m"))
-        large = links.join(lowest, "lo").select("hi", F.col("m").alias("lo"))
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
-        after = small.where("hi <> lo").distinct().checkpoint()
-        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
-            break
-        links = after
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(links.withColumnRenamed("hi", "node"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))
+        total = pairs.count()
+        # Large star: every higher neighbour of a node links to the node's smallest neighbour.
+        ends = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("m"), F.lit(1).alias("one")).union(pairs.select("hi", "lo", F.lit(0)))
+        least = ends.groupBy("node").agg(F.min("m").alias("m"), F.sum("one").alias("n")).where("n > 0").withColumnRenamed("node", "lo")
+        large = spread_join(pairs, "lo", least, total).select("hi", F.col("m").alias("lo")).distinct()
+        # Small star: a node and its lower neighbours link to the smallest of them.
+        large = store(large)
+        smallest = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        lower = spread_join(large, "hi", smallest, total).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        after = store(lower.union(smallest.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
+        free(large)
+        # Pairs are distinct and never more than before, so equal counts and no new pair mean no change.
+        settled = after.count() == total and after.join(pairs, ["hi", "lo"], "left_anti").isEmpty()
+        free(pairs)
+        pairs = after
+        if settled:
+            return pairs
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for every end of edges (src, dst): the smallest node reachable."""
+    links = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    nodes = checkpointed(links.select(F.col("hi").alias("node")).union(links.select("lo")).distinct())
+    stars = star_components(links.where("hi <> lo"), checkpointed, rounds=rounds)
+    return nodes.join(stars.withColumnRenamed("hi", "node"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 
 def potts(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float) -> np.ndarray:
