@@ -16,10 +16,12 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset (tests, a single machine) a folder of our own is made.
+    Only where that is unset and the master is local (tests, a single machine) a folder of our own is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.operators.graphs import star_components
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,28 +37,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in links (src long, dst long): the smallest node reachable.
 
-    Each round is two shuffles of one row per link at most and ends in a table in the shared folder.
-    A star's links are spread over its leaves before they are gathered, and partial minima are
-    taken before each shuffle, so a hub costs no task more than its share.
+    Links are thinned to a forest per task first, and every round ends in a table in the shared folder.
     """
     pairs = links.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo")
-    pairs = common.cut(_thin(pairs), "links")
-    for _ in range(max_rounds):
-        # Large star: every higher neighbour of a node links to the node's smallest neighbour.
-        both = pairs.union(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = pairs.join(least.withColumnRenamed("node", "lo"), "lo").select("hi", F.col("m").alias("lo"))
-        # Small star: a node and its lower neighbours link to the smallest of them.
-        smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(smallest, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(smallest.select("hi", F.col("m").alias("lo")))
-        after = common.cut(_thin(small.where("hi <> lo")), "links")
-        moved = after.join(pairs, ["hi", "lo"], "left_anti").limit(1).count() or pairs.join(after, ["hi", "lo"], "left_anti").limit(1).count()
-        common.drop(pairs)
-        pairs = after
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    pairs = star_components(_thin(pairs), lambda df: common.cut(df, "links"), common.drop, max_rounds)
     heads = pairs.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(heads)
 
