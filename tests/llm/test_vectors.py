@@ -90,3 +90,25 @@ def test_links(spark, vectors):
     for k in [*range(700, 706), 800, 801]:
         assert own.loc[k, "n_links"] == 0 and own.loc[k, "component_id"] == k
     assert capfilters.link(table(spark, v[:1], [0]).limit(0), "vec_id", "embedding", "label").count() == 0
+
+
+def test_one_id_with_two_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((120, 16))
+    v[1] = v[0] + 0.01 * rng.standard_normal(16)  # near one another, and both under id 0
+    v[60:90] = v[60] + 0.01 * rng.standard_normal((30, 16))
+    ids = [0, 0, *range(2, 120)]
+    rows = [(i, [float(x) for x in r], 1, 0.0, "k") for i, r in zip(ids, v)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in capfilters.link(spark.createDataFrame(rows, VEC), "vec_id", "embedding", "label").collect())
+    x = np.asarray(v, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    least = [min([ids[i], *(ids[j] for j in np.flatnonzero(link[i]))]) for i in range(120)]
+    assert got == sorted((ids[i], int(link[i].sum()), least[i]) for i in range(120)) and got[0][1] == 1
+    found = ann.search(spark.createDataFrame(rows, VEC), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).toPandas()
+    # Both rows of id 0 ask; neither is a candidate of that id, and each other row is found once.
+    mine = found[found["query_id"] == 0]
+    assert 0 not in set(mine["vec_id"]) and sorted(mine["rank"]) == list(range(1, 21)) and mine["vec_id"].is_unique
+    best = np.sort(np.unique(np.round(np.maximum(v[0].astype(np.float32).astype(float) @ v[2:].astype(np.float32).astype(float).T, v[1].astype(np.float32).astype(float) @ v[2:].astype(np.float32).astype(float).T), 9)))[::-1][:20]
+    assert mine.sort_values("rank")["score"].to_numpy() == pytest.approx(best, abs=1e-6)

@@ -11,9 +11,9 @@ Graph and beam compare vectors in single precision, packed as bytes: four a comp
 way; the beam that is left is compared exactly, in double precision, on the original vectors. Work per node depends on `k`, `sample` and `beam` alone.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those of another length than most; null ids neither; rows that share an id and a vector
-are candidates of each other only under another id; fewer candidates than `top` give fewer rows; an
-empty table gives none.
+part, nor do those of another length than most; null ids neither; rows that share a query's id are no
+candidates of it, and an id with several vectors asks with, and is found by, the nearest of them; fewer
+candidates than `top` give fewer rows; an empty table gives none; other columns give way.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import common
+from tidemark.operators.graphs import spread_join
 
 #: Nodes that one task holds at a time.
 BLOCK = 2048
+#: Pairs that ask for one node's code, from which on that code is broadcast.
+HOT = 4096
 
 
 def usable(vector: str) -> Column:
@@ -152,9 +155,14 @@ def descend(edges: DataFrame, nodes: DataFrame, n: int, dim: int, k: int, sample
     blocks = max(1, -(-n // BLOCK))
     known = nodes.join(edges.groupBy("v").agg(F.max("worst").alias("worst")).withColumnRenamed("v", "node"), "node", "left").na.fill(float("-inf"), ["worst"])
     picked = edges.where("pick > 0").select("v", "u", "pick")
-    # A node meets those it points at and those that point at it.
-    pairs = picked.select(F.col("v").alias("at"), F.col("u").alias("node"), "pick", F.lit(False).alias("back")).union(picked.select("u", "v", "pick", F.lit(True)))
-    met = pairs.join(known, "node").withColumn("block", _block("at", blocks))
+    # A node meets those it points at and `sample` of those that point at it: of a node that all point at,
+    # each task hands on no more than that many.
+    w = Window.partitionBy("u", "pick").orderBy(F.xxhash64("v", F.lit(salt)), "v")
+    back = picked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
+    pairs = picked.select(F.col("v").alias("at"), F.col("u").alias("node"), "pick", F.lit(False).alias("back")).union(back.select("u", "v", "pick", F.lit(True)))
+    # Codes of nodes that very many pairs ask for go to the pairs.
+    asked = known.join(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+    met = spread_join(pairs, "node", asked, 2 * k * n, HOT).withColumn("block", _block("at", blocks))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         at, node, pick, back = (pdf[c].to_numpy() for c in ("at", "node", "pick", "back"))
@@ -288,12 +296,13 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
     # -0.0 equals 0.0 in comparisons, so it is one and the same component.
     rows = common.cut(rows.where(F.size("vec") == dim).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))), "vectors")
     # Distinct vectors are the nodes. A query needs no more than top + 1 members of any of them.
-    classes = common.cut(rows.groupBy("vec").agg(F.min("id").alias("node")), "nodes")
+    # Such a node is known by its row in a stored table: an id may come with several vectors.
+    classes = common.cut(rows.groupBy("vec").agg(F.min("id").alias("least")), "classes")
+    classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = rows.join(classes, "vec").select("id", "node", "asks").distinct()
     member = common.cut(member, "members")
-    classes = classes.select("node", "vec")
     n = classes.count()
-    nodes = common.cut(nodes_of(classes, dim), "codes")
+    nodes = common.cut(nodes_of(classes.select("node", "vec"), dim), "codes")
     own = {x: options[x] for x in ("k", "sample", "trees", "bucket", "rounds", "settled", "seed") if x in options}
     edges = graph(nodes, n, dim, **own)
     starts = member.where("asks").select(F.col("node").alias("q")).distinct()
@@ -302,15 +311,18 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
     # The beam on the original vectors, in double precision.
     exact = beam.join(classes.withColumnRenamed("vec", "b"), "node").join(classes.select(F.col("node").alias("q"), F.col("vec").alias("a")), "q")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("q", "node", dot.alias("score"))
+    exact = exact.select("q", "node", "least", dot.alias("score"))
+    asked = member.where("asks").select(F.col("node").alias("q"), F.col("id").alias("query_id")).distinct()
+    # Vectors of the id that has most: so many entries of a list may be one row's.
+    most = member.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     # First the nodes that can hold a query's top: then their members, then the top of these.
-    by_node = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    exact = exact.withColumn("r", F.dense_rank().over(by_node)).where(F.col("r") <= top + 1).drop("r")
+    by_node = Window.partitionBy("q").orderBy(F.desc("score"), "least", "node")
+    exact = exact.withColumn("r", F.row_number().over(by_node)).where(F.col("r") <= (top + 1) * most).drop("r", "least")
     few = Window.partitionBy("node").orderBy("id")
     listed = member.select("node", "id").distinct().withColumn("r", F.row_number().over(few)).where(F.col("r") <= top + 1).drop("r")
-    asked = member.where("asks").select(F.col("node").alias("q"), F.col("id").alias("query_id")).distinct()
     # Queries of one node share its list; each leaves itself out.
-    lists = exact.join(listed, "node").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= top + 1)
-    out = asked.join(lists, "q").where("query_id <> id")
+    lists = exact.join(listed, "node").groupBy("q", "id").agg(F.max("score").alias("score"))
+    lists = lists.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= top + 1).drop("r")
+    out = asked.join(lists, "q").where("query_id <> id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

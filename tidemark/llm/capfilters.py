@@ -17,7 +17,8 @@ spanning forest, never its pairs. A filter with many vectors is dealt out in til
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows
 without a label and rows without an id link with nothing; such a row is its own component and kept
 (a null id has no component). Vectors link only with those of equal length. Equal vectors of a label
-link with each other. An empty table gives no rows.
+link with each other. Rows that share an id are rows of their own, each with its vector's links. Other
+columns give way. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,7 +116,9 @@ def link(vectors: DataFrame, id_column: str, vector_column: str, label_column: s
     rows = rows.withColumn("vec", F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vec"), F.transform("vec", lambda x: x.cast("double") + F.lit(0.0))))
     rows = common.cut(rows.withColumn("dim", F.size("vec")), "vectors")
     live = rows.where("vec is not null")
-    classes = common.cut(live.groupBy("label", "dim", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("m")), "classes")
+    # A class is known by its row in a stored table: an id may come with several vectors.
+    classes = common.cut(live.groupBy("label", "dim", "vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")), "classes")
+    classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One row per label and length: the largest count sets the filters.
     sizes = classes.groupBy("label", "dim").count().agg(F.max("count"), F.max("dim")).first()
     n, dim = (sizes[0] or 1), (sizes[1] or 2)
@@ -211,8 +214,10 @@ def link(vectors: DataFrame, id_column: str, vector_column: str, label_column: s
 
     found = common.cut(spread.groupBy("task").applyInPandas(compare, "node long, to long, n long"), "found")
     links = found.where("node <> to").select(F.col("node").alias("src"), F.col("to").alias("dst"))
-    of_node = classes.select("label", "dim", "vec", "node", "m").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(components(links), "node", "left")
-    of_node = of_node.select("label", "dim", "vec", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    of_node = classes.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(components(links), "node", "left")
+    of_node = common.cut(of_node.withColumn("component", F.coalesce("component", "node")), "linked")
+    smallest = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = of_node.join(smallest, "component").select("label", "dim", "vec", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"), "component_id")
     linked = live.join(of_node, ["label", "dim", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where("vec is null").select("id", F.lit(0).cast("long"), F.col("id").alias("component_id"))
     out = linked.unionAll(alone)
