@@ -116,6 +116,21 @@ def test_groups_exchange_what_is_left(spark):
         assert len(few) == 3000 and few.groupby("sequence_id")["length"].sum().max() <= 2048
         assert few["sequence_id"].nunique() <= np.ceil(over * packing.lower_bound(x, 2048))
         assert sorted(few["doc_id"]) == list(range(3000))
+        sure = packing.certificate(packing.pack(items, 2048, group=300))
+        assert sure["sequences"] == few["sequence_id"].nunique() and sure["bound"] == packing.lower_bound(x, 2048) and sure["gap"] == sure["sequences"] - sure["bound"]
+
+
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    """No fixed number of rounds: the last one saves nothing, meets the bound, or has one group."""
+    from tidemark.llm import common
+
+    rounds = []
+    own = packing._round
+    monkeypatch.setattr(packing, "_round", lambda *a: (rounds.append(a[-1]), own(*a))[1])
+    x = np.random.default_rng(2).integers(600, 1100, 4000)
+    items = common.cut(spark.createDataFrame(pd.DataFrame({"doc_id": range(4000), "length": x})), "items")
+    got = packing.pack(items, 2048, group=40)
+    assert got.count() == 4000 and len(rounds) > 4
 
 
 def test_block_coding_round_trip():
@@ -203,6 +218,10 @@ def test_trie_join_finds_all_close_pairs(spark):
     assert dict(zip(a, b)) == dict(zip(c, d))
 
 
+def test_the_walk_deepens_with_the_table():
+    assert simhash.depth_for(10**6, 4096) == 14 and simhash.depth_for(10**10, 4096) == 18 and simhash.depth_for(10**13, 4096) == 20
+
+
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]

@@ -4,7 +4,8 @@ A document becomes pieces of at most `length` tokens. Pieces are dealt at random
 group packs its pieces by best-fit decreasing and proves a lower bound on the number of bins with
 dual feasible functions. A group whose count equals its bound is done but for its emptiest bin. A
 group with a gap gives up every bin that is not full. What was given up is dealt anew among fewer
-groups and packed again, until one group is left or a round saves nothing.
+groups and packed again, until one group is left, a round saves nothing, or as few bins are made as the
+bound for all pieces together allows.
 
 Defined results: null text is empty and gives one piece of the end id alone; repeated rows are
 packed once each; an empty table gives no rows; columns that clash with those added are dropped.
@@ -26,7 +27,6 @@ from tidemark.llm.tokens import encoder
 
 #: Pieces that one group packs: they fit in a worker's memory many times over.
 GROUP = 65_536
-ROUNDS = 4
 
 
 def split_lengths(n: int, length: int) -> list[int]:
@@ -97,9 +97,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     Rounding: u_k(x) = x if (k+1)x is an integer, else floor((k+1)x)/k, for x = length/capacity.
     Threshold: items over 1-e count whole, those under e count nothing, the rest as they are.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """lower_bound() of counts[n] items of each length n."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ size) // capacity)
     for k in range(1, 41):
@@ -117,35 +119,44 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, length: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def histogram(items: DataFrame, length: int) -> np.ndarray:
+    """Pieces of each length from 0 to `length`: all that a bound needs."""
+    counts = np.zeros(length + 1, np.int64)
+    for r in items.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return counts
+
+
+def certificate(packed: DataFrame, length: int = 2048) -> dict[str, int]:
+    """Of packed pieces: the sequences used, the bound that no packing can go below, and the gap between them."""
+    used = packed.agg(F.countDistinct("sequence_id")).first()[0]
+    bound = bound_of(histogram(packed, length), length)
+    return {"sequences": used, "bound": bound, "gap": used - bound}
+
+
+def pack(items: DataFrame, length: int = 2048, group: int = GROUP) -> DataFrame:
     """items (a table from cut() with column `length`) with sequence_id, offset and, per row, whether
     its group's bin count was certified in the round that placed it (`certified`).
 
-    A sequence_id is round << 56 | group << 24 | bin.
+    A sequence_id is round << 52 | group << 24 | bin.
     """
     keep = [c for c in items.columns if c not in ("sequence_id", "offset", "certified", "_row", "_group", "_free")]
     items = items.select(*keep)
-    spark = items.sparkSession
     full = items.where(F.col("length") == length).withColumn("sequence_id", (F.lit(1 << 62) + F.monotonically_increasing_id()).cast("long"))
     done = [full.select(*keep, "sequence_id", F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
-    open_items, before = items.where(F.col("length") < length), None
-    for r in range(rounds):
-        n = open_items.count()
-        if not n:
-            break
+    open_items, before, r = items.where(F.col("length") < length), None, 0
+    counts = histogram(open_items, length)
+    n, bound, settled = int(counts.sum()), bound_of(counts, length), 0
+    while n:
         groups = -(-n // group)
         packed = common.cut(_round(open_items, keep, length, r, groups), f"packed{r}")
-        if before is not None:
-            # What a round gave up may not fit better: then the bins of the round before stay.
-            now = packed.agg(F.countDistinct("sequence_id")).first()[0]
-            was = before.where("_free").agg(F.countDistinct("sequence_id")).first()[0]
-            if now >= was:
-                done.append(before.where("_free"))
-                before = None
-                break
-        before = packed
+        n, now, kept = packed.agg(F.count(F.when(F.col("_free"), 1)), F.countDistinct(F.when(F.col("_free"), F.col("sequence_id"))), F.countDistinct(F.when(~F.col("_free"), F.col("sequence_id")))).first()
+        # What a round gave up may not fit better: then the bins of the round before stay.
+        if before is not None and now + kept >= was:
+            break
+        before, was, r, settled = packed, now, r + 1, settled + kept
         done.append(packed.where(~F.col("_free")))
-        if groups == 1:
+        if groups == 1 or settled + now <= bound:
             break
         open_items = packed.where("_free").select(*keep)
     if before is not None:
@@ -173,7 +184,7 @@ def _round(items: DataFrame, keep: list[str], length: int, r: int, groups: int)
                 free[np.argmin(fill)] = True
             else:
                 free = fill < length
-        return pdf[keep].assign(sequence_id=(r << 56) | (int(key[0]) << 24) | bins, offset=offsets, certified=certified, _free=free[bins])
+        return pdf[keep].assign(sequence_id=(r << 52) | (int(key[0]) << 24) | bins, offset=offsets, certified=certified, _free=free[bins])
 
     return dealt.groupBy("_group").applyInPandas(run, schema)
 

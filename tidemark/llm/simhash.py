@@ -4,8 +4,8 @@ Two fingerprints within `budget` = 3 bits of each other differ in at most one bi
 halves. So there are two tries: over the fingerprint, with at most one bit spent in its first half,
 and over the fingerprint with its halves swapped, likewise. A pair of nodes is walked together, the
 bits in which their paths differ add up, and it is dropped as soon as they exceed what the depth
-allows. The top of the walk runs on the driver over counts of 2**TOP prefixes; what is left of it
-becomes tasks of a bounded number of fingerprints each, and these go on with numpy.
+allows. The top of the walk runs on the driver over counts of prefixes, whose length grows with
+the table; what is left of it becomes tasks of a pair of nodes each, and these go on with numpy.
 
 Equal fingerprints are one entry of the trie, and a task returns a spanning forest of the links that
 it found, never all pairs: no link between different texts is lost, and a large group of copies or
@@ -26,9 +26,9 @@ from tidemark.llm import common
 from tidemark.llm.components import components, forest
 
 BUDGET = 3
-#: Depth to which the driver walks: it holds at most 2**TOP counts.
-TOP = 14
-#: Fingerprints of a node below which a pair of nodes becomes one task.
+#: Least and largest depth to which the driver walks: it holds at most 2**20 counts.
+TOP, DEEPEST = 14, 20
+#: Fingerprints of a node below which a pair of nodes becomes one task, as far as the walk is deep enough.
 LEAF = 4096
 #: Node pairs of this many fingerprint pairs or fewer are compared at once.
 SMALL = 64
@@ -72,14 +72,19 @@ def allowed(depth: int) -> int:
     return 1 if depth <= 32 else BUDGET
 
 
+def depth_for(n: int, leaf: int) -> int:
+    """Depth of the driver's walk for n fingerprints: even ones would be some sixteen leaves a node."""
+    return min(DEEPEST, max(TOP, (n // (16 * leaf)).bit_length()))
+
+
 def plan(counts: np.ndarray, leaf: int) -> tuple[np.ndarray, list[list[int]], int]:
-    """Walk the top of a trie, of which counts has the fingerprints under each prefix of TOP bits.
+    """Walk the top of a trie, of which counts has the fingerprints under each prefix of so many bits.
 
     Returns the node of each prefix, each node's tasks, and the number of tasks. A node is (depth,
     path); nodes where the walk stops form a cut through the trie: the first below which there are
     at most `leaf` fingerprints.
     """
-    sums = [counts]
+    sums, top = [counts], len(counts).bit_length() - 1
     while len(sums[-1]) > 1:
         sums.append(sums[-1].reshape(-1, 2).sum(axis=1))
     sums.reverse()  # sums[d][path]
@@ -89,9 +94,9 @@ def plan(counts: np.ndarray, leaf: int) -> tuple[np.ndarray, list[list[int]], in
         d, p = stack.pop()
         if not sums[d][p]:
             continue
-        if sums[d][p] <= leaf or d == TOP:
+        if sums[d][p] <= leaf or d == top:
             nodes[d, p] = len(nodes)
-            node_of[p << (TOP - d) : (p + 1) << (TOP - d)] = nodes[d, p]
+            node_of[p << (top - d) : (p + 1) << (top - d)] = nodes[d, p]
         else:
             stack += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
     tasks: list[list[int]] = [[] for _ in nodes]
@@ -201,12 +206,13 @@ def links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
     spark = prints.sparkSession
     rotated = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     keys = prints.select(F.lit(0).alias("trie"), F.col("fp").alias("key")).union(prints.select(F.lit(1), rotated))
-    prefix = F.shiftrightunsigned("key", 64 - TOP).cast("int")
+    top = depth_for(prints.count(), leaf)
+    prefix = F.shiftrightunsigned("key", 64 - top).cast("int")
     counted = keys.groupBy("trie", prefix.alias("prefix")).count().toPandas()
     plans, first = {}, 0
     for trie in (0, 1):
         own = counted[counted["trie"] == trie]
-        counts = np.zeros(1 << TOP, np.int64)
+        counts = np.zeros(1 << top, np.int64)
         counts[own["prefix"].to_numpy()] = own["count"].to_numpy()
         node_of, tasks, made = plan(counts, leaf)
         plans[trie] = node_of, [[t + first for t in x] for x in tasks]
@@ -218,7 +224,7 @@ def links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
             for trie, own in pdf.groupby("trie"):
                 node_of, tasks = shared.value[trie]
                 key = own["key"].to_numpy(np.int64)
-                node = node_of[key.view(np.uint64) >> np.uint64(64 - TOP)]
+                node = node_of[key.view(np.uint64) >> np.uint64(64 - top)]
                 width = np.array([len(x) for x in tasks])
                 n = width[node]
                 flat = np.array([t for x in tasks for t in x], np.int64)
@@ -229,7 +235,7 @@ def links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         swapped = bool(pdf["trie"].iat[0])
         fp = np.sort(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        node = plans_node(shared.value[int(swapped)][0], fp)
+        node = shared.value[int(swapped)][0][fp >> np.uint64(64 - top)]
         between = node[0] != node[-1]
         src, dst = [], []
         for i, j in close_pairs(fp, swapped):
@@ -247,10 +253,6 @@ def links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(walk, "src long, dst long")
 
 
-def plans_node(node_of: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    return node_of[fp >> np.uint64(64 - TOP)]
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id reachable by links.
 
