@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Any match of a pattern lies within one run of its characters, and these hold few of a text's.
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_DIGIT_RUN = re.compile(r"[0-9+][0-9\x20().+-]*")
+_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]++")
+_DIGIT_RUN = re.compile(r"[0-9+][0-9\x20().+-]*+")
+#: What follows an at sign, and chains of digits with single dots between: read once, without going back.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 
 Span = tuple[str, int, int]
 
@@ -62,20 +67,44 @@ def _is_phone(s: str) -> bool:
     return 10 <= len(digits(s)) <= 15
 
 
+def _emails(text: str, lo: int, hi: int) -> Iterator[Span]:
+    """Matches of the e-mail pattern within a run of its characters, found from the at signs: linear in the run."""
+    free, at = lo, text.find("@", lo, hi)  # what is before `free` belongs to a match or to another at sign
+    while at >= 0:
+        if at > free and (m := _DOMAIN.match(text, at + 1, hi)):
+            yield "email", free, m.end()
+            free = m.end()
+        else:
+            free = at + 1
+        at = text.find("@", at + 1, hi)
+
+
+def _addresses(text: str, lo: int, hi: int) -> Iterator[Span]:
+    """Matches of the IP pattern whose parts are at most 255: every four neighbours of a dotted chain."""
+    for m in _DOTTED.finditer(text, lo, hi):
+        parts = m[0].split(".")
+        a = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            own = ".".join(parts[i : i + 4])
+            if _is_ip(own):
+                yield "ip", a, a + len(own)
+            a += len(own) + 1
+
+
 def base_spans(text: str) -> list[Span]:
-    """Spans of the patterns, by start and then kind."""
+    """Spans of the patterns, by start and then kind. Takes time in proportion to the text."""
     out: list[Span] = []
     if "@" in text:
         for run in _EMAIL_RUN.finditer(text):
             if "@" in run[0]:
-                out += [("email", *m.span()) for m in _EMAIL.finditer(text, *run.span())]
+                out += _emails(text, *run.span())
     for run in _DIGIT_RUN.finditer(text):
         lo, hi = run.span()
         if hi - lo < 7:
             continue
         s = run[0]
         if s.count(".") >= 3:
-            out += [("ip", *m.span()) for m in _IP.finditer(text, lo, hi) if _is_ip(m[0])]
+            out += _addresses(text, lo, hi)
         if hi - lo >= 14:
             out += [("card", *m.span()) for m in _CARD.finditer(text, lo, hi) if _is_card(m[0])]
         if "+" in s:
@@ -295,13 +324,19 @@ def labelled_table(rows: int = 500, seed: int = 7) -> list[tuple[str, list[Span]
 _CHECK = {"email": lambda s: bool(_EMAIL.fullmatch(s)), "ip": lambda s: bool(_IP.fullmatch(s)) and _is_ip(s), "card": _is_card, "phone": _is_phone}
 
 
+def _reach(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts of spans (sorted), and how far the spans up to each of them reach."""
+    return [a for _, a, _ in spans], list(accumulate((b for _, _, b in spans), max))
+
+
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """What the field finds in each text besides its base spans, and passes the check of its kind."""
     where, seqs = [], []
+    reach = [_reach(b) for b in base]
     for i, text in enumerate(texts):
-        covered = base[i]
+        starts, ends = reach[i]
         for run in chains(text):
-            if all(any(lo <= a and b <= hi for _, lo, hi in covered) for a, b, _ in run):
+            if starts and all((k := bisect_right(starts, a)) and ends[k - 1] >= b for a, b, _ in run):
                 continue  # all of it is known
             where.append((i, run))
             seqs.append([features(text[a:b], w, k == 0, k == len(run) - 1) for k, (a, b, w) in enumerate(run)])
@@ -321,7 +356,9 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
                 a += 1
             while a < b and texts[i][b - 1] in "()":
                 b -= 1
-            if _CHECK[kind](texts[i][a:b]) and not any(a < hi and lo < b for _, lo, hi in base[i]):
+            starts, ends = reach[i]
+            k = bisect_left(starts, b)
+            if _CHECK[kind](texts[i][a:b]) and not (k and ends[k - 1] > a):
                 out[i].append((kind, a, b))
     return out
 
