@@ -235,6 +235,39 @@ def test_base_spans_match_the_patterns():
     real = [t for t, _ in pii.labelled_table(200, 5)] + pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"].tolist()
     for t in odd + real:
         assert pii.base_spans(t) == plain_spans(t)
+    rng = np.random.default_rng(3)
+    for _ in range(4000):  # random texts of the patterns' own characters
+        t = "".join(rng.choice(list("ab1@.-_%+ 2(9é"), rng.integers(1, 40)))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_patterns_and_field_take_time_in_proportion():
+    import time
+
+    field = pii.Field.fit(pii.labelled_table())
+    for t in ("a" * 400_000 + "@", "a@" * 200_000, "1" * 200_000 + " 1.2.3.4", "1." * 200_000, "+1(" * 100_000, "1 " * 200_000, "a.b@" * 100_000 + "c.d", "x1" * 200_000, "a.b@c.de or 10.0.0.1 " * 15_000):
+        began = time.time()
+        base = [pii.base_spans(t)]
+        pii.added_spans([t], base, field)
+        assert time.time() - began < 8, t[:8]
+
+
+def test_reported_counts_and_digest(spark):
+    import hashlib
+
+    rows = [*[(r[0], r[1]) for r in pd.read_parquet("/root/testdata/sf0.001/documents.parquet")[["doc_id", "text"]].itertuples(index=False)], (9001, None), (9002, ""), (9003, "é a@b.cd, 10.0.0.1 4524132264652876 +1 269 555 3296"), (9003, "twice a@b.cd a@b.cd"), (None, "x@y.zz")]
+    got = sorted(pii.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_ip", F.lit("clash"))).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["base_sha256"]))
+    want = []
+    for i, t in rows:
+        base = plain_spans(t or "")
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        want.append((i, *[sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")], hashlib.sha256(written.encode()).hexdigest()))
+    want.sort(key=lambda r: (r[0] is None, r[0], r[5]))
+    assert [tuple(r)[:6] for r in got] == want and sum(r["n_email"] for r in got) >= 4
+    base = {r[5]: r for r in want}
+    for r in got:  # base spans stay among all spans
+        spans = set(filter(None, r["spans"].split(",")))
+        assert len(spans) >= sum(base[r["base_sha256"]][1:5])
 
 
 def test_field_adds_spans_with_few_false_ones():
@@ -536,3 +569,75 @@ def test_pages_with_clashing_columns_and_ties(spark):
     pages = spark.createDataFrame([(1, "u", p, 5, "t"), (1, "u", p, 6, "s"), (None, None, p, 7, None)], "page_id long, url string, html string, n_chars int, text string")
     got = html.extract(pages)
     assert got.columns == ["page_id", "url", "text", "n_chars"] and [r["n_chars"] for r in got.collect()] == [len(PROSE)] * 3
+
+
+#: Fixed value: the whole text of a public license, as its steward publishes it.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def plain_alignment(text, template):
+    """The best local alignment of words without a band: (score, matched, first, end), ties to the earliest end."""
+    best, above = (0, 0, 0, 0), [(0, 0, 0)] * (len(text) + 1)
+    for word in template:
+        row = [(0, 0, 0)]
+        for at, w in enumerate(text):
+            s, m, f = above[at]
+            options = [(0, 0, at + 1), (s + (2 if w == word else -1), m + (w == word), f if s > 0 else at)]
+            options += [(x[0] - 1, *x[1:]) for x in (above[at + 1], row[at]) if x[0]]
+            row.append(max(options, key=lambda x: (x[0], x[1])))
+            if row[-1][:2] > best[:2]:
+                best = (*row[-1], at + 1)
+        above = row
+    return best
+
+
+def test_licenses_against_plain_alignment():
+    rng = np.random.default_rng(11)
+    templates = {"MIT-text": MIT_TEXT, "common": "use of this code and all of the work in it is free to any and all of you", **{k: licenses.TEMPLATES[k] for k in ("GPL-3.0-header", "CC-BY-4.0", "BSD-short")}}
+    index = licenses.Index(templates)
+    filler = [f"zq{i}" for i in range(200)]
+    for name, notice in templates.items():
+        words = re.findall("[a-z0-9]+", notice.lower())
+        for edits in (0, 1, 2, 3):
+            for _ in range(3):
+                own = list(words)
+                for _ in range(edits):
+                    at = int(rng.integers(len(own)))
+                    own[at : at + 1] = [[], [str(rng.choice(filler))], [own[at], str(rng.choice(filler))]][int(rng.integers(3))]
+                text = [*rng.choice(filler, 30), *own, *rng.choice(filler, 25)]
+                want = plain_alignment(text, words)
+                got = licenses.matches(" ".join(text), index, 0.8)
+                if want[1] / len(words) < 0.8:
+                    continue
+                ends = np.cumsum([len(w) + 1 for w in text]) - 1
+                assert [(f[0], f[2], f[3], f[4]) for f in got] == [(name, want[1], ends[want[2]] - len(text[want[2]]), ends[want[3] - 1])], (name, edits)
+    # A part of a whole text is that much of it, and no match below `least`.
+    part = MIT_TEXT[MIT_TEXT.index("THE SOFTWARE IS") :]
+    assert licenses.matches(part, index, 0.8) == [] and licenses.matches(part, index, 0.3)[0][0] == "MIT-text"
+
+
+def test_license_scan_takes_time_in_proportion():
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    took = []
+    for n in (2000, 8000):
+        began = time.time()
+        assert len(licenses.matches("Released under the MIT License. " * n, index, 0.8)) == n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0]
+    whole = licenses.Index({"MIT-text": MIT_TEXT})
+    began = time.time()
+    assert licenses.matches("the software is furnished to do so and in the software or the use " * 20_000, whole, 0.8) == []
+    assert time.time() - began < 60
+
+
+def test_scan_rows(spark):
+    d = spark.createDataFrame([(1, MIT_TEXT, "x"), (1, MIT_TEXT, "x"), (None, "Released under the MIT License.", None), (2, "word " * 200_000 + MIT_TEXT, None)], "doc_id long, text string, license string")
+    got = licenses.scan(d, {"MIT-text": MIT_TEXT, "MIT": licenses.TEMPLATES["MIT"], "two": "mit license"}).collect()
+    assert sorted((r["doc_id"] or -1, r["license"], r["coverage"]) for r in got) == [(-1, "MIT", 1.0), (1, "MIT-text", 1.0), (1, "MIT-text", 1.0), (2, "MIT-text", 1.0)]
+    assert [r["start"] for r in got if r["doc_id"] == 2] == [1_000_000]

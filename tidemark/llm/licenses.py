@@ -5,18 +5,21 @@ the smallest stays, so any run of GRAM + WINDOW - 1 words that a text shares wit
 fingerprint. The inverted index leads from a text's fingerprints to templates and diagonals; along
 each candidate diagonal a local alignment of words within a band gives the matched words and span.
 
-A text can share a fingerprint only if it holds the rarest word of some gram in the index, so texts
-that hold none of these are passed over without being cut into words.
+A text can share a fingerprint only if it holds some word of its gram, so texts that hold none of the
+anchors, one word of each gram in the index, are passed over without being cut into words. Along a
+diagonal whose band holds too few of a template's words to reach `least`, nothing is aligned.
 
 Defined results: null and empty texts match nothing; repeated rows match alike; null ids are passed
 through; an empty table gives no rows. Where matches of several templates overlap, the one with more
-matched words stays, then the one with the higher coverage, then the first name.
+matched words stays, then the one with the higher coverage, then the first name; a template of fewer than
+GRAM words matches nothing; other columns give way.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Set
 
@@ -49,7 +52,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words that other texts hold as well, never used to pass texts over.
+#: Words that other texts hold as well: an anchor only where a gram has no other.
 _COMMON = frozenset("a above all author can code copies style your and any are at be by can for following free in is may not of on or other that the this to under use with without work you person met found source files 0 2 3 4".split())
 
 
@@ -74,14 +77,18 @@ class Index:
         for name, words in self.words.items():
             h = _hashes(words)
             for i in winnow(h):
-                rare = [w for w in words[i : i + GRAM] if w not in _COMMON]
-                if not rare:  # a gram of common words alone is no fingerprint
-                    continue
                 self.places[h[i]].append((name, i))
                 # The commonest of the telling words: few anchors then cover all grams.
-                anchors.add(max(rare, key=lambda w: (often[w], len(w), w)))
+                gram = words[i : i + GRAM]
+                rare = [w for w in gram if w not in _COMMON]
+                anchors.add(max(rare, key=lambda w: (often[w], len(w), w)) if rare else max(gram, key=lambda w: (len(w), w)))
         self.anchors = sorted(anchors)
 
+    def need(self, name: str, least: float) -> int:
+        """Fewest matched words whose share of a template is at least `least`."""
+        n = len(self.words[name])
+        return next(m for m in range(1, n + 2) if m > n or m / n >= least)
+
     def may_match(self, lower: str) -> bool:
         return any(a in lower for a in self.anchors)
 
@@ -121,6 +128,17 @@ def align(text: list[str], template: list[str], diagonal: int, need: int = 0, ta
     return best
 
 
+def _in_band(places: dict[str, list[int]], template: list[str], diagonal: int) -> int:
+    """Words of a template that the text has within BAND of their place on the diagonal: no alignment there matches more."""
+    n = 0
+    for t, word in enumerate(template):
+        own = places.get(word)
+        if own:
+            k = bisect_left(own, t + diagonal - BAND)
+            n += k < len(own) and own[k] <= t + diagonal + BAND
+    return n
+
+
 def matches(text: str | None, index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) in text order; code points, end exclusive."""
     lower = (text or "").lower()
@@ -130,37 +148,51 @@ def matches(text: str | None, index: Index, least: float) -> list[tuple[str, flo
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
     spans = [m.span() for m in _WORD.finditer(lower)]
     words = [lower[a:b] for a, b in spans]
-    hashes = _hashes(words)
     # Every gram is looked up: a superset of the text's own winnowed fingerprints, so edits lose none.
     seeds: dict[str, set[int]] = defaultdict(set)
-    for at, h in enumerate(hashes):
+    for at, h in enumerate(_hashes(words)):
         for name, place in index.places.get(h, ()):
             seeds[name].add(at - place)
+    if not seeds:
+        return []
+    places: dict[str, list[int]] = defaultdict(list)
+    for at, word in enumerate(words):
+        places[word].append(at)
     found = []
     for name, diagonals in seeds.items():
         template = index.words[name]
-        need = next(m for m in range(1, len(template) + 2) if m / len(template) >= least or m > len(template))
+        need = index.need(name, least)
         covered = -(10**9)
         for d in sorted(diagonals):
             if d - covered <= BAND // 2:
                 continue  # within the band of the one before
             covered = d
+            if _in_band(places, template, d) < need:
+                continue
             # The band may hold the notice more than once: what is found is taken, until no more is.
-            taken: set[int] = set()
-            while (best := align(words, template, d, need, taken))[1]:
+            own: set[int] = set()
+            while (best := align(words, template, d, need, own))[1]:
                 _, matched, first, end = best
                 found.append((name, matched / len(template), matched, first, end))
-                taken.update(range(first, end))
+                own.update(range(first, end))
+    # Of overlapping ones the best stays: what stays is disjoint, so its neighbours alone can overlap.
     found.sort(key=lambda f: (-f[2], -f[1], f[0], f[3]))
-    kept: list = []
-    for f in dict.fromkeys(found):  # bands overlap
-        if not any(f[3] < k[4] and k[3] < f[4] for k in kept):
-            kept.append(f)
-    return sorted(((n, c, m, spans[a][0], spans[b - 1][1]) for n, c, m, a, b in kept), key=lambda f: f[3])
+    starts: list[int] = []
+    kept: dict[int, tuple] = {}
+    for f in found:
+        k = bisect_left(starts, f[4])
+        if k and kept[starts[k - 1]][4] > f[3]:
+            continue
+        starts.insert(k, f[3])
+        kept[f[3]] = f
+    return [(n, c, m, spans[a][0], spans[b - 1][1]) for n, c, m, a, b in (kept[a] for a in starts)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """One row per match: doc_id, license, coverage, matched_words, start, end."""
+    """One row per match: doc_id, license, coverage, matched_words, start, end.
+
+    templates: texts by name, whole licenses or notices of them; TEMPLATES if none are given.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
     schema = common.schema_with(docs, "doc_id", license="string", coverage="double", matched_words="long", start="long", end="long")
     from pyspark.sql.pandas.types import to_arrow_schema
