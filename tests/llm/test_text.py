@@ -641,3 +641,81 @@ def test_scan_rows(spark):
     got = licenses.scan(d, {"MIT-text": MIT_TEXT, "MIT": licenses.TEMPLATES["MIT"], "two": "mit license"}).collect()
     assert sorted((r["doc_id"] or -1, r["license"], r["coverage"]) for r in got) == [(-1, "MIT", 1.0), (1, "MIT-text", 1.0), (1, "MIT-text", 1.0), (2, "MIT-text", 1.0)]
     assert [r["start"] for r in got if r["doc_id"] == 2] == [1_000_000]
+
+
+def plain_tokens(text):
+    """Features of a text by the docstring's words: words, their beginnings, runs of unspaced ones, and shares."""
+    out, words = {}, text.lower().split()
+    for t in set(words):
+        letters = re.findall(r"[^\W\d_]+", t)
+        joined = "".join(c for c in "".join(letters) if c.isalpha())
+        own = set()
+        for w in {joined, *letters} - {""}:
+            own |= {b"w" + w.encode()} | {b"p" + w[:k].encode() for k in (3, 4, 5) if len(w) > k}
+            if len(w) > toxicity.LONG or re.search("[\u0e00-\u0fff\u3040-\u30ff\u4e00-\u9fff]", w):
+                own |= {b"w" + w[i : i + 2].encode() for i in range(len(w) - 1)}
+                own |= {b"p" + w[i : i + k].encode() for k in (3, 4, 5) for i in range(len(w) - k + 1)}
+        for f in {zlib.crc32(x) % 2**20 for x in own}:
+            out[f] = out.get(f, 0) + 1
+    raw = text.encode()
+    symbols = [b for b in raw if 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ",.'"]
+    share = (sum(65 <= b < 91 for b in raw) / len(raw), len(symbols) / len(raw), len(set(words)) / max(1, len(words)), np.log(1 + len(words)) / 10) if raw else (0, 0, 1, 0)
+    return out, np.array(share, float)
+
+
+def test_scores_match_a_plain_chain(spark):
+    real = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")[["doc_id", "text"]]
+    d = spark.createDataFrame(real)
+    chain = toxicity.train(d, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = [*real["text"].tolist(), None, "", "a/b-c 12 ! " + "汉字" * 40 + "x" * 90, "ＡＢ İstanbul ß"]
+    got = toxicity.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("p_toxic", F.lit("clash")), chain).collect()
+    assert any(m.weights for m in chain.models)
+    for r in got:
+        counts, dense = plain_tokens(texts[r["doc_id"]] or "")
+        odds = []
+        for m in chain.models:  # each model sees the clipped log odds of those before it
+            seen = [*dense, *(min(8, max(-8, z)) for z in odds)]
+            odds.append(m.bias + sum(a * b for a, b in zip(seen, m.dense)) + sum(m.weights.get(f, 0.0) * min(n, 4) for f, n in counts.items()))
+        assert (r["p_low_quality"], r["p_toxic"]) == pytest.approx(tuple(1 / (1 + np.exp(-z)) for z in odds), abs=1e-9)
+        assert r["toxic"] == (r["p_toxic"] >= chain.threshold)
+
+
+def test_fit_reaches_the_plain_optimum():
+    """The fast fit against plain proximal steps on the same penalised likelihood, feature by feature."""
+    rng = np.random.default_rng(4)
+    n, f = 240, 12
+    x = rng.poisson(0.5, (n, f)).clip(0, 4)
+    dense = rng.normal(size=(n, 3)) * [1, 5, 0.1]
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - 1.5 * x[:, 0] + x[:, 1] - dense[:, 0]))).astype(float)
+    rows = [np.repeat(np.arange(f) * 7 + 1, r) for r in x]
+    s = toxicity.Sample(rows, [np.zeros(len(r), int) for r in rows], dense)
+    m = toxicity.fit(s, dense, y, np.ones(n, bool), penalty=0.5, rounds=3000)
+    d = (dense - dense.mean(axis=0)) / (dense.std(axis=0) + 1e-6)
+    used = sorted(m.weights)
+    assert used
+    chosen = [j for j in range(f) if j * 7 + 1 in used]
+
+    def loss(w, v, b):
+        z = x[:, chosen] @ w + d @ v + b
+        return (np.log1p(np.exp(z)) - y * z).sum() + 0.5 * np.abs(w).sum() + 0.25 * (v**2).sum()
+
+    w, v, b = np.zeros(len(chosen)), np.zeros(3), 0.0
+    for _ in range(30_000):
+        g = 1 / (1 + np.exp(-(x[:, chosen] @ w + d @ v + b))) - y
+        step = 2e-3
+        w = w - step * x[:, chosen].T @ g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * 0.5, 0)
+        v, b = (v - step * (d.T @ g + 0.5 * v)), b - step * g.sum()
+    scale = dense.std(axis=0) + 1e-6
+    mine = loss(np.array([m.weights[j * 7 + 1] for j in chosen]), m.dense * scale, m.bias + dense.mean(axis=0) @ m.dense)
+    assert mine == pytest.approx(loss(w, v, b), rel=1e-3)
+
+
+def test_training_does_not_depend_on_the_order_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(60)], 12)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(i, f"another text of {i}") for i in range(0, 300, 7)] + rows[:20]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(3, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    chains = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels, train_rows=200) for r, k in ((rows, 3), (rows[::-1], 5))]
+    assert [m.weights for m in chains[0].models] == [m.weights for m in chains[1].models] and chains[0].threshold == chains[1].threshold
+    assert len(chains[0].held_out["toxic"][0]) == 200

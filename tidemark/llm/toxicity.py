@@ -12,7 +12,8 @@ penalty, on at most `train_rows` labelled documents; scoring covers every row of
 
 Defined results: null text is empty and gets the models' intercepts; a label that is null is left out
 of its category's training; a category with one class or no labels predicts its share (0.5 if none);
-several labels of one document count as their largest; repeated rows have equal results.
+several labels of one document count as its lowest quality and its highest toxicity; of documents that
+share a labelled id, one is trained on; repeated rows have equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -258,9 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Chain:
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *batch.columns[2:]], names=["doc_id", "features", "kinds", "dense", "quality", "toxic"])
 
-    # At most train_rows labels are broadcast and as many documents' features come back.
-    texts = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    got = common.text_batches(texts).mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double")).limit(train_rows)
+    # At most train_rows labels are broadcast and as many documents' features come back: of documents that
+    # share an id, the one with the smallest hash of its text.
+    texts = docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    texts = texts.join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    got = common.text_batches(texts).mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double"))
     rows = got.toArrow().sort_by("doc_id")
     column = {c: rows.column(c) for c in rows.column_names}
     s = Sample([np.frombuffer(x.as_py(), "<i4") for x in column["features"]], [np.frombuffer(x.as_py(), "i1") for x in column["kinds"]], np.array(column["dense"].to_pylist(), float).reshape(rows.num_rows, len(DENSE)))
