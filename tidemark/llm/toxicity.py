@@ -11,7 +11,8 @@ those they will get. Models are fitted on the driver by accelerated proximal gra
 penalty, on at most `train_rows` labelled documents; scoring covers every row of every document.
 
 Defined results: null text is empty and gets the models' intercepts; a label that is null is left out
-of its category's training; a category with one class or no labels predicts its share (0.5 if none);
+of its category's training; a category with one class or no labels predicts its share (0.5 if
+none, and then calls nothing toxic);
 several labels of one document count as its lowest quality and its highest toxicity; of documents that
 share a labelled id, one is trained on; repeated rows have equal results; an empty table gives no rows.
 """
@@ -203,7 +204,9 @@ def fit_chain(s: Sample, labels: dict[str, np.ndarray], folds: np.ndarray) -> Ch
         hit = (p >= c) & (y == 1)
         return 2 * hit.sum() / max(1, (p >= c).sum() + y.sum())
 
-    threshold = max([0.5, *np.arange(0.1, 0.95, 0.05).round(2).tolist()], key=f1) if len(p) else 0.5
+    if not len(p):  # nothing was learnt, so nothing is called so
+        return Chain(tuple(labels), models, float("inf"), held)
+    threshold = max([0.5, *np.arange(0.1, 0.95, 0.05).round(2).tolist()], key=f1)
     return Chain(tuple(labels), models, 0.5 if f1(threshold) <= f1(0.5) else threshold, held)
 
 
