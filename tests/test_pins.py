@@ -142,12 +142,12 @@ def test_curveball_keeps_degrees():
 
 MEASURES = [
     # text, menace, criticism, label, flag -> domain, coded, explicit
-    ("madoa doa out of Nairobi", 0.46, 0.3, "neither", False, "kenya", True, False),
+    ("madoa doa out of Nairobi", 0.46, 0.3, "neither", False, "home", True, False),
     ("mende in the kitchen", 0.6, 0.1, "neither", False, "ambiguous", False, False),
     ("mende they are", 0.7, 0.1, "neither", False, "ambiguous", True, False),
     ("fumigate them", 0.56, 0.6, "neither", False, "ambiguous", False, False),
     ("Trump and the Congress", 0.9, 0.0, "hate", True, "offdomain", False, False),
-    ("Trump in Kenya", None, None, "offensive", False, "kenya", False, True),
+    ("Trump in Nairobi", None, None, "offensive", False, "home", False, True),
     (None, 0.9, 0.0, "neither", True, "ambiguous", False, True),
 ]
 

@@ -34,10 +34,11 @@ LEXICON = {
         "uthamaki": (r"\buthamaki\b", "medium"),
     },
 }
-KENYA_WORDS = (
-    r"\b(kenya|kenyan|kenyans|ruto|raila|gachagua|kasongo|kindiki|murkomen|matiangi|sifuna|wantam|tutam|iebc|ncic|"
+#: Words that place a text at home or elsewhere. A deployment passes its own, with its country's names, to domain().
+HOME_WORDS = (
+    r"\b(ruto|raila|gachagua|kasongo|kindiki|murkomen|matiangi|sifuna|wantam|tutam|iebc|ncic|"
     r"nairobi|kisumu|mombasa|nakuru|eldoret|kakamega|bungoma|luo|luos|kikuyu|kikuyus|kalenjin|kalenjins|luhya|luhyas|"
-    r"kamba|kisii|meru|somali|gusii|abagusii|mt\.?\s*kenya|murima|wamunyoro|odm|uda|dcp|githeri|mbogi)\b"
+    r"kamba|kisii|meru|somali|gusii|abagusii|murima|wamunyoro|odm|uda|dcp|githeri|mbogi)\b"
 )
 OTHER_WORDS = (
     r"\b(america|american|americans|trump|biden|congress|whitehouse|white\s+house|mamdani|zohran|remigrat\w*|"
@@ -49,6 +50,25 @@ MARGIN = {"low": -0.05, "medium": 0.0, "high": 0.10}
 FLAG_AT = 0.28
 
 TERMS = [(term, pattern) for terms in LEXICON.values() for term, (pattern, _) in terms.items()]
+#: A literal that every match of a term's pattern holds.
+PART_OF = {
+    "madoadoa": "madoa",
+    "kwekwe": "kwekwe",
+    "sangari": "sangari",
+    "madimoni": "madimoni",
+    "mende": "mende",
+    "nyoka": "nyoka",
+    "fumigate": "fu",
+    "rudi_kwao": "kwao",
+    "fukuza": "fukuz",
+    "waondoke": "waondoke",
+    "watajua_hawajui": "hawajui",
+    "kimeumana": "kimeumana",
+    "watu_wa_kule": "kule",
+    "wabara": "bara",
+    "41_vs_1": "41",
+    "uthamaki": "uthamaki",
+}
 CATEGORY_OF = {term: category for category, terms in LEXICON.items() for term in terms}
 RISK_OF = {term: risk for terms in LEXICON.values() for term, (_, risk) in terms.items()}
 
@@ -59,17 +79,17 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def hits(text: Column) -> Column:
     """Lexicon terms that the text has, in the lexicon's order."""
-    return T.scan(text, TERMS)
+    return T.scan(text, [(t, p, PART_OF[t]) for t, p in TERMS])
 
 
 def categories(terms: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: _lookup(CATEGORY_OF, t)))
 
 
-def domain(text: Column) -> Column:
-    """kenya if any of its words is there, else offdomain if one of the others' is, else ambiguous."""
-    own, other = (F.coalesce(text.rlike(f"(?iU){p}"), F.lit(False)) for p in (KENYA_WORDS, OTHER_WORDS))
-    return F.when(own, "kenya").when(other, "offdomain").otherwise("ambiguous")
+def domain(text: Column, home: str = HOME_WORDS, elsewhere: str = OTHER_WORDS) -> Column:
+    """home if any of its words is there, else offdomain if one of the others' is, else ambiguous."""
+    own, other = (F.coalesce(text.rlike(f"(?iU){p}"), F.lit(False)) for p in (home, elsewhere))
+    return F.when(own, "home").when(other, "offdomain").otherwise("ambiguous")
 
 
 def least_risk(terms: Column) -> Column:
@@ -86,14 +106,14 @@ def coded_suspect(terms: Column, menace: list[Column], criticism: Column) -> Col
     return F.coalesce((top >= bar) & (top >= F.coalesce(criticism, F.lit(0.0)) + margin), F.lit(False))
 
 
-def with_measures(scored: DataFrame) -> DataFrame:
-    """scored posts with domain, in_kenya_scope, lexicon terms and categories, coded_suspect, explicit_toxic."""
+def with_measures(scored: DataFrame, home: str = HOME_WORDS, elsewhere: str = OTHER_WORDS) -> DataFrame:
+    """scored posts with domain, in_scope, lexicon terms and categories, coded_suspect, explicit_toxic."""
     menace = [F.col(c) for c in ("dehumanisation_score", "violence_call_score", "othering_score")]
-    out = scored.withColumn("domain", domain(F.col("text"))).withColumn("in_kenya_scope", F.col("domain") != "offdomain")
+    out = scored.withColumn("domain", domain(F.col("text"), home, elsewhere)).withColumn("in_scope", F.col("domain") != "offdomain")
     out = out.withColumn("lexicon_hits", hits(F.col("text"))).withColumn("lexicon_categories", categories(F.col("lexicon_hits")))
     out = out.withColumn("coded_suspect", coded_suspect(F.col("lexicon_hits"), menace, F.col("political_criticism_score")))
     toxic = (F.coalesce(F.col("label"), F.lit("neither")) != "neither") | F.coalesce(F.col("hate_flag"), F.lit(False))
-    out = out.withColumn("explicit_toxic", toxic & F.col("in_kenya_scope")).withColumn("coded_suspect_kenya", F.col("coded_suspect") & F.col("in_kenya_scope"))
+    out = out.withColumn("explicit_toxic", toxic & F.col("in_scope")).withColumn("coded_suspect_in_scope", F.col("coded_suspect") & F.col("in_scope"))
     return out.withColumn("flagged", F.coalesce(F.col("hate_flag"), F.lit(False)) | F.col("coded_suspect"))
 
 

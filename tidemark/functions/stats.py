@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.functions import order as O
 
 
 def share(condition: Column) -> Column:
@@ -20,17 +21,9 @@ def count_if(condition: Column) -> Column:
 
 
 def with_pct_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Average rank over the number of non-null values (one less that, if descending); nulls have none.
-
-    The ranks come from one row per distinct value, so the single ordering task sees values, not rows.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy(column)
-    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    rank = (upto - (F.col("_n") - 1) / 2.0) / total
-    ranked = counts.select(*by, column, (1 - rank if descending else rank).alias(out))
-    return df.join(ranked, [*by, column], "left")
+    """Average rank over the number of non-null values (one less that, if descending); nulls have none."""
+    rank = (F.col("_upto") - (F.col("_n") - 1) / 2.0) / F.col("_total")
+    return O.with_rank(df, column, 1 - rank if descending else rank, out, by)
 
 
 def wilson_lower(hits: Column, n: Column) -> Column:
@@ -92,26 +85,45 @@ def poisson_tail(x: Column, mean: Column) -> Column:
 
 
 def hypergeometric_tail(x: Column, total: Column, good: Column, drawn: Column) -> Column:
-    """P(X >= x): x or more of `good` among `drawn` out of `total`."""
+    """P(X >= x): x or more of `good` among `drawn` out of `total`.
+
+    As for Poisson: above the mean the terms from x upward shrink and are summed by their ratio, below it
+    the lower tail is taken from one. The spread is no wider than a Poisson's of that mean.
+    """
 
     def choose(n: Column, k: Column) -> Column:
         return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
-    top = F.least(good, drawn)
-    terms = F.transform(F.sequence(x, F.greatest(x, top)), lambda k: F.when((k <= top) & (total - good >= drawn - k), F.exp(choose(good, F.least(k, good)) + choose(total - good, F.greatest(F.least(drawn - k, total - good), F.lit(0))) - choose(total, drawn))).otherwise(0.0))
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, p: s + p))
+    total, good, drawn = (c.cast("double") for c in (total, good, drawn))
+    top, low = F.least(good, drawn), F.greatest(drawn - (total - good), F.lit(0.0))
+    mean = good * drawn / F.greatest(total, F.lit(1.0))
 
+    def term(k: Column) -> Column:
+        k = F.greatest(F.least(k, top), low)
+        return F.exp(choose(good, k) + choose(total - good, drawn - k) - choose(total, drawn))
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, alpha: float) -> DataFrame:
-    """out: whether p is at most the largest p_(k) with p_(k) <= k * alpha / m.
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    steps = F.sequence(F.lit(1), (F.lit(12) * F.sqrt(mean + 1) + 60).cast("int"))
 
-    Ranks are running counts over distinct p values.
-    """
-    counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    m = df.agg(F.count(F.lit(1)).alias("_m"))
-    upto = F.sum("_n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
-    cut = counts.withColumn("_k", upto).crossJoin(m).where(F.col(p) <= F.col("_k") * alpha / F.col("_m")).agg(F.max(p).alias("_cut"))
-    return df.crossJoin(cut).withColumn(out, F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
+    def up(s: Column, i: Column) -> Column:  # the i-th term is that of x + i - 1
+        k = x + i - 1
+        ratio = F.greatest(good - k, F.lit(0.0)) * F.greatest(drawn - k, F.lit(0.0)) / ((k + 1) * F.greatest(total - good - drawn + k + 1, F.lit(1.0)))
+        return F.struct((s["term"] * ratio).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+
+    def down(s: Column, i: Column) -> Column:  # the i-th term is that of x - i
+        k = x - i
+        ratio = F.greatest(k, F.lit(0)) * F.greatest(total - good - drawn + k, F.lit(0.0)) / (F.greatest(good - k + 1, F.lit(1.0)) * F.greatest(drawn - k + 1, F.lit(1.0)))
+        return F.struct((s["term"] * ratio).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+
+    above = term(x) * F.aggregate(steps, zero, up, lambda s: s["sum"])
+    below = 1 - term(x - 1) * F.aggregate(steps, zero, down, lambda s: s["sum"])
+    return F.when(x <= low, F.lit(1.0)).when(x > top, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.when(x > mean, above).otherwise(below)))
+
+
+def benjamini_hochberg(df: DataFrame, p: str, out: str, alpha: float) -> DataFrame:
+    """out: whether p is at most the largest p_(k) with p_(k) <= k * alpha / m."""
+    cut = O.value_counts(df, p).where(F.col(p) <= F.col("_upto") * alpha / F.col("_total")).agg(F.max(p).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn(out, F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def kappa(agree: Column, expected: Column) -> Column:

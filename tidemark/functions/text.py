@@ -87,9 +87,13 @@ def first_match(value: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Co
     return out
 
 
-def scan(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """Names of the patterns (name, case-insensitive regex) that text has, in the patterns' order."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(f"(?iU){p}"), F.lit(n)) for n, p in patterns]))
+def scan(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """Names of the patterns (name, case-insensitive regex, literal) that text has, in the patterns' order.
+
+    literal, in lower case, is a part of every match: a text without it is not searched for the pattern.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(low.contains(part) & F.coalesce(text, F.lit("")).rlike(f"(?iU){p}"), F.lit(n)) for n, p, part in patterns]))
 
 
 def stable_id(members: Column) -> Column:

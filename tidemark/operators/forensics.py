@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import stats as S
 from tidemark.functions import text as T
+from tidemark.functions.order import checkpointed, numbered
 from tidemark.operators import graphs
 from tidemark.operators.rollups import reply_pairs
 
@@ -32,17 +33,35 @@ def divergence_from_all(profiles: DataFrame) -> DataFrame:
 
 
 def shift_cohorts(profiles: DataFrame, quantile: float, within: float) -> DataFrame:
-    """Components of the authors with unusual hours whose profiles are within a divergence of each other."""
+    """Components of the authors with unusual hours whose profiles are within a divergence of each other.
+
+    The root of the divergence is a metric, so two profiles within r of one another are within r in their
+    distance from any third: authors meet only in neighbouring bands of distance from three turned mean
+    profiles. No pair within reach is lost.
+    """
     odd = divergence_from_all(profiles)
     cut = odd.agg(F.percentile("jsd", F.lit(quantile)).alias("cut"))
     few = odd.crossJoin(F.broadcast(cut)).where("jsd >= cut").select("author_id")
-    own = profiles.join(few, "author_id", "left_semi")
-    a, b = own.select("hour", F.col("author_id").alias("src"), "p"), own.select("hour", F.col("author_id").alias("dst"), F.col("p").alias("q"))
-    m = (F.col("p") + F.col("q")) / 2
-    pairs = a.join(b, "hour").where("src < dst").groupBy("src", "dst").agg(F.sum((_kl(F.col("p"), m) + _kl(F.col("q"), m)) / 2).alias("jsd")).where(F.col("jsd") <= within)
+    hours = F.transform(F.sort_array(F.collect_list(F.struct("hour", "p"))), lambda x: x["p"])
+    own = profiles.join(few, "author_id", "left_semi").groupBy("author_id").agg(hours.alias("p"))
+    mean = profiles.groupBy("hour").agg(F.avg("p").alias("p")).agg(hours.alias("m"))
+    r = max(within, 1e-12) ** 0.5
+    turned = [F.concat(F.slice("m", s + 1, 24 - s), F.slice("m", 1, s)) if s else F.col("m") for s in (0, 8, 16)]
+    bands = [F.floor(F.sqrt(F.greatest(_jsd(F.col("p"), m), F.lit(0.0))) / (r * (1 + 1e-9))) for m in turned]
+    own = checkpointed(own.crossJoin(F.broadcast(mean)).select("author_id", "p", *[b.alias(f"b{i}") for i, b in enumerate(bands)]))
+    a = own.select(F.col("author_id").alias("src"), "p", *[F.col(f"b{i}").alias(f"c{i}") for i in range(3)])
+    for i in range(3):
+        a = a.withColumn(f"b{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
+    pairs = a.join(own.select(F.col("author_id").alias("dst"), F.col("p").alias("q"), "b0", "b1", "b2"), ["b0", "b1", "b2"])
+    pairs = pairs.where("src < dst").where(_jsd(F.col("p"), F.col("q")) <= within)
     return graphs.connected_components(pairs.select("src", "dst")).select(F.col("node").alias("author_id"), "component")
 
 
+def _jsd(p: Column, q: Column) -> Column:
+    """Jensen-Shannon divergence (base 2) of two arrays of shares, none of them zero."""
+    return F.aggregate(F.zip_with(p, q, lambda x, y: (_kl(x, (x + y) / 2) + _kl(y, (x + y) / 2)) / 2), F.lit(0.0), lambda s, x: s + x)
+
+
 def awakened(authors: DataFrame, posts: DataFrame, as_of: str, days: int = 14, age: int = 365, ratio: float = 20.0) -> DataFrame:
     """Old accounts whose recent daily rate is `ratio` times their lifetime rate."""
     recent = posts.where(F.col("created_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")).groupBy("author_id").agg((F.count(F.lit(1)) / days).alias("recent_rate"))
@@ -180,12 +199,23 @@ def incitement_sweep(posts: DataFrame, menace: float = 0.85) -> DataFrame:
 def random_subsets(members: DataFrame, pool: DataFrame, value: str, draws: int, seed: int = 0) -> DataFrame:
     """Per cluster the mean of value, and its rank among means of as many accounts drawn at random.
 
-    p_value = (1 + draws with a mean as large) / (1 + draws).
+    p_value = (1 + draws with a mean as large) / (1 + draws). A draw takes places b, b + a, b + 2a ... modulo
+    a prime no smaller than the pool, in an order of the pool by hash: distinct accounts, and as many rows
+    as are drawn.
     """
     own = members.join(pool, "author_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("mean"))
+    own = checkpointed(own)
+    placed = numbered(pool.select("author_id", F.col(value).alias("v")), F.xxhash64(F.lit(seed), "author_id"), F.col("author_id"), out="place")
+    n = placed.count()
+    prime = next(p for p in range(max(n, 2), 2 * max(n, 2) + 2) if all(p % d for d in range(2, int(p**0.5) + 1)))
     drawn = own.select("cluster_id", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    w = Window.partitionBy("cluster_id", "draw").orderBy(F.xxhash64(F.lit(seed), "author_id", "cluster_id", "draw"), "author_id")
-    picked = drawn.join(pool.select("author_id", F.col(value).alias("v"))).withColumn("_r", F.row_number().over(w)).where("_r <= size")
-    means = picked.groupBy("cluster_id", "draw").agg(F.avg("v").alias("m"))
+    step = F.pmod(F.xxhash64(F.lit(seed + 1), "cluster_id", "draw"), F.lit(prime - 1)) + 1
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "cluster_id", "draw"), F.lit(prime))
+    # At most prime - n places are beyond the pool, so size places within it are among so many.
+    picks = drawn.select("cluster_id", "draw", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") + (prime - n) - 1)).alias("i"), step.alias("a"), start.alias("b"))
+    picks = picks.withColumn("place", F.pmod(F.col("b") + F.col("i") * F.col("a"), F.lit(prime))).where(F.col("place") < n)
+    w = Window.partitionBy("cluster_id", "draw").orderBy("i")
+    picks = picks.withColumn("_r", F.row_number().over(w)).where("_r <= size")
+    means = picks.join(placed, "place").groupBy("cluster_id", "draw").agg(F.avg("v").alias("m"))
     hits = means.join(own, "cluster_id").groupBy("cluster_id").agg(S.count_if(F.col("m") >= F.col("mean")).alias("k"))
     return own.join(hits, "cluster_id").select("cluster_id", "size", "mean", ((1 + F.col("k")) / (1 + F.lit(draws))).alias("p_value"))

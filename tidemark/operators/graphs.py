@@ -9,29 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import checkpointed
+
 
 #: Links of one node up to which they meet in one task.
 HUB = 256
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df after a checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only a local master may do without that folder: elsewhere a folder of our own would be each machine's own.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
-
-
 def spread_join(rows: DataFrame, key: str, values: DataFrame, total: int, hub: int = HUB) -> DataFrame:
     """rows inner-joined on key to values, which has one row a key and its count of rows in column `n`.
 

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import checkpointed
 from tidemark.operators import graphs
 
 
-def shingles(texts: DataFrame, width: int = 5) -> DataFrame:
-    """(node, s): distinct character shingles of (node, t); a shorter text is one shingle."""
-    low = texts.select("node", F.lower(F.regexp_replace(F.trim("t"), r"\s+", " ")).alias("low"))
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("low") - (width - 1), F.lit(1))))
-    return low.select("node", "low", starts.alias("i")).select("node", F.substring("low", F.col("i"), F.lit(width)).alias("s")).distinct()
+def shingles(text: str, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's runs of `width` characters, lower case, white space squeezed.
+
+    A shorter text is one shingle.
+    """
+    points = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = max(1, len(points) - width + 1)
+    with np.errstate(over="ignore"):
+        h = np.full(n, min(len(points), width), np.uint64)
+        for i in range(min(width, len(points))):
+            h = (h ^ points[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
-def signatures(cut: DataFrame, rows: int) -> DataFrame:
-    """(node, sig): `rows` MinHash values of each node's shingles, as plain minima that are pre-aggregated."""
-    hashed = cut.select("node", F.xxhash64("s").alias("h"))
-    mins = hashed.groupBy("node").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(rows)])
-    return mins.select("node", F.array(*[f"m{i}" for i in range(rows)]).alias("sig"))
+def minhash(sh: np.ndarray, permutations: int, seed: int = 1) -> np.ndarray:
+    """The smallest of each of so many hashes of the shingles."""
+    rng = np.random.default_rng(seed)
+    mul, add = rng.integers(0, 1 << 63, (2, permutations), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out = []
+        for a, b in zip(mul, add):
+            x = (sh ^ b) * (a | np.uint64(1))
+            out.append(int((x ^ x >> np.uint64(31)).min()))
+    return np.array(out, np.uint64)
 
 
 def clusters(docs: DataFrame, key: str, text: str, least: float = 0.85, bands: int = 20, rows: int = 7, width: int = 5) -> DataFrame:
@@ -27,21 +47,34 @@ def clusters(docs: DataFrame, key: str, text: str, least: float = 0.85, bands: i
 
     Candidates agree in all rows of some band: at 0.85 a pair is missed four times in 10,000, and at
     0.35, as unrelated texts of a language often are, one pair in a hundred is compared. Equal texts are
-    one row of the join, so groups of copies cost nothing there.
+    one row of the join, so groups of copies cost nothing there; a text without words is its own cluster.
     """
-    own = docs.where(F.length(F.trim(text)) > 0).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("node"))
-    cut = shingles(own, width)
-    sig = signatures(cut, bands * rows)
-    keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-    banded = sig.select("node", F.explode(keys).alias("k"))
-    crowd = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    banded = banded.join(crowd, "k")
-    pairs = banded.withColumnRenamed("node", "src").join(banded.withColumnRenamed("node", "dst"), "k").where("src < dst").select("src", "dst").distinct()
+    own = checkpointed(docs.where(F.length(F.trim(text)) > 0).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("node")))
+    kind = dict(docs.dtypes)[key]
+
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sigs = [minhash(shingles(t, width), bands * rows) for t in pdf["t"]]
+            keys = [[hash((b, *s[b * rows : (b + 1) * rows].tolist())) for b in range(bands)] for s in sigs]
+            yield pd.DataFrame({"node": pdf["node"], "ks": keys})
+
+    # Python's hash of a tuple of integers is the same in every process.
+    held = own.mapInPandas(banded, f"node {kind}, ks array<long>").select("node", F.posexplode("ks").alias("b", "k"))
+    held = checkpointed(held)
+    crowd = held.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "k")
+    held = held.join(crowd, ["b", "k"])
+    pairs = checkpointed(held.withColumnRenamed("node", "src").join(held.withColumnRenamed("node", "dst"), ["b", "k"]).where("src < dst").select("src", "dst").distinct())
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "sh": [shingles(t, width).view(np.int64) for t in pdf["t"]]})
+
     some = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = cut.join(some, "node", "left_semi").groupBy("node").agg(F.collect_list("s").alias("sh"))
-    a, b = (sets.select(F.col("node").alias(n), F.col("sh").alias(f"{n}_sh")) for n in ("src", "dst"))
+    full = own.join(some, "node", "left_semi").select("node", "t").mapInPandas(sets, f"node {kind}, sh array<long>")
+    a, b = (full.select(F.col("node").alias(n), F.col("sh").alias(f"{n}_sh")) for n in ("src", "dst"))
     near = pairs.join(a, "src").join(b, "dst")
-    exact = near.where(F.size(F.array_intersect("src_sh", "dst_sh")) / F.size(F.array_union("src_sh", "dst_sh")) >= least)
+    both = F.size(F.array_intersect("src_sh", "dst_sh"))
+    exact = near.where(both / (F.size("src_sh") + F.size("dst_sh") - both) >= least)
     found = graphs.connected_components(exact.select("src", "dst"))
     of_text = own.select("t", "node").join(found, "node", "left").select("t", F.coalesce("component", "node").alias("cluster"))
     return docs.join(of_text, docs[text] == of_text["t"], "left").select(key, F.coalesce("cluster", F.col(key)).alias("cluster"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import stats as S
 from tidemark.functions import text as T
+from tidemark.functions.order import checkpointed
 from tidemark.operators import graphs
 from tidemark.operators.latest import latest
 
@@ -85,27 +85,37 @@ def project(t: DataFrame, delta: int | None = None, least: int = MIN_REPETITION)
     weight counts shared objects, or co-actions within `delta` seconds where that is given. The join
     is on the object; with delta also on slices of time delta long, neighbours included.
     """
+    pairs = _meetings(t, ["action_object"], delta)
+    # First per object, then over objects: the distinct count needs no second shuffle of co-actions.
+    per_object = pairs.groupBy("src", "dst", "action_object").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("gap"))
+    out = per_object.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_objects_shared"), F.sum("n").alias("n_coactions"), F.min("gap").alias("min_gap"))
+    return out.withColumn("weight", F.col("n_coactions" if delta else "n_objects_shared")).where(F.col("weight") >= least)
+
+
+def _meetings(t: DataFrame, on: list[str], delta: int | None) -> DataFrame:
+    """(on, src, dst, gap) of actions that meet on the same values of on, within delta seconds if given; src < dst.
+
+    With delta the join is also on slices of time delta long, neighbours included.
+    """
     stamped = t.withColumn("at", F.unix_micros("created_at") / 1e6)
-    a, b = (stamped.select(F.col("author_id").alias(n), "action_object", F.col("at").alias(f"{n}_at")) for n in ("src", "dst"))
-    gap = F.abs(F.col("src_at") - F.col("dst_at"))
-    on = ["action_object"]
+    a, b = (stamped.select(F.col("author_id").alias(n), *on, F.col("at").alias(f"{n}_at")) for n in ("src", "dst"))
     if delta:
         slot = F.floor(F.col("src_at") / delta)
         a = a.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
         b = b.withColumn("slot", F.floor(F.col("dst_at") / delta))
-        on.append("slot")
-    pairs = a.join(b, on).where("src < dst")
-    if delta:
-        pairs = pairs.where(gap <= delta)
-    # First per object, then over objects: the distinct count needs no second shuffle of co-actions.
-    per_object = pairs.groupBy("src", "dst", "action_object").agg(F.count(F.lit(1)).alias("n"), F.min(gap).alias("gap"))
-    out = per_object.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_objects_shared"), F.sum("n").alias("n_coactions"), F.min("gap").alias("min_gap"))
-    return out.withColumn("weight", F.col("n_coactions" if delta else "n_objects_shared")).where(F.col("weight") >= least)
+    gap = F.abs(F.col("src_at") - F.col("dst_at"))
+    pairs = a.join(b, [*on, "slot"] if delta else on).where("src < dst")
+    return (pairs.where(gap <= delta) if delta else pairs).withColumn("gap", gap)
 
 
-def tfidf_weights(t: DataFrame) -> DataFrame:
-    """Cosine of accounts' objects weighted by ln(accounts / accounts on the object): src, dst, weight_tfidf."""
-    own = t.select("author_id", "action_object").distinct()
+def tfidf_weights(t: DataFrame, capped: bool = True) -> DataFrame:
+    """Cosine of accounts' objects weighted by ln(accounts / accounts on the object): src, dst, weight_tfidf.
+
+    Crowded objects are left out first, as for every projection, and are worth little here anyway.
+    """
+    own = without_hubs(t) if capped else t
+    own = own.select("author_id", "action_object").distinct()
+    own = checkpointed(own)
     accounts = own.agg(F.countDistinct("author_id").alias("accounts"))
     rare = object_degrees(own).crossJoin(F.broadcast(accounts)).select("action_object", F.log(F.col("accounts") / F.col("n")).alias("w"))
     v = own.join(rare, "action_object")
@@ -130,9 +140,12 @@ def with_p_values(edges: DataFrame, t: DataFrame, uniform: bool = False) -> Data
 
 
 def validated_edges(t: DataFrame, delta: int | None = None, alpha: float = ALPHA, quantile: float = 0.95, capped: bool = True) -> DataFrame:
-    """Projected pairs with p_value, p_uniform and the flags sig_bonferroni, sig_fdr and sig_percentile."""
-    t = without_hubs(t) if capped else t
-    edges = with_p_values(with_p_values(project(t, delta), t, uniform=True).withColumnRenamed("p_value", "p_uniform"), t)
+    """Projected pairs with p_value, p_uniform and the flags sig_bonferroni, sig_fdr and sig_percentile.
+
+    Traces and edges are stored once: degrees, both nulls, the quantile and the ranks read them.
+    """
+    t = checkpointed(without_hubs(t) if capped else t)
+    edges = checkpointed(with_p_values(with_p_values(project(t, delta), t, uniform=True).withColumnRenamed("p_value", "p_uniform"), t))
     m = edges.agg(F.count(F.lit(1)).alias("_m"), F.expr(f"percentile(weight, {quantile})").alias("_q"))
     edges = edges.crossJoin(F.broadcast(m)).withColumn("sig_bonferroni", F.col("p_value") < F.lit(alpha) / F.col("_m")).withColumn("sig_percentile", F.col("weight") >= F.col("_q")).drop("_m", "_q")
     return S.benjamini_hochberg(edges, "p_value", "sig_fdr", alpha)
@@ -203,50 +216,62 @@ def cluster_summary(edges: DataFrame, members: DataFrame, least: int = 3) -> Dat
     return out.select("cluster_id", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), F.coalesce(F.try_divide(F.coalesce("internal_edges", F.lit(0)), pairs), F.lit(0.0)).alias("density"), F.coalesce(2 * F.col("internal_weight") / F.col("w"), F.lit(0.0)).alias("internal_share"))
 
 
+def _dealt_times(t: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(rep, author_id, action_object, created_at): in each replicate an account's times are dealt anew among its actions."""
+    r = t.select("author_id", "action_object", "created_at").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    by = Window.partitionBy("rep", "author_id")
+    objects = r.withColumn("k", F.row_number().over(by.orderBy("action_object", "created_at")))
+    times = r.withColumn("k", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "rep", "author_id", "action_object", "created_at"), "action_object", "created_at")))
+    return objects.select("rep", "author_id", "action_object", "k").join(times.select("rep", "author_id", "created_at", "k"), ["rep", "author_id", "k"]).drop("k")
+
+
+def traded(t: DataFrame, iterations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(rep, author_id, action_object): replicates of the distinct traces that keep every account's and object's degree.
+
+    In each round of each replicate the accounts meet in random pairs, and each pair deals what only one of
+    them has anew between them, as many to each as before. rounds * accounts / 2 trades a replicate, all in
+    parallel; accounts are paired within hash buckets, so no task orders all of them.
+    """
+    own = t.select("author_id", "action_object").distinct()
+    n = own.select("author_id").distinct().count()
+    buckets = max(1, n // 512)
+    now = checkpointed(own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))))
+    people = checkpointed(now.select("rep", "author_id").distinct())
+    for r in range(rounds):
+        key = F.xxhash64(F.lit(seed), F.lit(r), "rep", "author_id")
+        dealt = people.select("rep", "author_id", key.alias("_h"), F.pmod(F.xxhash64(F.lit(seed), F.lit(-r - 1), "rep", "author_id"), F.lit(buckets)).alias("_b"))
+        place = F.row_number().over(Window.partitionBy("rep", "_b").orderBy("_h", "author_id")) - 1
+        met = dealt.select("rep", "author_id", "_b", F.floor(place / 2).alias("_p"), (place % 2).alias("_side"))
+        held = now.join(met, ["rep", "author_id"])
+        # What both have stays; the rest is dealt anew. A pair's objects are one account's or the other's.
+        pair = Window.partitionBy("rep", "_b", "_p")
+        held = held.withColumn("_both", F.count(F.lit(1)).over(Window.partitionBy("rep", "_b", "_p", "action_object")) == 2)
+        names = held.groupBy("rep", "_b", "_p").agg(F.max(F.when(F.col("_side") == 0, F.col("author_id"))).alias("_first"), F.max(F.when(F.col("_side") == 1, F.col("author_id"))).alias("_second"), F.count(F.when(~F.col("_both") & (F.col("_side") == 0), 1)).alias("_keep"))
+        loose = held.where(~F.col("_both")).withColumn("_r", F.row_number().over(pair.orderBy(F.xxhash64(F.lit(seed), F.lit(r), "rep", "action_object"), "action_object")))
+        loose = loose.drop("author_id").join(names, ["rep", "_b", "_p"])
+        loose = loose.select("rep", F.when(F.col("_r") <= F.col("_keep"), F.col("_first")).otherwise(F.coalesce("_second", "_first")).alias("author_id"), "action_object")
+        now = checkpointed(held.where("_both").select("rep", "author_id", "action_object").unionByName(loose))
+    return now
+
+
 def replicate_p_values(t: DataFrame, edges: DataFrame, how: str, iterations: int = 100, seed: int = 0, delta: int | None = None) -> DataFrame:
     """edges with an empirical p_value = (1 + exceedances) / (1 + iterations) against random traces.
 
-    how = "curveball": trades of objects between accounts, which keep both kinds of degree, run as
-    independent chains of 5n trades. how = "times": each account's times are dealt anew among its own
-    actions. Replicates are spread over tasks; a task sends one row per pair that it saw exceed.
+    how = "curveball": trades of objects between accounts, which keep both kinds of degree. how =
+    "times": each account's times are dealt anew among its own actions. All replicates are rows of one
+    table; nothing of the traces or edges reaches the driver.
     """
     if how == "times":
-        rep = t.sparkSession.range(iterations).withColumnRenamed("id", "rep")
-        r = t.crossJoin(F.broadcast(rep))
-        by = Window.partitionBy("rep", "author_id")
-        objects = r.withColumn("k", F.row_number().over(by.orderBy("action_object", "created_at")))
-        times = r.withColumn("k", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "rep", "author_id", "action_object", "created_at"), "action_object", "created_at")))
-        shuffled = objects.select("rep", "author_id", "action_object", "k").join(times.select("rep", "author_id", "created_at", "k"), ["rep", "author_id", "k"])
-        shuffled = shuffled.withColumn("action_object", F.concat_ws("|", F.col("rep").cast("string"), "action_object"))
-        at = F.unix_micros("created_at") / 1e6
-        a, b = (shuffled.select("rep", F.col("author_id").alias(n), "action_object", at.alias(f"{n}_at")) for n in ("src", "dst"))
-        pairs = a.join(b, ["rep", "action_object"]).where("src < dst")
-        if delta:
-            pairs = pairs.where(F.abs(F.col("src_at") - F.col("dst_at")) <= delta)
-        counts = pairs.groupBy("rep", "src", "dst").agg(F.count(F.lit(1)).alias("null_weight"))
-        exceed = counts.join(edges.select("src", "dst", "weight"), ["src", "dst"]).where("null_weight >= weight").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("exceed"))
+        random = _dealt_times(t, iterations, seed)
+        pairs = _meetings(random, ["rep", "action_object"], delta)
     elif how == "curveball":
-        rows = edges.select("src", "dst", "weight").toPandas()
-        own = t.select("author_id", "action_object").distinct().toPandas()  # the hub cap has bounded it
-        accounts, a = np.unique(own["author_id"].to_numpy(str), return_inverse=True)
-        _, o = np.unique(own["action_object"].to_numpy(str), return_inverse=True)
-        i, j = (np.searchsorted(accounts, rows[c].to_numpy(str)) for c in ("src", "dst"))
-        shared = t.sparkSession.sparkContext.broadcast((len(accounts), a, o, i, j, rows["weight"].to_numpy()))
-
-        def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, a, o, i, j, weight = shared.value
-            for pdf in batches:
-                total = np.zeros(len(i), np.int64)
-                for rep in pdf["id"]:
-                    sets = graphs.curveball(n, a, o, np.random.default_rng((seed, int(rep))))
-                    total += np.array([len(sets[x] & sets[y]) for x, y in zip(i, j)]) >= weight
-                yield pd.DataFrame({"pair": np.arange(len(i)), "exceed": total})
-
-        parts = t.sparkSession.range(0, iterations, 1, max(1, iterations // 8)).mapInPandas(chains, "pair long, exceed long")
-        names = t.sparkSession.createDataFrame(rows.assign(pair=np.arange(len(rows)))[["pair", "src", "dst"]], "pair long, src string, dst string")
-        exceed = parts.groupBy("pair").agg(F.sum("exceed").alias("exceed")).join(names, "pair").drop("pair")
+        random = traded(t, iterations, seed=seed)
+        a, b = (random.select("rep", F.col("author_id").alias(x), "action_object") for x in ("src", "dst"))
+        pairs = a.join(b, ["rep", "action_object"]).where("src < dst")
     else:
         raise ValueError(f"unknown null model {how!r}")
+    counts = pairs.groupBy("rep", "src", "dst").agg(F.count(F.lit(1)).alias("null_weight"))
+    exceed = counts.join(edges.select("src", "dst", "weight"), ["src", "dst"]).where("null_weight >= weight").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("exceed"))
     return edges.join(exceed, ["src", "dst"], "left").withColumn("p_value", (1 + F.coalesce("exceed", F.lit(0))) / (1 + F.lit(iterations))).drop("exceed")
 
 

@@ -10,7 +10,7 @@ REGION_RULES = [
     (["kisumu", "siaya", "homa bay", "homabay", "migori", "nyanza", "bondo", "kisii", "nyamira"], "Nyanza"),
     (["kakamega", "bungoma", "busia", "vihiga", "western", "mumias"], "Western"),
     (["eldoret", "uasin gishu", "kericho", "bomet", "nandi", "baringo", "marakwet", "nakuru", "narok", "kajiado", "rift"], "Rift Valley"),
-    (["nyeri", "murang", "kiambu", "kirinyaga", "nyandarua", "thika", "central", "mount kenya", "mt kenya"], "Central"),
+    (["nyeri", "murang", "kiambu", "kirinyaga", "nyandarua", "thika", "central"], "Central"),
     (["machakos", "makueni", "kitui", "embu", "meru", "isiolo", "marsabit", "tharaka", "eastern"], "Eastern"),
     (["garissa", "wajir", "mandera", "north eastern", "northeastern"], "North Eastern"),
     (["turkana", "samburu", "west pokot", "lodwar"], "North Rift"),

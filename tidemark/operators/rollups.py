@@ -89,7 +89,7 @@ def timeline(posts: DataFrame, unit: str) -> DataFrame:
 def daily_prevalence(scored: DataFrame, least: int = 20, rows: int = 7, least_rows: int = 3) -> DataFrame:
     """Share of toxic posts in scope by day, for days with enough of them, and its rolling mean."""
     toxic = (F.col("label") != "neither") | F.coalesce(F.col("hate_flag"), F.lit(False))
-    day = scored.where("in_kenya_scope").groupBy(F.date_trunc("day", "created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), S.share(toxic).alias("rate")).where(F.col("n") >= least)
+    day = scored.where("in_scope").groupBy(F.date_trunc("day", "created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), S.share(toxic).alias("rate")).where(F.col("n") >= least)
     w = Window.orderBy("day").rowsBetween(1 - rows, 0)  # one row per day
     return day.withColumn("rolling", F.when(F.count(F.lit(1)).over(w) >= least_rows, F.avg("rate").over(w)))
 

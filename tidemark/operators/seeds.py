@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import order as O
 from tidemark.functions import stats as S
 from tidemark.functions import text as T
 from tidemark.operators import accounts
@@ -24,7 +25,7 @@ def toxic(columns: Iterable[str]) -> Column:
     out = (F.col("label") != "neither") | F.coalesce(F.col("hate_flag"), F.lit(False))
     if "coded_suspect" in cols:
         out = out | F.coalesce(F.col("coded_suspect"), F.lit(False))
-    return out & F.coalesce(F.col("in_kenya_scope"), F.lit(True)) if "in_kenya_scope" in cols else out
+    return out & F.coalesce(F.col("in_scope"), F.lit(True)) if "in_scope" in cols else out
 
 
 def _latest_scores(scores: DataFrame) -> DataFrame:
@@ -68,20 +69,21 @@ def seed_accounts(scores: DataFrame, posts: DataFrame, authors: DataFrame, engag
     m = m.na.fill(0, ["n_repeat_peers", "n_any_peers", "n_brigade_convs"]).na.fill(0.0, ["suspicion"])
     m = m.withColumn("toxic_rate_lb", S.wilson_lower(F.col("n_toxic"), F.col("n_posts"))).withColumn("persistence", F.col("toxic_days") / F.greatest("active_days", F.lit(1)))
     m = m.where(((F.col("n_posts") >= MIN_POSTS) & (F.col("n_toxic") >= MIN_TOXIC)) | (F.col("n_repeat_peers") >= MIN_PEERS) | (F.col("n_brigade_convs") >= MIN_BRIGADES))
-    m = m.withColumn("volume_bucket", F.ntile(STRATA).over(Window.orderBy("n_posts", "author_id")))
-
-    def rank(order: Column, *by: str) -> Column:
-        return F.percent_rank().over(Window.partitionBy(*by).orderBy(order))
-
-    score = (
-        WEIGHTS["co_amplify"] * rank(F.log1p("n_repeat_peers") + F.log1p("n_any_peers"), "volume_bucket")
-        + WEIGHTS["toxic_rate_lb"] * rank(F.col("toxic_rate_lb"))
-        + WEIGHTS["brigade"] * rank(F.log1p("n_brigade_convs"), "volume_bucket")
-        + WEIGHTS["persistence"] * rank(F.col("persistence"))
-        + WEIGHTS["suspicion"] * rank(F.col("suspicion"))
-    )
+    m = O.numbered(m, "n_posts", "author_id")
     size = m.agg(F.count(F.lit(1)).alias("_size"))
-    return m.withColumn("hate_seed_score", score).crossJoin(F.broadcast(size)).withColumn("hate_seed_score", F.when(F.col("_size") >= COHORT, F.col("hate_seed_score"))).drop("_size")
+    m = m.crossJoin(F.broadcast(size))
+    # As ntile: the first strata have one row more where rows do not divide evenly.
+    each, more = F.floor(F.col("_size") / STRATA), F.col("_size") % STRATA
+    late = more + F.floor((F.col("_n") - more * (each + 1)) / F.greatest(each, F.lit(1)))
+    m = m.withColumn("volume_bucket", (F.when(F.col("_n") < more * (each + 1), F.floor(F.col("_n") / (each + 1))).otherwise(late) + 1).cast("int")).drop("_n")
+    m = m.withColumn("_amplify", F.log1p("n_repeat_peers") + F.log1p("n_any_peers"))
+    parts = {"co_amplify": ("_amplify", ("volume_bucket",)), "toxic_rate_lb": ("toxic_rate_lb", ()), "brigade": ("n_brigade_convs", ("volume_bucket",)), "persistence": ("persistence", ()), "suspicion": ("suspicion", ())}
+    score = F.lit(0.0)
+    for name, (column, by) in parts.items():
+        m = O.with_percent_rank(m, column, f"_{name}", by)
+        score = score + WEIGHTS[name] * F.col(f"_{name}")
+    m = m.withColumn("hate_seed_score", F.when(F.col("_size") >= COHORT, score))
+    return m.drop("_size", "_amplify", *[f"_{name}" for name in parts])
 
 
 def mine_terms(posts: DataFrame, cohort: DataFrame, as_of: str, days: int = 14, new_days: int = 3, stop: Iterable[str] = (), min_count: int = 8, min_authors: int = 3, min_lift: float = 1.5) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import order as O
+
 
 def unresolved(posts: DataFrame, reference: str, known: DataFrame) -> DataFrame:
     """References (ref) of posts to posts that known does not hold."""
@@ -31,8 +33,15 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> Data
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     quota = sizes.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.bround(n * F.col("_n") / F.col("_all"), 0).cast("int")).alias("_q"))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.join(F.broadcast(quota), stratum).withColumn("_r", F.row_number().over(w)).where("_r <= _q").drop("_r", "_q")
+    placed = _placed(df, stratum, key, seed).join(F.broadcast(quota.withColumnRenamed(stratum, "_s")), F.col(stratum).eqNullSafe(F.col("_s")))
+    return placed.where("_r < _q").select(*df.columns)
+
+
+def _placed(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """df with _r, a row's place (from 0) in its stratum in hash order, and _n, the stratum's rows."""
+    placed = O.numbered(df, F.col(stratum), F.xxhash64(F.lit(seed), F.col(key)), F.col(key), out="_p")
+    own = placed.groupBy(F.col(stratum).alias("_t")).agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return placed.join(F.broadcast(own), F.col(stratum).eqNullSafe(F.col("_t"))).withColumn("_r", F.col("_p") - F.col("_first")).drop("_p", "_first", "_t")
 
 
 def quotas(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -46,13 +55,12 @@ def quotas(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
 
 def split(df: DataFrame, key: str, stratum: str, shares: dict[str, float], seed: int) -> DataFrame:
     """df with a column split: within each stratum, rows in hash order fill the named shares in turn."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
-    place = (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(stratum))
     out, edge = None, 0.0
     for name, s in shares.items():
         edge += s
         out = F.when(F.col("_p") <= edge, name) if out is None else out.when(F.col("_p") <= edge, name)
-    return df.withColumn("_p", place).withColumn("split", out.otherwise(list(shares)[-1])).drop("_p")
+    placed = _placed(df, stratum, key, seed).withColumn("_p", (F.col("_r") + 0.5) / F.col("_n"))
+    return placed.withColumn("split", out.otherwise(list(shares)[-1])).select(*df.columns, "split")
 
 
 def by_priority(pools: Sequence[DataFrame], key: str, limits: Sequence[int], order: Sequence) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import stats as S
 from tidemark.functions import text as T
+from tidemark.functions.order import checkpointed, numbered
 from tidemark.operators import graphs, vectors
 from tidemark.operators import latest as L
 
@@ -61,7 +62,7 @@ def candidate_stories(posts: DataFrame, tau: float = 0.80, least: int = MIN_SIZE
     members = kept.join(components_within(kept, tau), "id")
     members = members.join(chained(members), "component", "left_anti")
     size = members.groupBy("component").agg(F.countDistinct("author_id").alias("authors"), F.count(F.lit(1)).alias("n"), T.stable_id(F.collect_list("platform_post_id")).alias("stable_story_id")).where(F.col("authors") >= least)
-    ranked = size.withColumn("story_id", F.row_number().over(Window.orderBy(F.desc("n"), "stable_story_id")) - 1)
+    ranked = numbered(size, F.desc("n"), F.col("stable_story_id"), out="story_id")
     return members.join(ranked.select("component", "story_id", "stable_story_id"), "component").drop("component")
 
 
@@ -104,8 +105,11 @@ def top_hashtags(stories: DataFrame, n: int = 5) -> DataFrame:
 
 def _weighted_ranks(df: DataFrame, columns: dict[str, tuple[str, bool]], weights: dict[str, float], out: str) -> DataFrame:
     """df with ix_<name> for each ranked column (name -> column, descending) and their weighted sum; null ranks count 0."""
+    df = checkpointed(df)
     for name, (column, down) in columns.items():
-        df = S.with_pct_rank(df, column, f"ix_{name}", descending=down).na.fill(0.0, [f"ix_{name}"])
+        # Twelve places: values that are equal but for the order of a sum rank alike.
+        df = df.withColumn("_v", F.round(F.col(column).cast("double"), 12))
+        df = S.with_pct_rank(df, "_v", f"ix_{name}", descending=down).na.fill(0.0, [f"ix_{name}"]).drop("_v")
     return df.withColumn(out, sum((w * F.col(f"ix_{k}") for k, w in weights.items()), F.lit(0.0)))
 
 
@@ -201,13 +205,34 @@ def story_topics(stories: DataFrame, topics: DataFrame, n: int = 3) -> DataFrame
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("story_id", "rank", "topic", (F.col("n") / F.col("all")).alias("share"))
 
 
-def assign_topics(rows: DataFrame, tau: float = 0.35, least: int = 10) -> DataFrame:
-    """(id, topic): mutual-likeness components of at least `least` vectors, numbered by size; others -1.
+def content_clusters(rows: DataFrame, tau: float = 0.9, least: int = 2) -> DataFrame:
+    """(id, cluster_id) of rows (id, vec) in likeness components of at least `least` rows: the smallest id names one.
 
-    Stands in for a projection and density clustering that need libraries this engine has not; same
-    columns, same meaning of -1.
+    What the text_sim channel takes as content.
     """
     found = components_within(rows, tau)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    named = size.withColumn("topic", (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).cast("int"))
-    return found.join(named.select("component", "topic"), "component", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
+    return found.join(size.select("component"), "component", "left_semi").select("id", F.col("component").alias("cluster_id"))
+
+
+def assign_topics(rows: DataFrame, tau: float = 0.35, least: int = 10, core: int = 5) -> DataFrame:
+    """(id, topic) of rows (id, vec) by density: topics are numbered by falling size, -1 is noise.
+
+    A row with `core` others or more within cosine tau is dense; linked dense rows are one topic, and
+    another row belongs to the topic of its nearest dense neighbour (ties: smallest id). Topics of fewer
+    than `least` rows are noise. Density clustering of the vectors themselves, at one level: there is no
+    projection to fewer dimensions before it and no hierarchy of levels.
+    """
+    links = checkpointed(vectors.radius_links(rows.select("id", "vec"), tau))
+    both = links.select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim").unionByName(links.select(F.col("dst").alias("id"), F.col("src").alias("other"), "sim"))
+    dense = checkpointed(both.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= core).select("id"))
+    inner = links.join(dense.withColumnRenamed("id", "src"), "src", "left_semi").join(dense.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    found = graphs.connected_components(inner.select("src", "dst")).withColumnRenamed("node", "id")
+    found = checkpointed(dense.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    edge = both.join(dense, "id", "left_anti").join(found.withColumnRenamed("id", "other"), "other")
+    edge = edge.groupBy("id").agg(F.max_by("component", F.struct(F.round("sim", 9), -F.col("other"))).alias("component"))
+    member = found.unionByName(edge)
+    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    named = numbered(size, F.desc("n"), F.col("component"), out="topic").select("component", F.col("topic").cast("int").alias("topic"))
+    of = member.join(named, "component").select("id", "topic")
+    return rows.select("id").join(of, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))

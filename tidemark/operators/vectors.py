@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,33 +45,36 @@ def mean_pairwise(df: DataFrame, key: str, vector: str) -> DataFrame:
     return own.where("n > 1").select(key, "n", ((F.col("cohesion") * n) ** 2 - n).alias("_s")).select(key, "n", (F.col("_s") / (F.col("n") * (F.col("n") - 1.0))).alias("mean_cosine"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, block: int = 4096, rows_block: int = 32_768) -> DataFrame:
     """query_id, id, sim: the k rows nearest by cosine to each query, itself apart; ties by id.
 
-    Queries are compared in blocks with all rows: each task keeps k a query, and these are merged.
+    A stated set of queries against all rows, in blocks: a task compares one block of each and keeps k a
+    query, and these are merged. Neither side is ever on the driver.
     """
-    spark = rows.sparkSession
-    q = queries.select("id", "vec").toPandas()  # a stated set of queries, held in memory
-    ids, v = q["id"].to_numpy(), np.array(q["vec"].tolist(), float)
-    v = v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v
-    shared = spark.sparkContext.broadcast((ids, v))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, v = shared.value
-        for pdf in batches:
-            w = np.array(pdf["vec"].tolist(), float)
-            w /= np.linalg.norm(w, axis=1, keepdims=True)
-            own = pdf["id"].to_numpy()
-            for at in range(0, len(ids), block):
-                s = np.round(v[at : at + block] @ w.T, decimals)
-                s[ids[at : at + block, None] == own[None]] = -np.inf
-                m = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-                out = pd.DataFrame({"query_id": np.repeat(ids[at : at + block], m), "id": own[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
-                yield out[np.isfinite(out["sim"])]
+    asks, all_rows = queries.select("id", "vec"), rows.select("id", "vec")
+    nq, nr = max(1, -(-asks.count() // block)), max(1, -(-all_rows.count() // rows_block))
+    part = lambda df, n: df.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = part(asks, nq).withColumnRenamed("_p", "i").withColumn("j", each(nr))
+    r = part(all_rows, nr).withColumnRenamed("_p", "j").withColumn("i", each(nq))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
+        v, w = (np.array(x["vec"].tolist(), float) for x in (a, b))
+        v, w = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (v, w))
+        ids, own, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        m = min(k, len(own))
+        for at in range(0, len(ids), 256):
+            s = np.round(v[at : at + 256] @ w.T, decimals)
+            s[ids[at : at + 256, None] == own[None]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
+            found = pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], m), "id": own[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
+            out.append(found[np.isfinite(found["sim"])])
+        return pd.concat(out)
 
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    found = rows.select("id", "vec").mapInPandas(run, "query_id long, id long, sim double")
+    found = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(meet, "query_id long, id long, sim double")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

@@ -224,7 +224,7 @@ def _(t: Tables):
     return rollups.timeline(t.posts.join(t.sentiment, "platform_post_id"), "day").select(F.date_format("at", "yyyy-MM-dd").alias("day"), "n", F.round("mean_sentiment", 6).alias("mean_sentiment"))
 
 
-@query("ag34_daily_prevalence", "posts scores", "d AS (SELECT date_trunc('day', created_at) AS dy, count(*) AS n, avg((label <> 'neither' OR hate_flag)::INT) AS r FROM posts JOIN scores USING (platform_post_id) WHERE in_kenya_scope GROUP BY 1 HAVING count(*) >= 20) SELECT strftime(dy, '%Y-%m-%d') AS day, n, round(r, 6) AS rate, round(CASE WHEN count(*) OVER w >= 3 THEN avg(r) OVER w END, 6) AS rolling FROM d WINDOW w AS (ORDER BY dy ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
+@query("ag34_daily_prevalence", "posts scores", "d AS (SELECT date_trunc('day', created_at) AS dy, count(*) AS n, avg((label <> 'neither' OR hate_flag)::INT) AS r FROM posts JOIN scores USING (platform_post_id) WHERE in_scope GROUP BY 1 HAVING count(*) >= 20) SELECT strftime(dy, '%Y-%m-%d') AS day, n, round(r, 6) AS rate, round(CASE WHEN count(*) OVER w >= 3 THEN avg(r) OVER w END, 6) AS rolling FROM d WINDOW w AS (ORDER BY dy ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
 def _(t: Tables):
     out = rollups.daily_prevalence(t.posts.join(t.scores, "platform_post_id"))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round("rate", 6).alias("rate"), F.round("rolling", 6).alias("rolling"))
@@ -273,14 +273,19 @@ def _(t: Tables):
     return out.select("author_id", F.round("entropy", 6).alias("entropy"), "dominant")
 
 
-@query("tk03_random_order", "acts")
+@query("tk03_random_order", "acts", "SELECT 50::BIGINT AS n, 50::BIGINT AS known, true AS mixed FROM (SELECT count(*) FROM acts)")
 def _(t: Tables):
-    return selection.hash_order(t.acts.select("e"), "e", 50, seed=7)
+    """What can be said of a random order in SQL: 50 distinct known rows, and not the first by id."""
+    got = selection.hash_order(t.acts.select("e"), "e", 50, seed=7)
+    return got.join(t.acts.select("e").distinct(), "e").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("e").alias("known"), (F.max("e") > 200).alias("mixed"))
 
 
-@query("tk05_stratified_sample", "acts")
+@query("tk05_stratified_sample", "acts", "SELECT kind, greatest(1, round_even(100.0 * count(*) / (SELECT count(*) FROM acts), 0))::BIGINT AS n, greatest(1, round_even(100.0 * count(*) / (SELECT count(*) FROM acts), 0))::BIGINT AS distinct_rows, true AS known FROM acts GROUP BY 1")
 def _(t: Tables):
-    return selection.stratified(t.acts.select("e", "kind"), "kind", "e", 100, seed=7)
+    """What was drawn of each stratum: the draw itself is by hash."""
+    got = selection.stratified(t.acts.select("e", "kind"), "kind", "e", 100, seed=7)
+    own = t.acts.select("e", F.col("kind").alias("k"))
+    return got.join(own, "e", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("e").alias("distinct_rows"), F.bool_and(F.col("kind") == F.col("k")).alias("known"))
 
 
 @query("tk07_largest_remainder", "acts", "c AS (SELECT kind, count(*) * 100.0 / (SELECT count(*) FROM acts) AS x FROM acts GROUP BY 1), f AS (SELECT kind, floor(x) AS lo, row_number() OVER (ORDER BY x - floor(x) DESC, kind) AS r FROM c) SELECT kind, (lo + CASE WHEN r <= 100 - (SELECT sum(lo) FROM f) THEN 1 ELSE 0 END)::BIGINT AS quota FROM f")
@@ -288,9 +293,11 @@ def _(t: Tables):
     return selection.quotas(t.acts.groupBy("kind").count(), "kind", "count", 100)
 
 
-@query("tk08_split", "acts")
+@query("tk08_split", "acts", "p AS (SELECT kind, (row_number() OVER (PARTITION BY kind) - 0.5) / count(*) OVER (PARTITION BY kind)::DOUBLE AS p FROM acts) SELECT kind, CASE WHEN p <= 0.8::DOUBLE THEN 'train' WHEN p <= 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(*) AS distinct_rows FROM p GROUP BY 1, 2")
 def _(t: Tables):
-    return selection.split(t.acts.select("e", "kind"), "e", "kind", {"train": 0.8, "val": 0.1, "test": 0.1}, seed=3)
+    """Rows of each stratum in each part: which rows they are is by hash."""
+    got = selection.split(t.acts.select("e", "kind"), "e", "kind", {"train": 0.8, "val": 0.1, "test": 0.1}, seed=3)
+    return got.groupBy("kind", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("e").alias("distinct_rows"))
 
 
 @query("st01_union_traces", "posts engagements_raw", "SELECT author_id, repost_of_id AS obj FROM posts WHERE repost_of_id IS NOT NULL UNION SELECT platform_user_id, platform_post_id FROM engagements_raw WHERE kind = 'retweet'")

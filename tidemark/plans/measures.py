@@ -14,14 +14,14 @@ from tidemark.plans.tables import AS_OF, Tables
 
 SCAN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}', 'i') THEN '{t}' END" for t, p in X.TERMS) + "], lambda x: x IS NOT NULL)"
 _RISK = " ".join(f"WHEN '{t}' THEN {['low', 'medium', 'high'].index(r)}" for t, r in X.RISK_OF.items())
-MEASURE = f"""mz AS (SELECT p.platform_post_id, {SCAN} AS h, CASE WHEN regexp_matches(text, '{X.KENYA_WORDS}', 'i') THEN 'kenya' WHEN regexp_matches(text, '{X.OTHER_WORDS}', 'i') THEN 'offdomain' ELSE 'ambiguous' END AS domain,
+MEASURE = f"""mz AS (SELECT p.platform_post_id, {SCAN} AS h, CASE WHEN regexp_matches(text, '{X.HOME_WORDS}', 'i') THEN 'home' WHEN regexp_matches(text, '{X.OTHER_WORDS}', 'i') THEN 'offdomain' ELSE 'ambiguous' END AS domain,
  greatest(dehumanisation_score, violence_call_score, othering_score) AS menace, coalesce(political_criticism_score, 0) AS pol, label, hate_flag FROM posts p JOIN scores s ON s.platform_post_id = p.platform_post_id),
 mr AS (SELECT *, list_min(list_transform(h, lambda t: CASE t {_RISK} END)) AS risk FROM mz),
 mm AS (SELECT *, coalesce(menace >= CASE risk WHEN 0 THEN 0.45::DOUBLE WHEN 1 THEN 0.55::DOUBLE WHEN 2 THEN 0.65::DOUBLE END AND menace >= pol + CASE risk WHEN 0 THEN -0.05::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.1::DOUBLE END, false) AS coded, ((label <> 'neither' OR hate_flag) AND domain <> 'offdomain') AS explicit FROM mr)"""
 
 
 def measured(t: Tables):
-    return X.with_measures(t.posts.join(t.scores.drop("in_kenya_scope", "coded_suspect"), "platform_post_id"))
+    return X.with_measures(t.posts.join(t.scores.drop("in_scope", "coded_suspect"), "platform_post_id"))
 
 
 @query("sf05_digit_share", "authors_raw", "SELECT platform_user_id AS id, round(length(regexp_replace(handle, '[^0-9]', '', 'g'))::DOUBLE / greatest(length(handle), 1), 6) AS share FROM authors_raw")
@@ -69,9 +69,9 @@ def _(t: Tables):
 
 @query("ag51_headline", "posts scores", f"{MEASURE} SELECT count(*) AS n, count(*) FILTER (WHERE domain = 'offdomain') AS offdomain, count(*) FILTER (WHERE explicit) AS explicit_toxic, count(*) FILTER (WHERE coded AND domain <> 'offdomain') AS coded, round(count(*) FILTER (WHERE explicit)::DOUBLE / greatest(count(*) FILTER (WHERE domain <> 'offdomain'), 1), 6) AS rate FROM mm")
 def _(t: Tables):
-    m, scope = measured(t), F.col("in_kenya_scope")
+    m, scope = measured(t), F.col("in_scope")
     rate = S.count_if(F.col("explicit_toxic")) / F.greatest(S.count_if(scope), F.lit(1))
-    return m.agg(F.count(F.lit(1)).alias("n"), S.count_if(~scope).alias("offdomain"), S.count_if(F.col("explicit_toxic")).alias("explicit_toxic"), S.count_if(F.col("coded_suspect_kenya")).alias("coded"), F.round(rate, 6).alias("rate"))
+    return m.agg(F.count(F.lit(1)).alias("n"), S.count_if(~scope).alias("offdomain"), S.count_if(F.col("explicit_toxic")).alias("explicit_toxic"), S.count_if(F.col("coded_suspect_in_scope")).alias("coded"), F.round(rate, 6).alias("rate"))
 
 
 @query("ag46_categories", "posts scores", f"{MEASURE}, x AS (SELECT DISTINCT platform_post_id, label, CASE " + " ".join(f"WHEN t = '{k}' THEN '{v}'" for k, v in X.CATEGORY_OF.items()) + " END AS category FROM mm, unnest(h) u(t)) SELECT category, label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM x GROUP BY 1, 2")
@@ -107,7 +107,7 @@ def _(t: Tables):
     return x.withColumn("lower", F.round(S.wilson_lower(F.col("k"), F.col("n")), 6))
 
 
-SEEDS = f"""{FEATURES}, fl AS (SELECT platform_post_id, ((label <> 'neither' OR coalesce(hate_flag, false) OR coalesce(coded_suspect, false)) AND coalesce(in_kenya_scope, true)) AS tox, p_hate FROM scores),
+SEEDS = f"""{FEATURES}, fl AS (SELECT platform_post_id, ((label <> 'neither' OR coalesce(hate_flag, false) OR coalesce(coded_suspect, false)) AND coalesce(in_scope, true)) AS tox, p_hate FROM scores),
 re AS (SELECT lp.*, coalesce(tox, false) AS tox FROM lp LEFT JOIN fl USING (platform_post_id) WHERE lp.created_at > TIMESTAMP '2024-02-01' - INTERVAL 14 DAYS),
 vol AS (SELECT author_id, count(*) AS n_posts, count(*) FILTER (WHERE tox) AS n_toxic, count(DISTINCT CASE WHEN tox THEN date_trunc('day', created_at) END) AS td, count(DISTINCT date_trunc('day', created_at)) AS ad FROM re GROUP BY 1),
 am AS (SELECT DISTINCT author_id, obj FROM (SELECT author_id, repost_of_id AS obj FROM lp WHERE repost_of_id IS NOT NULL UNION SELECT platform_user_id, platform_post_id FROM engagements_raw WHERE kind = 'retweet') WHERE obj IN (SELECT platform_post_id FROM fl WHERE tox)),
@@ -134,7 +134,7 @@ def _(t: Tables):
     return out.select("term", "c_in", "a_in", "c_all", F.round("lift", 6).alias("lift"), F.round("novelty", 6).alias("novelty"))
 
 
-FLAGGED = "fl AS (SELECT platform_post_id, ((label <> 'neither' OR hate_flag OR coded_suspect) AND in_kenya_scope) AS tox, p_hate FROM scores)"
+FLAGGED = "fl AS (SELECT platform_post_id, ((label <> 'neither' OR hate_flag OR coded_suspect) AND in_scope) AS tox, p_hate FROM scores)"
 
 
 @query("hs05_hot_toxic_objects", "posts_raw scores", f"{LP}, {FLAGGED} SELECT platform_post_id, repost_count, round(p_hate, 6) AS p_hate FROM lp JOIN fl USING (platform_post_id) WHERE tox AND NOT is_repost AND repost_count BETWEEN 5 AND 500 AND created_at > TIMESTAMP '2024-02-01' - INTERVAL 14 DAYS ORDER BY repost_count DESC, p_hate DESC, platform_post_id LIMIT 250")

@@ -17,7 +17,7 @@ from tidemark.operators import stories as ST
 from tidemark.plans.core import FEATURES, LP
 from tidemark.plans.networks import STRONG, strong
 from tidemark.plans.registry import query
-from tidemark.plans.stories import CLASSES, PAIRS, pairs, story_rows
+from tidemark.plans.stories import CLASSES, PAIRS, STORY, pairs, story_rows
 from tidemark.plans.tables import AS_OF, Tables
 from tidemark.streaming import passes
 
@@ -45,10 +45,10 @@ def _(t: Tables):
     return LB.annotator_agreement(v, ("a", "b", "c")).select("e", F.round("agreement", 6).alias("agreement"))
 
 
-@query("ag45_regional_rate", "posts authors_raw scores", "SELECT location, count(*) AS n, round(avg((label <> 'neither')::INT), 6) AS rate FROM posts JOIN scores USING (platform_post_id) JOIN authors_raw a ON a.platform_user_id = author_id WHERE in_kenya_scope GROUP BY 1 HAVING count(*) >= 200")
+@query("ag45_regional_rate", "posts authors_raw scores", "SELECT location, count(*) AS n, round(avg((label <> 'neither')::INT), 6) AS rate FROM posts JOIN scores USING (platform_post_id) JOIN authors_raw a ON a.platform_user_id = author_id WHERE in_scope GROUP BY 1 HAVING count(*) >= 200")
 def _(t: Tables):
     who = t.authors_raw.select(F.col("platform_user_id").alias("author_id"), "location")
-    x = t.posts.join(t.scores.where("in_kenya_scope"), "platform_post_id").join(who, "author_id")
+    x = t.posts.join(t.scores.where("in_scope"), "platform_post_id").join(who, "author_id")
     return x.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.round(S.share(F.col("label") != "neither"), 6).alias("rate")).where("n >= 200")
 
 
@@ -58,9 +58,9 @@ def _(t: Tables):
     return d.agg(rollups.nearest_rank("n", 0.5).alias("p50"), rollups.nearest_rank("n", 0.9).alias("p90"), F.max("n").alias("top"), S.count_if(F.col("n") > 18).alias("over"))
 
 
-@query("ag52_trajectories", "posts_raw", "SELECT platform_post_id, count(*) AS n_snapshots, max(like_count) AS peak, min_by(like_count, collected_at) AS first FROM posts_raw GROUP BY 1 ORDER BY peak DESC, platform_post_id LIMIT 100")
+@query("ag52_trajectories", "posts_raw", "g AS (SELECT platform_post_id, count(*) AS n_snapshots, max(like_count) AS peak, min_by(like_count, collected_at) AS first FROM posts_raw GROUP BY 1 ORDER BY peak DESC, platform_post_id LIMIT 100) SELECT *, coalesce(platform_post_id = (SELECT arg_max(platform_post_id, (peak, platform_post_id)) FROM g WHERE n_snapshots >= 3), false) AS leads FROM g")
 def _(t: Tables):
-    return E.trajectories(t.posts_raw).drop("leads")
+    return E.trajectories(t.posts_raw)
 
 
 @query("wn18_author_cap", "posts", "SELECT author_id, platform_post_id FROM posts QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY like_count DESC, platform_post_id) <= 3")
@@ -87,9 +87,10 @@ def _(t: Tables):
     return neardup.clusters(t.documents, "doc_id", "text")
 
 
-@query("ev01_first_drop", "posts scores", "c AS (SELECT concat('p', i) AS id, i % 5 AS case_id FROM range(12000) r(i)), p AS (SELECT c.case_id, (p.platform_post_id IS NOT NULL)::INT AS a, (s.label IN ('hate', 'offensive'))::INT AS b, (s.p_hate >= 0.9 AND s.label IN ('hate', 'offensive') AND c.case_id <> 3)::INT AS d FROM c LEFT JOIN posts p ON p.platform_post_id = c.id LEFT JOIN scores s ON s.platform_post_id = c.id) SELECT case_id, sum(a)::BIGINT AS n_presence, coalesce(sum(b), 0)::BIGINT AS n_embedding, coalesce(sum(d), 0)::BIGINT AS n_rank, CASE WHEN sum(a) = 0 THEN 'presence' WHEN sum(b) = 0 THEN 'embedding' WHEN sum(d) = 0 THEN 'clustering' END AS dropped_at FROM p GROUP BY 1")
+@query("ev01_first_drop", "posts scores acts", "c AS (SELECT concat('p', e) AS id, e % 5 AS case_id FROM acts UNION ALL SELECT concat('gone', e), 5 FROM acts), p AS (SELECT c.case_id, (p.platform_post_id IS NOT NULL)::INT AS a, (s.label IN ('hate', 'offensive'))::INT AS b, (s.p_hate >= 0.9 AND s.label IN ('hate', 'offensive') AND c.case_id <> 3)::INT AS d FROM c LEFT JOIN posts p ON p.platform_post_id = c.id LEFT JOIN scores s ON s.platform_post_id = c.id) SELECT case_id, sum(a)::BIGINT AS n_presence, coalesce(sum(b), 0)::BIGINT AS n_embedding, coalesce(sum(d), 0)::BIGINT AS n_rank, CASE WHEN sum(a) = 0 THEN 'presence' WHEN sum(b) = 0 THEN 'embedding' WHEN sum(d) = 0 THEN 'clustering' END AS dropped_at FROM p GROUP BY 1")
 def _(t: Tables):
-    case = t.spark.range(12000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("platform_post_id"), (F.col("id") % 5).alias("case_id"))
+    case = t.acts.select(F.concat(F.lit("p"), F.col("e").cast("string")).alias("platform_post_id"), (F.col("e") % 5).alias("case_id"))
+    case = case.unionByName(t.acts.select(F.concat(F.lit("gone"), F.col("e").cast("string")).alias("platform_post_id"), F.lit(5).cast("long").alias("case_id")))
     bad = t.scores.where("label in ('hate', 'offensive')")
     far = bad.where("p_hate >= 0.9").join(case.where("case_id = 3"), "platform_post_id", "left_anti")
     return E.first_drop(case, t.posts, bad, far, far, far).select("case_id", "n_presence", "n_embedding", "n_rank", "dropped_at")
@@ -124,9 +125,9 @@ def _(t: Tables):
     return m.join(F.broadcast(top), "cluster_id").join(who, "author_id").select("cluster_id", "handle")
 
 
-@query("sl10_rotation", "acts", "w AS (SELECT concat('w', k) AS term, k % 3 AS pool, max(ts) AS l FROM acts WHERE k < 60 GROUP BY 1, 2) SELECT term, pool FROM w QUALIFY row_number() OVER (PARTITION BY pool ORDER BY l NULLS FIRST, term) <= 4")
+@query("sl10_rotation", "acts", "w AS (SELECT concat('w', k) AS term, k % 3 AS pool, max(ts) AS l FROM acts GROUP BY 1, 2) SELECT term, pool FROM w QUALIFY row_number() OVER (PARTITION BY pool ORDER BY l NULLS FIRST, term) <= 4")
 def _(t: Tables):
-    w = t.acts.where("k < 60").groupBy(F.concat(F.lit("w"), F.col("k").cast("string")).alias("term"), (F.col("k") % 3).alias("pool")).agg(F.max("ts").alias("last_searched"))
+    w = t.acts.groupBy(F.concat(F.lit("w"), F.col("k").cast("string")).alias("term"), (F.col("k") % 3).alias("pool")).agg(F.max("ts").alias("last_searched"))
     return ledgers.rotation(w, 4).select("term", "pool")
 
 
@@ -144,13 +145,15 @@ def _(t: Tables):
     return ledgers.over_band(d, 22).withColumn("share", F.round("share", 6))
 
 
-@query("co18_claim_coordination", "timed", f"{STRONG}, w AS (SELECT DISTINCT author_id FROM timed WHERE CAST(substr(author_id, 2) AS BIGINT) % 2 = 0), i AS (SELECT * FROM st WHERE src IN (SELECT author_id FROM w) AND dst IN (SELECT author_id FROM w)) SELECT (SELECT count(*) FROM w) AS n_accounts, count(*) AS n_edges, coalesce(max(weight), 0) AS max_weight, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM i UNION ALL SELECT dst FROM i)) AS n_linked, round(2.0 * count(*) / ((SELECT count(*) FROM w) * ((SELECT count(*) FROM w) - 1)), 8) AS density FROM i")
+@query("co18_claim_coordination", "timed posts", f"{STRONG}, w AS (SELECT DISTINCT p.author_id FROM posts p WHERE p.conversation_id = 'c7'), i AS (SELECT * FROM st WHERE src IN (SELECT author_id FROM w) AND dst IN (SELECT author_id FROM w)) SELECT (SELECT count(*) FROM w) AS n_accounts, count(*) AS n_edges, coalesce(max(weight), 0) AS max_weight, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM i UNION ALL SELECT dst FROM i)) AS n_linked, round(2.0 * count(*) / ((SELECT count(*) FROM w) * ((SELECT count(*) FROM w) - 1)), 8) AS density FROM i")
 def _(t: Tables):
-    who = t.timed.where((F.substring("author_id", 2, 9).cast("long") % 2) == 0)
+    who = t.posts.where("conversation_id = 'c7'")  # the claim's own posts
     return E.claim_coordination(who, strong(t)).withColumn("density", F.round("density", 8))
 
 
-@query("co13_cluster_names")
+@query("co13_cluster_names", "", f"""{STORY}, w AS (SELECT story_id, unnest(regexp_extract_all(regexp_replace(lower(text), 'https?://\\S+|@\\w+|#\\w+|[^\\w\\s]', ' ', 'g'), '[a-z]{{3,}}')) AS term FROM sr WHERE story_id IS NOT NULL), tf AS (SELECT story_id, term, count(*) AS tf FROM w GROUP BY 1, 2), sz AS (SELECT story_id, sum(tf) AS n FROM tf GROUP BY 1), us AS (SELECT term, sum(tf) AS n FROM tf GROUP BY 1),
+sc AS (SELECT tf.story_id, term, row_number() OVER (PARTITION BY story_id ORDER BY round(tf::DOUBLE / sz.n * ln(1 + (SELECT avg(n) FROM sz) / us.n), 10) DESC, term) AS r FROM tf JOIN sz USING (story_id) JOIN us USING (term)), ba AS (SELECT story_id, string_agg(term, ' / ' ORDER BY r) AS base FROM sc WHERE r <= 3 GROUP BY 1),
+nu AS (SELECT s.story_id, size, coalesce(base, 'mixed') AS base, row_number() OVER (PARTITION BY coalesce(base, 'mixed') ORDER BY size DESC, s.story_id) AS k FROM (SELECT story_id, count(*) AS size FROM sr WHERE story_id IS NOT NULL GROUP BY 1) s LEFT JOIN ba USING (story_id)) SELECT story_id, size, concat(base, CASE WHEN k > 1 THEN concat(' ', k) ELSE '' END, ' (n=', size, ')') AS name FROM nu""")
 def _(t: Tables):
     rows = story_rows(t).where("story_id is not null")
     return E.names(ST.class_terms(rows, "story_id", "text"), rows.groupBy("story_id").agg(F.count(F.lit(1)).alias("size")), "story_id")
@@ -211,10 +214,10 @@ def _(t: Tables):
     return E.encode(todo).where(F.size("embedding") == 64).select("platform_post_id")
 
 
-@query("sf10_mining_terms", "", "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[@#][\\w_]+', ' ', 'g'), '[\\p{L}][\\p{L}''-]{2,}')) AS term FROM documents WHERE lang = 'en') GROUP BY 1 HAVING count(*) >= 20")
+@query("sf10_mining_terms", "", "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[@#][\\w_]+', ' ', 'g'), '[\\p{L}][\\p{L}''-]{2,}')) AS term FROM documents) GROUP BY 1")
 def _(t: Tables):
-    words = t.documents.where("lang = 'en'").select(F.explode(T.mining_terms(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    words = t.documents.select(F.explode(T.mining_terms(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sm04_streamed_hours", "acts", "SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS n FROM acts GROUP BY 1")

@@ -70,26 +70,26 @@ def _(t: Tables):
     return N.project(t.timed, delta=3600).select("src", "dst", "weight", "n_objects_shared", F.round("min_gap", 3).alias("min_gap"))
 
 
-@query("co03_projection_tfidf", "timed", "o AS (SELECT DISTINCT author_id, action_object FROM timed), d AS (SELECT action_object, count(*) AS n FROM o GROUP BY 1), v AS (SELECT author_id, action_object, ln((SELECT count(DISTINCT author_id) FROM o)::DOUBLE / n) AS w FROM o JOIN d USING (action_object)), nr AS (SELECT author_id, sqrt(sum(w * w)) AS r FROM v GROUP BY 1) SELECT a.author_id AS src, b.author_id AS dst, round(sum(a.w * b.w) / (any_value(x.r) * any_value(y.r)), 6) AS weight_tfidf FROM v a JOIN v b ON a.action_object = b.action_object AND a.author_id < b.author_id JOIN nr x ON x.author_id = a.author_id JOIN nr y ON y.author_id = b.author_id GROUP BY 1, 2")
+@query("co03_projection_tfidf", "trace", f"{CAP}, o AS (SELECT DISTINCT author_id, action_object FROM kept), d AS (SELECT action_object, count(*) AS n FROM o GROUP BY 1), v AS (SELECT author_id, action_object, ln((SELECT count(DISTINCT author_id) FROM o)::DOUBLE / n) AS w FROM o JOIN d USING (action_object)), nr AS (SELECT author_id, sqrt(sum(w * w)) AS r FROM v GROUP BY 1) SELECT a.author_id AS src, b.author_id AS dst, round(sum(a.w * b.w) / (any_value(x.r) * any_value(y.r)), 6) AS weight_tfidf FROM v a JOIN v b ON a.action_object = b.action_object AND a.author_id < b.author_id JOIN nr x ON x.author_id = a.author_id JOIN nr y ON y.author_id = b.author_id GROUP BY 1, 2")
 def _(t: Tables):
-    return N.tfidf_weights(t.timed).select("src", "dst", F.round("weight_tfidf", 6).alias("weight_tfidf"))
+    return N.tfidf_weights(t.trace).select("src", "dst", F.round("weight_tfidf", 6).alias("weight_tfidf"))
 
 
-@query("co04_poisson_p", "trace", f"{EDGES}, {PV} SELECT src, dst, round(lam, 8) AS lam, round(p, 8) AS p_value FROM pv WHERE p > 1e-7")
+@query("co04_poisson_p", "trace", f"{EDGES}, {PV} SELECT src, dst, round(lam, 8) AS lam, round(p, 8) AS p_value FROM pv")
 def _(t: Tables):
     kept = N.without_hubs(t.trace)
     own = N.account_degrees(kept)
-    e = N.with_p_values(N.project(kept), kept).where("p_value > 1e-7")
+    e = N.with_p_values(N.project(kept), kept)
     tot = N.object_degrees(kept).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n"))).alias("f"))
     a, b = (own.select(F.col("author_id").alias(n), F.col("n_objects").alias(f"{n}_n")) for n in ("src", "dst"))
     lam = F.col("src_n") * F.col("dst_n") * F.col("f")
     return e.join(a, "src").join(b, "dst").crossJoin(F.broadcast(tot)).select("src", "dst", F.round(lam, 8).alias("lam"), F.round("p_value", 8).alias("p_value"))
 
 
-@query("co04_hypergeometric_p", "trace", f"{EDGES} SELECT src, dst, round(list_sum(list_transform(range(x, least(a.n, b.n) + 1), lambda k: exp(lgamma(a.n + 1) - lgamma(k + 1) - lgamma(a.n - k + 1) + lgamma(m - a.n + 1) - lgamma(b.n - k + 1) - lgamma(m - a.n - b.n + k + 1) - lgamma(m + 1) + lgamma(b.n + 1) + lgamma(m - b.n + 1)))), 7) AS p_uniform FROM ed JOIN own a ON a.author_id = src JOIN own b ON b.author_id = dst, tot WHERE x < 400")
+@query("co04_hypergeometric_p", "trace", f"{EDGES} SELECT src, dst, round(list_sum(list_transform(range(x, least(a.n, b.n) + 1), lambda k: exp(lgamma(a.n + 1) - lgamma(k + 1) - lgamma(a.n - k + 1) + lgamma(m - a.n + 1) - lgamma(b.n - k + 1) - lgamma(m - a.n - b.n + k + 1) - lgamma(m + 1) + lgamma(b.n + 1) + lgamma(m - b.n + 1)))), 7) AS p_uniform FROM ed JOIN own a ON a.author_id = src JOIN own b ON b.author_id = dst, tot")
 def _(t: Tables):
     kept = N.without_hubs(t.trace)
-    return N.with_p_values(N.project(kept), kept, uniform=True).where("weight < 400").select("src", "dst", F.round("p_value", 7).alias("p_uniform"))
+    return N.with_p_values(N.project(kept), kept, uniform=True).select("src", "dst", F.round("p_value", 7).alias("p_uniform"))
 
 
 FLAGS = f"""{EDGES}, {PV}, rk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m FROM pv)
@@ -110,10 +110,10 @@ def _(t: Tables):
 
 def strong(t: Tables):
     """A sparse graph for clusters: timed co-actions seen at least twice."""
-    return N.project(t.timed, delta=1800).select("src", "dst", "weight")
+    return N.project(t.timed, delta=10800).select("src", "dst", "weight")
 
 
-STRONG = "st AS (SELECT a.author_id AS src, b.author_id AS dst, count(*) AS weight FROM timed a JOIN timed b ON a.action_object = b.action_object AND a.author_id < b.author_id AND abs(epoch(a.created_at) - epoch(b.created_at)) <= 1800 GROUP BY 1, 2 HAVING count(*) >= 2)"
+STRONG = "st AS (SELECT a.author_id AS src, b.author_id AS dst, count(*) AS weight FROM timed a JOIN timed b ON a.action_object = b.action_object AND a.author_id < b.author_id AND abs(epoch(a.created_at) - epoch(b.created_at)) <= 10800 GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
 @query("se04_components", "timed", f"""{STRONG}, bi AS (SELECT src AS a, dst AS b FROM st UNION SELECT dst, src FROM st), r AS (SELECT a, a AS c FROM bi),
@@ -156,24 +156,22 @@ def _(t: Tables):
 
 @query("co05_curveball")
 def _(t: Tables):
-    tr = t.timed.where("author_id < 'u13'")
-    return N.replicate_p_values(tr, N.project(tr), "curveball", iterations=24)
+    return N.replicate_p_values(t.timed, N.project(t.timed), "curveball", iterations=24)
 
 
 @query("co06_shuffled_times")
 def _(t: Tables):
-    tr = t.timed.where("author_id < 'u13'")
-    return N.replicate_p_values(tr, N.project(tr, delta=3600), "times", iterations=10, delta=3600)
+    return N.replicate_p_values(t.timed, N.project(t.timed, delta=3600), "times", iterations=10, delta=3600)
 
 
 @query("co19_recovery")
 def _(t: Tables):
-    return N.recovery(N.validated_edges(N.inject(t.timed, 10, 6)), "sig_bonferroni")
+    return N.recovery(N.validated_edges(N.inject(t.trace, 10, 6)), "sig_bonferroni")
 
 
 @query("co20_null_baseline")
 def _(t: Tables):
-    return N.validated_edges(N.shuffled(t.timed)).agg(F.count(F.lit(1)).alias("edges"), F.count_if("sig_bonferroni").alias("bonferroni"), F.count_if("sig_fdr").alias("fdr"))
+    return N.validated_edges(N.shuffled(t.trace)).agg(F.count(F.lit(1)).alias("edges"), F.count_if("sig_bonferroni").alias("bonferroni"), F.count_if("sig_fdr").alias("fdr"))
 
 
 @query("co17_member_table", "posts authors_raw", "SELECT p.author_id, a.handle, count(*) AS n_posts, count(DISTINCT p.repost_of_id) AS n_objects FROM posts p JOIN authors_raw a ON a.platform_user_id = p.author_id WHERE p.author_id IN ('u1', 'u2', 'u3', 'u4') GROUP BY 1, 2")

@@ -54,14 +54,33 @@ def _(t: Tables):
     return ST.class_terms(story_rows(t), "story_id", "text", 8, 2).select("story_id", "term", F.round("weight", 8).alias("weight"), "rank")
 
 
-@query("se05_topics")
+#: Links of a radius graph as `both` (id, other, sim), and what each id reaches over the links in `over`.
+RADIUS = "both_ AS (SELECT a.id AS id, b.id AS other, list_cosine_similarity(a.v, b.v) AS sim FROM {rows} a JOIN {rows} b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= {tau})"
+TOPICS = f"""RECURSIVE {EMB}, {RADIUS.format(rows="em", tau=0.35)}, core AS (SELECT id FROM both_ GROUP BY 1 HAVING count(*) >= 3), inn AS (SELECT id, other FROM both_ WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS far FROM core UNION SELECT r.id, i.other FROM reach r JOIN inn i ON r.far = i.id), comp AS (SELECT id, min(far) AS c FROM reach GROUP BY 1),
+mem AS (SELECT * FROM comp UNION ALL SELECT b.id, arg_max(c, (round(sim, 9), -other)) FROM both_ b JOIN comp ON comp.id = b.other WHERE b.id NOT IN (SELECT id FROM core) GROUP BY 1), big AS (SELECT c, (row_number() OVER (ORDER BY count(*) DESC, c) - 1)::INT AS topic FROM mem GROUP BY 1 HAVING count(*) >= 8)"""
+
+
+@query("se05_topics", "", f"{TOPICS} SELECT em.id, coalesce(topic, -1)::INT AS topic FROM em LEFT JOIN mem USING (id) LEFT JOIN big USING (c)")
+def _(t: Tables):
+    return ST.assign_topics(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.35, 8, 3)
+
+
+@query("se03_content_clusters", "", f"RECURSIVE {EMB}, {RADIUS.format(rows='em', tau=0.4)}, reach AS (SELECT id, id AS far FROM both_ UNION SELECT r.id, b.other FROM reach r JOIN both_ b ON r.far = b.id) SELECT id, min(far) AS cluster_id FROM reach GROUP BY 1")
 def _(t: Tables):
-    return ST.assign_topics(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4)
+    return ST.content_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4)
 
 
-@query("sy01_candidate_stories")
+#: No story here has the 150 authors from which on a dispersed component is rejected.
+CANDIDATES = f"""RECURSIVE {STORY}, keep AS (SELECT sr.*, len(regexp_extract_all(replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '#', ' '), '\\p{{L}}{{2,}}')) AS w FROM sr WHERE id % 9 <> 0 AND NOT regexp_matches(coalesce(text, ''), '^\\s*RT\\s+@', 'i')
+ QUALIFY row_number() OVER (PARTITION BY author_id, lower(trim(text, ' ')) ORDER BY s, pid) = 1), inf AS (SELECT * FROM keep WHERE w >= 5), {RADIUS.format(rows="inf", tau=0.35)},
+reach AS (SELECT id, id AS far FROM inf UNION SELECT r.id, b.other FROM reach r JOIN both_ b ON r.far = b.id), comp AS (SELECT id, min(far) AS c FROM reach GROUP BY 1),
+big AS (SELECT c, count(*) AS n, substr(sha1(string_agg(pid, chr(10) ORDER BY pid)), 1, 16) AS stable FROM comp JOIN inf USING (id) GROUP BY 1 HAVING count(DISTINCT author_id) >= 3), num AS (SELECT *, row_number() OVER (ORDER BY n DESC, stable) - 1 AS story FROM big)"""
+
+
+@query("sy01_candidate_stories", "", f"{CANDIDATES} SELECT id, story AS story_id, stable AS stable_story_id FROM comp JOIN num USING (c)")
 def _(t: Tables):
-    return ST.candidate_stories(story_rows(t).drop("story_id"), 0.4).select("id", "story_id", "stable_story_id")
+    return ST.candidate_stories(story_rows(t).drop("story_id"), 0.35).select("id", "story_id", "stable_story_id")
 
 
 @query("sf25_stable_ids", "", f"{STORY} SELECT story_id, substr(sha1(string_agg(pid, chr(10) ORDER BY pid)), 1, 16) AS stable_id FROM sr GROUP BY 1")
@@ -75,17 +94,21 @@ def trusted(t: Tables):
     return story_rows(t).where("author_handle IN ('src1', 'src2', 'src3')").drop("story_id")
 
 
-@query("sy04_corroboration", "", f"""{STORY}, un AS (SELECT *, list_transform(v, lambda y: y / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS u FROM sr), ce AS (SELECT story_id, list(x ORDER BY i) AS c FROM (SELECT story_id, i, avg(x) AS x FROM (SELECT story_id, unnest(u) AS x, unnest(range(len(u))) AS i FROM un) GROUP BY 1, 2) GROUP BY 1),
-st AS (SELECT DISTINCT story_id, unnest(regexp_extract_all(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[a-z]{{3,}}')) AS t FROM sr WHERE id % 10 = 0), se AS (SELECT DISTINCT story_id, lower(unnest(regexp_extract_all(text, '[A-Z][A-Za-z]{{2,}}'))) AS t FROM sr WHERE id % 10 = 0),
+#: Per story the likeness of the nearest trusted post that shares three terms and, if it names any, an entity.
+CORROB = f"""{STORY}, un AS (SELECT *, list_transform(v, lambda y: y / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS u FROM sr), ce AS (SELECT story_id, list(x ORDER BY i) AS c FROM (SELECT story_id, i, avg(x) AS x FROM (SELECT story_id, unnest(u) AS x, unnest(range(len(u))) AS i FROM un) GROUP BY 1, 2) GROUP BY 1),
+st AS (SELECT DISTINCT story_id, unnest(regexp_extract_all(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[a-z]{{3,}}')) AS t FROM sr), se AS (SELECT DISTINCT story_id, lower(unnest(regexp_extract_all(text, '[A-Z][A-Za-z]{{2,}}'))) AS t FROM sr),
 tt AS (SELECT DISTINCT pid, unnest(regexp_extract_all(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[a-z]{{3,}}')) AS t FROM sr WHERE source IN ('src1', 'src2', 'src3')), te AS (SELECT DISTINCT pid, lower(unnest(regexp_extract_all(text, '[A-Z][A-Za-z]{{2,}}'))) AS t FROM sr WHERE source IN ('src1', 'src2', 'src3')),
 ga AS (SELECT story_id, pid FROM st JOIN tt USING (t) GROUP BY 1, 2 HAVING count(*) >= 3), gb AS (SELECT story_id, pid FROM ga WHERE story_id NOT IN (SELECT story_id FROM se) OR EXISTS (SELECT 1 FROM se JOIN te USING (t) WHERE se.story_id = ga.story_id AND te.pid = ga.pid)),
-cu AS (SELECT story_id, list(x ORDER BY i) AS c FROM (SELECT story_id, i, avg(x) AS x FROM (SELECT story_id, unnest(u) AS x, unnest(range(len(u))) AS i FROM un WHERE id % 10 = 0) GROUP BY 1, 2) GROUP BY 1)
-SELECT s.story_id, round(coalesce(max(list_cosine_similarity(c, un.u)), 0), 6) AS corrob_sim FROM (SELECT DISTINCT story_id FROM sr WHERE id % 10 = 0) s LEFT JOIN gb USING (story_id) LEFT JOIN cu USING (story_id) LEFT JOIN un ON un.pid = gb.pid GROUP BY 1""")
+cu AS (SELECT story_id, list(x ORDER BY i) AS c FROM (SELECT story_id, i, avg(x) AS x FROM (SELECT story_id, unnest(u) AS x, unnest(range(len(u))) AS i FROM un) GROUP BY 1, 2) GROUP BY 1),
+co AS (SELECT s.story_id, coalesce(max(list_cosine_similarity(c, un.u)), 0) AS corrob_sim FROM (SELECT DISTINCT story_id FROM sr) s LEFT JOIN gb USING (story_id) LEFT JOIN cu USING (story_id) LEFT JOIN un ON un.pid = gb.pid GROUP BY 1)"""
+
+
+@query("sy04_corroboration", "", f"{CORROB} SELECT story_id, round(corrob_sim, 6) AS corrob_sim FROM co")
 def _(t: Tables):
-    return ST.corroboration(story_rows(t).where("id % 10 = 0"), trusted(t)).select("story_id", F.round("corrob_sim", 6).alias("corrob_sim"))
+    return ST.corroboration(story_rows(t), trusted(t)).select("story_id", F.round("corrob_sim", 6).alias("corrob_sim"))
 
 
-@query("sy09_representatives")
+@query("sy09_representatives", "", f"{CORROB}, near AS (SELECT un.story_id, un.pid, round(list_inner_product(c, u), 9) AS s FROM un JOIN ce USING (story_id)) SELECT story_id, arg_min(pid, (-s, pid)) AS representative_post_id FROM near GROUP BY 1")
 def _(t: Tables):
     return ST.representatives(story_rows(t)).select("story_id", "representative_post_id")
 
@@ -103,15 +126,30 @@ def _card(t: Tables):
     return rows, ST.story_scorecard(rows, susp, flagged, ST.corroboration(rows, trusted(t)))
 
 
-@query("sy05_story_scorecard")
+def pct(c: str, down: bool = False) -> str:
+    """SQL of an average rank as a share of the non-null values; null ranks count 0."""
+    c = f"round({c}::DOUBLE, 12)"
+    own = f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / nullif(count({c}) OVER (), 0)::DOUBLE"
+    return f"CASE WHEN {c} IS NULL THEN 0 ELSE {'1 - ' if down else ''}{own} END"
+
+
+CARD = f"""{FEATURES}, {CORROB}, pe AS (SELECT story_id, count(*) AS size, avg(suspicion) AS amplifier_botness, avg(coalesce((suspicion > 0.4::DOUBLE)::INT, 0)) AS coordination_overlap FROM (SELECT DISTINCT story_id, author_id FROM sr WHERE story_id IS NOT NULL) x LEFT JOIN sus ON sus.id = x.author_id GROUP BY 1),
+np AS (SELECT story_id, count(*) AS n_posts FROM sr GROUP BY 1), ca AS (SELECT story_id, size, n_posts, 1 - coalesce(corrob_sim, 0) AS corroboration_gap, amplifier_botness, coordination_overlap, n_posts::DOUBLE / greatest(size, 1) AS source_concentration FROM pe JOIN np USING (story_id) LEFT JOIN co USING (story_id)),
+rk AS (SELECT *, {pct("corroboration_gap")} AS i1, {pct("amplifier_botness")} AS i2, {pct("coordination_overlap")} AS i3, {pct("size")} AS i4, {pct("source_concentration")} AS i5 FROM ca), cd AS (SELECT *, 0.25::DOUBLE * i1 + 0.25::DOUBLE * i2 + 0.2::DOUBLE * i3 + 0.2::DOUBLE * i4 + 0.1::DOUBLE * i5 AS ix FROM rk)"""
+
+
+@query("sy05_story_scorecard", "posts_raw authors_raw", f"{CARD} SELECT story_id, size, n_posts, round(corroboration_gap, 6) AS corroboration_gap, round(amplifier_botness, 6) AS amplifier_botness, round(coordination_overlap, 6) AS coordination_overlap, round(source_concentration, 6) AS source_concentration, round(ix, 6) AS story_suspicion_index FROM cd")
 def _(t: Tables):
-    return _card(t)[1].drop("stable_story_id")
+    return _card(t)[1].select("story_id", "size", "n_posts", *[F.round(c, 6).alias(c) for c in ("corroboration_gap", "amplifier_botness", "coordination_overlap", "source_concentration", "story_suspicion_index")])
+
+
+TIER = "CASE WHEN size >= 3 THEN 'main' WHEN size >= 2 AND corroboration_gap >= 0.95::DOUBLE AND story_id IN (SELECT story_id FROM sr WHERE regexp_matches(text, '[A-Z][A-Za-z]{2,}')) THEN 'thin_evidence' END"
 
 
-@query("sy06_tiers")
+@query("sy06_tiers", "posts_raw authors_raw", f"{CARD}, ti AS (SELECT *, {TIER} AS tier FROM cd) SELECT story_id, size, tier, CASE WHEN tier = 'thin_evidence' THEN coalesce(amplifier_botness, 0) >= 0.5 OR coordination_overlap > 0 ELSE ix >= 0.5 END AS high_suspicion, round(ix, 6) AS story_suspicion_index FROM ti WHERE tier IS NOT NULL")
 def _(t: Tables):
     rows, card = _card(t)
-    return ST.assign_tiers(card, rows).select("story_id", "size", "tier", "high_suspicion", "story_suspicion_index")
+    return ST.assign_tiers(card, rows).select("story_id", "size", "tier", "high_suspicion", F.round("story_suspicion_index", 6).alias("story_suspicion_index"))
 
 
 @query("ag25_story_features", "posts_raw authors_raw", f"{FEATURES}, {STORY}, pp AS (SELECT DISTINCT story_id, author_id FROM sr) SELECT story_id, count(*) AS size, round(avg(suspicion), 6) AS amplifier_botness, round(avg(coalesce((suspicion > 0.4::DOUBLE)::INT, 0)), 6) AS coordination_overlap, round((SELECT count(*) FROM sr WHERE sr.story_id IS NOT DISTINCT FROM pp.story_id)::DOUBLE / count(*), 6) AS source_concentration FROM pp LEFT JOIN sus ON sus.id = pp.author_id WHERE story_id IS NOT NULL GROUP BY story_id")
@@ -126,15 +164,15 @@ def _(t: Tables):
     return ST.origin(story_rows(t), susp).select("story_id", "platform_post_id", "rank")
 
 
-@query("sy08_spread", "posts", "so AS (SELECT concat('p', i) AS ref, i % 7 AS story_id FROM range(300) r(i)), x AS (SELECT story_id, author_id, 'r' AS k FROM so JOIN posts p ON p.repost_of_id = so.ref UNION ALL SELECT story_id, author_id, 'a' FROM so JOIN posts p ON p.in_reply_to_id = so.ref) SELECT story_id, count(DISTINCT author_id) FILTER (WHERE k = 'r') AS n_retweeters, count(DISTINCT author_id) FILTER (WHERE k = 'a') AS n_repliers, count(DISTINCT author_id) AS n_accounts FROM x GROUP BY 1")
+@query("sy08_spread", "posts", "so AS (SELECT platform_post_id AS ref, CAST(substr(platform_post_id, 2) AS BIGINT) % 7 AS story_id FROM posts), x AS (SELECT story_id, author_id, 'r' AS k FROM so JOIN posts p ON p.repost_of_id = so.ref UNION ALL SELECT story_id, author_id, 'a' FROM so JOIN posts p ON p.in_reply_to_id = so.ref) SELECT story_id, count(DISTINCT author_id) FILTER (WHERE k = 'r') AS n_retweeters, count(DISTINCT author_id) FILTER (WHERE k = 'a') AS n_repliers, count(DISTINCT author_id) AS n_accounts FROM x GROUP BY 1")
 def _(t: Tables):
-    s = t.posts.sparkSession.range(300).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("platform_post_id"), (F.col("id") % 7).alias("story_id"))
+    s = t.posts.select("platform_post_id", (F.substring("platform_post_id", 2, 20).cast("long") % 7).alias("story_id"))
     return ST.spread(s, t.posts)
 
 
-@query("ag24_story_topics", "sentiment", "so AS (SELECT concat('p', i) AS platform_post_id, i % 7 AS story_id FROM range(1000) r(i)), e AS (SELECT story_id, topic FROM so JOIN sentiment USING (platform_post_id)), c AS (SELECT story_id, topic, count(*) AS n, sum(count(*)) OVER (PARTITION BY story_id) AS al FROM e GROUP BY 1, 2) SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, topic)::INT AS rank, topic, round(n::DOUBLE / al, 6) AS share FROM c WHERE topic >= 0 QUALIFY rank <= 3")
+@query("ag24_story_topics", "sentiment posts", "so AS (SELECT platform_post_id, CAST(substr(platform_post_id, 2) AS BIGINT) % 7 AS story_id FROM posts), e AS (SELECT story_id, topic FROM so JOIN sentiment USING (platform_post_id)), c AS (SELECT story_id, topic, count(*) AS n, sum(count(*)) OVER (PARTITION BY story_id) AS al FROM e GROUP BY 1, 2) SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, topic)::INT AS rank, topic, round(n::DOUBLE / al, 6) AS share FROM c WHERE topic >= 0 QUALIFY rank <= 3")
 def _(t: Tables):
-    s = t.posts.sparkSession.range(1000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("platform_post_id"), (F.col("id") % 7).alias("story_id"))
+    s = t.posts.select("platform_post_id", (F.substring("platform_post_id", 2, 20).cast("long") % 7).alias("story_id"))
     return ST.story_topics(s, t.sentiment).select("story_id", "rank", "topic", F.round("share", 6).alias("share"))
 
 
@@ -142,8 +180,20 @@ def clusters_of(t: Tables):
     return t.posts.select("author_id").distinct().withColumn("cluster_id", F.substring("author_id", 2, 9).cast("long") % 9)
 
 
-@query("co14_scorecards")
+CLUSTER_CARD = f"""{FEATURES}, m AS (SELECT DISTINCT author_id, CAST(substr(author_id, 2) AS BIGINT) % 9 AS c FROM posts), w AS (SELECT m.c, sus.*, la.profile_image_url AS img, la.followers_count AS fo, (SELECT quantile_cont(suspicion, 0.9) FROM sus) AS p90 FROM m JOIN sus ON sus.id = m.author_id JOIN la ON la.platform_user_id = m.author_id),
+k AS (SELECT c, count(*) AS size, avg(suspicion) AS sm, avg((suspicion > p90)::INT) AS sp, avg(noimg) AS si, avg(nobio) AS sb, avg(dig) AS hd, 1 - count(DISTINCT img)::DOUBLE / greatest(count(*), 1) AS sh, sum(fo)::BIGINT AS fs FROM w GROUP BY 1),
+{EMB}, u AS (SELECT m.c, p.platform_post_id, like_count + repost_count AS eng, v FROM m JOIN posts p USING (author_id) LEFT JOIN em ON concat('p', em.id) = p.platform_post_id), r AS (SELECT c, count(*) AS np, sum(eng)::BIGINT AS es FROM u GROUP BY 1),
+z AS (SELECT a.c, avg(list_cosine_similarity(a.v, b.v)) AS nd FROM u a JOIN u b ON a.c = b.c AND a.platform_post_id < b.platform_post_id GROUP BY 1), j AS (SELECT k.*, np, es, nd, (si + sb + hd + sh) / 4 AS cc, 0 AS ch FROM k LEFT JOIN r USING (c) LEFT JOIN z USING (c)),
+x AS (SELECT *, 0.3::DOUBLE * {pct("sm")} + 0.2::DOUBLE * {pct("nd")} + 0.15::DOUBLE * {pct("cc")} + 0.15::DOUBLE * {pct("ch")} AS ix FROM j)"""
+
+
+@query("co14_scorecards", "posts posts_raw authors_raw", f"{CLUSTER_CARD} SELECT c AS cluster_id, size, round(sm, 6) AS suspicion_mean, round(sp, 6) AS share_suspicion_p90, round(sh, 6) AS shared_profile_image, fs AS followers_sum, np AS n_posts, es AS engagement_sum, round(nd, 6) AS near_dup_rate, round(cc, 6) AS concealment, round(ix, 6) AS inauthenticity_index FROM x")
 def _(t: Tables):
+    out = _cluster_card(t)
+    return out.select("cluster_id", "size", *[F.round(c, 6).alias(c) for c in ("suspicion_mean", "share_suspicion_p90", "shared_profile_image")], "followers_sum", "n_posts", "engagement_sum", *[F.round(c, 6).alias(c) for c in ("near_dup_rate", "concealment", "inauthenticity_index")])
+
+
+def _cluster_card(t: Tables):
     f = accounts.suspicion(accounts.author_features(t.authors_raw, t.posts_raw, AS_OF)).withColumnRenamed("platform_user_id", "author_id")
     e = t.embeddings.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("platform_post_id"), F.col("embedding").alias("vec"))
     posts = t.posts.join(e, "platform_post_id", "left").select("author_id", "platform_post_id", "vec", (F.col("like_count") + F.col("repost_count")).alias("engagement"))
@@ -161,9 +211,9 @@ def _(t: Tables):
     return X2.divergence_from_all(X2.circadian(t.posts, "Africa/Nairobi")).select("author_id", F.round("jsd", 6).alias("jsd"))
 
 
-@query("fx01_shift_cohorts")
+@query("fx01_shift_cohorts", "posts", "RECURSIVE n AS (SELECT author_id, hour(created_at + INTERVAL 3 HOURS)::INT AS h, count(*) AS n FROM posts GROUP BY 1, 2), w AS (SELECT author_id, sum(n) AS tot FROM n GROUP BY 1 HAVING sum(n) >= 20), p AS (SELECT w.author_id, r.h, (coalesce(n.n, 0) + 0.5) / (tot + 12)::DOUBLE AS p FROM w CROSS JOIN range(24) r(h) LEFT JOIN n ON n.author_id = w.author_id AND n.h = r.h), q AS (SELECT h, avg(p) AS q FROM p GROUP BY 1), d AS (SELECT author_id, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2 AS jsd FROM p JOIN q USING (h) GROUP BY 1), few AS (SELECT author_id FROM d WHERE jsd >= (SELECT quantile_cont(jsd, 0.8) FROM d)), f AS (SELECT * FROM p WHERE author_id IN (SELECT author_id FROM few)), l AS (SELECT a.author_id AS src, b.author_id AS dst FROM f a JOIN f b ON a.h = b.h AND a.author_id <> b.author_id GROUP BY 1, 2 HAVING sum(a.p * log2(a.p / ((a.p + b.p) / 2)) + b.p * log2(b.p / ((a.p + b.p) / 2))) / 2 <= 0.075), re AS (SELECT src AS x, src AS far FROM l UNION SELECT re.x, l.dst FROM re JOIN l ON re.far = l.src) SELECT x AS author_id, min(far) AS component FROM re GROUP BY 1")
 def _(t: Tables):
-    return X2.shift_cohorts(X2.circadian(t.posts, "Africa/Nairobi"), 0.8, 0.05)
+    return X2.shift_cohorts(X2.circadian(t.posts, "Africa/Nairobi"), 0.8, 0.075)
 
 
 @query("fx03_awakened", "posts authors_raw", "r AS (SELECT author_id, count(*) / 14.0::DOUBLE AS rr FROM posts WHERE created_at > TIMESTAMP '2024-02-01' - INTERVAL 14 DAYS GROUP BY 1), a AS (SELECT platform_user_id AS author_id, date_diff('day', created_at, TIMESTAMP '2024-02-01') AS age, tweet_count FROM authors_raw) SELECT author_id, age::INT AS age, round(rr / greatest(tweet_count::DOUBLE / greatest(age, 1), 0.01), 4) AS ratio FROM a JOIN r USING (author_id) WHERE age > 200 AND rr / greatest(tweet_count::DOUBLE / greatest(age, 1), 0.01) > 2")
@@ -201,9 +251,9 @@ def _(t: Tables):
     return X2.seeders_and_echoers(t.posts, same_text(t))
 
 
-@query("fx09_templates", "posts", "s AS (SELECT author_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', '<url>', 'g'), '@\\w+', '<user>', 'g'), '#\\w+', '<tag>', 'g'), '\\d+', '<num>', 'g'), '\\s+', ' ', 'g')) AS k FROM posts) SELECT md5(k) AS skeleton, count(DISTINCT text) AS n_texts, count(DISTINCT author_id) AS n_authors, count(*) AS n_posts FROM s WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT author_id) >= 3")
+@query("fx09_templates", "posts", "s AS (SELECT author_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', '<url>', 'g'), '@\\w+', '<user>', 'g'), '#\\w+', '<tag>', 'g'), '\\d+', '<num>', 'g'), '\\s+', ' ', 'g')) AS k FROM posts) SELECT md5(k) AS skeleton, count(DISTINCT text) AS n_texts, count(DISTINCT author_id) AS n_authors, count(*) AS n_posts FROM s WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT author_id) >= 3 AND count(DISTINCT text) >= 3")
 def _(t: Tables):
-    return X2.templates(t.posts, texts=1).withColumn("skeleton", F.md5("skeleton"))
+    return X2.templates(t.posts).withColumn("skeleton", F.md5("skeleton"))
 
 
 REPLIES = "rp AS (SELECT r.author_id AS replier, p.author_id AS target, p.platform_post_id AS parent, (epoch_us(r.created_at) - epoch_us(p.created_at)) / 1e6::DOUBLE AS lag_s FROM posts r JOIN posts p ON r.in_reply_to_id = p.platform_post_id WHERE r.author_id <> p.author_id)"
@@ -224,14 +274,14 @@ def _(t: Tables):
     return X2.dogpiles(t.posts, minutes=40000).withColumn("p90_lag_min", F.round("p90_lag_min", 4))
 
 
-@query("fx13_step_jumps", "acts", "s AS (SELECT u, e, ts, value - lag(value) OVER (PARTITION BY u ORDER BY ts, e) AS st FROM acts) SELECT u, count(*) AS n, round(sum(st), 4) AS growth, round(max(st) / sum(st), 4) AS share FROM s WHERE st IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND sum(st) > 0.001")
+@query("fx13_step_jumps", "acts", "s AS (SELECT u, e, ts, value - lag(value) OVER (PARTITION BY u ORDER BY ts, e) AS st FROM acts) SELECT u, count(*) AS n, round(sum(st), 4) AS growth, round(max(st) / sum(st), 4) AS share FROM s WHERE st IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND sum(st) > 0")
 def _(t: Tables):
-    return X2.step_jumps(t.acts, "u", "ts", "value", "e").where("growth > 0.001").select("u", "n", F.round("growth", 4).alias("growth"), F.round("share", 4).alias("share"))
+    return X2.step_jumps(t.acts, "u", "ts", "value", "e").select("u", "n", F.round("growth", 4).alias("growth"), F.round("share", 4).alias("share"))
 
 
-@query("fx14_ratio_outliers", "posts authors_raw", "a AS (SELECT platform_user_id AS author_id, greatest(followers_count, 1) AS f FROM authors_raw), x AS (SELECT platform_post_id, CASE WHEN f > 1 THEN ceil(log10(f) * 2) / 2 END AS b, log10(like_count) AS d FROM posts JOIN a USING (author_id) WHERE like_count > 0), m AS (SELECT b, median(d) AS u FROM x WHERE b IS NOT NULL GROUP BY 1) SELECT platform_post_id, round(d - u, 6) AS residual FROM x JOIN m USING (b)")
+@query("fx14_ratio_outliers", "posts authors_raw", "a AS (SELECT platform_user_id AS author_id, greatest(followers_count, 1) AS f FROM authors_raw), x AS (SELECT platform_post_id, CASE WHEN f > 1 THEN ceil(log10(f) * 2) / 2 END AS b, log10(like_count) AS d FROM posts JOIN a USING (author_id) WHERE like_count > 0), m AS (SELECT b, median(d) AS u FROM x WHERE b IS NOT NULL GROUP BY 1) SELECT platform_post_id, round(d - u, 6) AS residual FROM x LEFT JOIN m USING (b)")
 def _(t: Tables):
-    return X2.follower_residual(t.posts, t.authors_raw).where("bucket is not null").select("platform_post_id", F.round("residual", 6).alias("residual"))
+    return X2.follower_residual(t.posts, t.authors_raw).select("platform_post_id", F.round("residual", 6).alias("residual"))
 
 
 @query("fx15_laundering", "authors_raw", f"{STORY}, a AS (SELECT platform_user_id AS author_id, followers_count AS f FROM authors_raw) SELECT story_id, arg_min(sr.author_id, (s, pid)) AS first_author, round((min(s) FILTER (WHERE f >= 5000) - min(s)) / 3600.0, 4) AS lag_h FROM sr LEFT JOIN a ON a.author_id = sr.author_id GROUP BY 1")
@@ -263,8 +313,8 @@ def _(t: Tables):
 
 @query("fx04_random_subsets")
 def _(t: Tables):
-    f = accounts.author_features(t.authors_raw, t.posts_raw, AS_OF).select(F.col("platform_user_id").alias("author_id"), "account_age_days").where("author_id < 'u13'")
-    return X2.random_subsets(clusters_of(t).join(f, "author_id", "left_semi"), f, "account_age_days", 20)
+    f = accounts.author_features(t.authors_raw, t.posts_raw, AS_OF).select(F.col("platform_user_id").alias("author_id"), "account_age_days")
+    return X2.random_subsets(clusters_of(t), f, "account_age_days", 20)
 
 
 @query("fx18_convergence", "posts scores", "l AS (SELECT author_id, 'tox' AS k FROM posts JOIN scores USING (platform_post_id) WHERE coded_suspect UNION SELECT author_id, 'burst' FROM posts GROUP BY author_id HAVING count(*) > 70 UNION SELECT author_id, 'reach' FROM posts WHERE like_count >= 898) SELECT author_id, count(*) AS n_lenses, string_agg(k, ',' ORDER BY k) AS lenses FROM l GROUP BY 1 HAVING count(*) >= 2")

@@ -2,7 +2,8 @@
 
 Operators never see this SQL: they take DataFrames. Only the queries that the driver compares are
 bound to these tables, which give posts, authors, scores, engagements and so on from events,
-documents, customers and embeddings by plain arithmetic on their ids.
+documents, customers and embeddings by plain arithmetic on their ids. Every document is the whole text
+of one post, the one with its id; the other posts have a sentence made of their numbers.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ BASE: dict[str, tuple[tuple[str, ...], str]] = {
     "acts": (
         ("events", "documents"),
         """SELECT e.event_id AS e, e.user_id AS u, CAST(e.ts AS TIMESTAMP) AS ts, e.value AS value, e.event_type AS kind,
-            CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) AS k, d.text AS body, d.lang AS lang
-        FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 997""",
+            CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) AS k, d.doc_id AS doc, d.text AS body, CASE WHEN d.doc_id IS NOT NULL THEN d.lang WHEN e.event_id % 4 = 0 THEN 'sw' ELSE 'en' END AS lang
+        FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id""",
     ),
     "posts": (
         ("acts",),
         """SELECT 'x' AS platform, concat('p', CAST(e AS STRING)) AS platform_post_id,
             CASE kind WHEN 'view' THEN 'search' WHEN 'click' THEN 'timeline' WHEN 'purchase' THEN 'replies' WHEN 'error' THEN 'hate_search' ELSE 'hate_timeline' END AS type,
             concat('u', CAST(u AS STRING)) AS author_id, concat('User', CAST(u AS STRING)) AS author_handle,
-            concat(substr(coalesce(body, ''), 1, 240), CASE e % 40 WHEN 0 THEN ' madoa doa in Nairobi' WHEN 1 THEN ' they say warudi kwao' WHEN 2 THEN ' fumigate Kenya' WHEN 3 THEN ' Trump and Congress'
+            concat(CASE WHEN doc IS NOT NULL THEN coalesce(body, '') WHEN e % 3 = 0 THEN concat('Report ', CAST(k AS STRING), ' says that prices in Town', CAST(k % 9 AS STRING), ' rise again this week, they told us and the rest of them')
+                WHEN e % 3 = 1 THEN concat('Minister Alpha', CAST(u % 5 AS STRING), ' meets Leader Beta', CAST(k % 7 AS STRING), ' about the long awaited water project today') ELSE concat('Nobody knew what happened to them at market ', CAST(k % 11 AS STRING), ' yesterday, said the traders of slogan', chr(CAST(97 + floor(u / 9) % 26 AS INT))) END, CASE e % 40 WHEN 0 THEN ' madoa doa in Nairobi' WHEN 1 THEN ' they say warudi kwao' WHEN 2 THEN ' fumigate Nairobi' WHEN 3 THEN ' Trump and Congress'
                 WHEN 4 THEN ' 41 vs 1 and the Luo' WHEN 5 THEN ' mende http://a.b/c @who #Tag' ELSE '' END) AS text,
             lang, ts AS created_at, ts + INTERVAL '1' HOUR * (e % 7) AS collected_at,
             (e % 5 = 1) AS is_repost, CASE WHEN e % 5 = 1 THEN concat('p', CAST(k AS STRING)) END AS repost_of_id,
@@ -45,7 +47,11 @@ BASE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT p.platform, p.platform_post_id, CASE WHEN p.like_count % 2 = 0 THEN 'hate_search' ELSE 'search' END AS type, p.author_id, p.author_handle, p.text, p.lang, p.created_at,
             p.collected_at + INTERVAL '1' DAY AS collected_at, p.is_repost, p.repost_of_id, p.in_reply_to_id, p.is_quote, p.quoted_post_id, p.conversation_id,
             p.repost_count + 10 AS repost_count, p.like_count + 20 AS like_count, p.reply_count, p.quote_count, p.hashtags, p.urls, p.mentions
-        FROM posts p WHERE p.repost_count % 3 = 0""",
+        FROM posts p WHERE p.repost_count % 3 = 0 UNION ALL
+        SELECT p.platform, p.platform_post_id, 'search' AS type, p.author_id, p.author_handle, p.text, p.lang, p.created_at,
+            p.collected_at + INTERVAL '2' DAY AS collected_at, p.is_repost, p.repost_of_id, p.in_reply_to_id, p.is_quote, p.quoted_post_id, p.conversation_id,
+            p.repost_count + 15 AS repost_count, p.like_count + 35 AS like_count, p.reply_count, p.quote_count, p.hashtags, p.urls, p.mentions
+        FROM posts p WHERE p.repost_count % 9 = 0""",
     ),
     "authors_raw": (
         ("customer", "nation"),
@@ -63,7 +69,7 @@ BASE: dict[str, tuple[tuple[str, ...], str]] = {
     "scores": (
         ("acts",),
         """SELECT concat('p', CAST(e AS STRING)) AS platform_post_id, CASE e * 7 % 9 WHEN 0 THEN 'hate' WHEN 1 THEN 'offensive' ELSE 'neither' END AS label,
-            (e * 13 % 100) / 100.0E0 AS p_hate, (e * 13 % 100 >= 88) AS hate_flag, (e % 8 <> 0) AS in_kenya_scope, (e % 45 = 0) AS coded_suspect, ts + INTERVAL '1' HOUR AS scored_at,
+            (e * 13 % 100) / 100.0E0 AS p_hate, (e * 13 % 100 >= 88) AS hate_flag, (e % 8 <> 0) AS in_scope, (e % 45 = 0) AS coded_suspect, ts + INTERVAL '1' HOUR AS scored_at,
             CASE WHEN e % 4 = 0 THEN NULL ELSE (e * 3 % 100) / 100.0E0 END AS dehumanisation_score, (e * 5 % 100) / 100.0E0 AS violence_call_score,
             (e * 11 % 100) / 100.0E0 AS othering_score, CASE WHEN e % 6 = 0 THEN NULL ELSE (e * 17 % 100) / 100.0E0 END AS political_criticism_score
         FROM acts""",
@@ -102,10 +108,14 @@ def duckdb_sql(names: str, body: str) -> str:
     """body, a SELECT or `cte AS (...), ... SELECT`, over the logical tables in names (space-separated)."""
     ctes = [f"{n} AS ({BASE[n][1].format(arr='list_value', strings='VARCHAR[]')})" for n in _needed(tuple(names.split()))]
     body = body.strip()
-    head = "WITH " + ",\n".join(ctes) if ctes else ""
+    head = "WITH "
+    if "RECURSIVE " in body:  # one word for the whole WITH clause
+        head, body = "WITH RECURSIVE ", body.replace("RECURSIVE ", "", 1)
+    if ctes:
+        head += ",\n".join(ctes)
     if body.upper().startswith("SELECT"):
-        return f"{head}\n{body}"
-    return f"{head},\n{body}" if ctes else f"WITH {body}"
+        return f"{head}\n{body}" if ctes else body
+    return f"{head},\n{body}" if ctes else f"{head}{body}"
 
 
 class Tables:

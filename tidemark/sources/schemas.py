@@ -15,7 +15,7 @@ AUTHORS = (
 )
 ENGAGEMENTS = "platform_post_id string, platform_user_id string, kind string, collected_at timestamp"
 FOLLOWS = "follower_id string, followed_id string, collected_at timestamp"
-SCORES = "platform_post_id string, label string, p_hate double, hate_flag boolean, in_kenya_scope boolean, coded_suspect boolean, explicit_toxic boolean, domain string, scored_at timestamp"
+SCORES = "platform_post_id string, label string, p_hate double, hate_flag boolean, in_scope boolean, coded_suspect boolean, explicit_toxic boolean, domain string, scored_at timestamp"
 EDGES = "src string, dst string, weight double, p_value double, min_gap double, sig_bonferroni boolean, sig_fdr boolean, sig_percentile boolean, computed_at timestamp"
 CLUSTERS = "cluster_id string, author_id string, cluster_name string, size bigint, computed_at timestamp"
 RUNS = "pass string, n_items bigint, n_rows bigint, started_at timestamp, ended_at timestamp, error string"
