@@ -99,3 +99,20 @@ def scan(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
 def stable_id(members: Column) -> Column:
     """16 hexadecimal digits of the SHA-1 of sorted member ids, one to a line."""
     return F.substring(F.sha1(F.array_join(F.array_sort(members), "\n")), 1, 16)
+
+
+def unwrap(raw: Column) -> Column:
+    """The text of a value that was written as a list of strings; another value without its brackets and quotes."""
+    bare = F.regexp_replace(F.trim(raw), r"^\[|\]$", "")
+    joined = F.regexp_replace(bare, r"""(['"])\s*,\s*(['"])""", " ")
+    return F.regexp_replace(F.trim(joined), r"""^['"]|['"]$""", "")
+
+
+def clean(raw: Column) -> Column:
+    """Unwrapped text with handles as @user and white space squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unwrap(raw), HANDLE, "@user"), r"\s+", " "))
+
+
+def norm_key(text: Column) -> Column:
+    """What counts as the same text in two corpora."""
+    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -196,19 +198,16 @@ def incitement_sweep(posts: DataFrame, menace: float = 0.85) -> DataFrame:
     return posts.withColumn("rule", rule).where("rule is not null")
 
 
-def random_subsets(members: DataFrame, pool: DataFrame, value: str, draws: int, seed: int = 0) -> DataFrame:
-    """Per cluster the mean of value, and its rank among means of as many accounts drawn at random.
+def drawn_groups(sizes: DataFrame, pool: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """(cluster_id, draw, author_id): per cluster of sizes (cluster_id, size) and draw, size distinct accounts of pool.
 
-    p_value = (1 + draws with a mean as large) / (1 + draws). A draw takes places b, b + a, b + 2a ... modulo
-    a prime no smaller than the pool, in an order of the pool by hash: distinct accounts, and as many rows
-    as are drawn.
+    A draw takes places b, b + a, b + 2a ... modulo a prime no smaller than the pool, in an order of the
+    pool by hash: distinct accounts, and as many rows as are drawn.
     """
-    own = members.join(pool, "author_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("mean"))
-    own = checkpointed(own)
-    placed = numbered(pool.select("author_id", F.col(value).alias("v")), F.xxhash64(F.lit(seed), "author_id"), F.col("author_id"), out="place")
+    placed = numbered(pool.select("author_id"), F.xxhash64(F.lit(seed), "author_id"), F.col("author_id"), out="place")
     n = placed.count()
     prime = next(p for p in range(max(n, 2), 2 * max(n, 2) + 2) if all(p % d for d in range(2, int(p**0.5) + 1)))
-    drawn = own.select("cluster_id", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = sizes.select("cluster_id", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     step = F.pmod(F.xxhash64(F.lit(seed + 1), "cluster_id", "draw"), F.lit(prime - 1)) + 1
     start = F.pmod(F.xxhash64(F.lit(seed + 2), "cluster_id", "draw"), F.lit(prime))
     # At most prime - n places are beyond the pool, so size places within it are among so many.
@@ -216,6 +215,34 @@ def random_subsets(members: DataFrame, pool: DataFrame, value: str, draws: int,
     picks = picks.withColumn("place", F.pmod(F.col("b") + F.col("i") * F.col("a"), F.lit(prime))).where(F.col("place") < n)
     w = Window.partitionBy("cluster_id", "draw").orderBy("i")
     picks = picks.withColumn("_r", F.row_number().over(w)).where("_r <= size")
-    means = picks.join(placed, "place").groupBy("cluster_id", "draw").agg(F.avg("v").alias("m"))
+    return picks.join(placed, "place").select("cluster_id", "draw", "author_id")
+
+
+def random_subsets(members: DataFrame, pool: DataFrame, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """Per cluster the mean of value, and its rank among means of as many accounts drawn at random.
+
+    p_value = (1 + draws with a mean as large) / (1 + draws).
+    """
+    own = checkpointed(members.join(pool, "author_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("mean")))
+    picks = drawn_groups(own.select("cluster_id", "size"), pool, draws, seed)
+    means = picks.join(pool.select("author_id", F.col(value).alias("v")), "author_id").groupBy("cluster_id", "draw").agg(F.avg("v").alias("m"))
     hits = means.join(own, "cluster_id").groupBy("cluster_id").agg(S.count_if(F.col("m") >= F.col("mean")).alias("k"))
     return own.join(hits, "cluster_id").select("cluster_id", "size", "mean", ((1 + F.col("k")) / (1 + F.lit(draws))).alias("p_value"))
+
+
+def language_gap(stories: DataFrame, one: str = "en", two: str = "sw", least: int = 3) -> DataFrame:
+    """Per story told in both languages: posts in each, share of negative ones in each, and the gap between these."""
+    def of(lang: str):
+        own = F.col("lang") == lang
+        bad = F.when(own & F.col("sentiment").isNotNull(), (F.col("sentiment") == "negative").cast("double"))
+        return [S.count_if(own).alias(f"n_{lang}"), F.avg(bad).alias(f"neg_share_{lang}")]
+
+    out = stories.groupBy("story_id").agg(*of(one), *of(two)).where((F.col(f"n_{one}") >= least) & (F.col(f"n_{two}") >= least))
+    return out.withColumn("neg_gap", F.abs(F.coalesce(f"neg_share_{one}", F.lit(0.0)) - F.coalesce(f"neg_share_{two}", F.lit(0.0))))
+
+
+def marker_calibration(posts: DataFrame, lang: str, markers: Sequence[str]) -> DataFrame:
+    """One row: posts tagged lang, those of them with a word of another language, and the share."""
+    hit = F.coalesce(F.lower("text").rlike(r"\b(" + "|".join(markers) + r")\b"), F.lit(False))
+    out = posts.where(F.col("lang") == lang).agg(F.count(F.lit(1)).alias("n"), S.count_if(hit).alias("marked"))
+    return out.withColumn("share", F.col("marked") / F.greatest("n", F.lit(1)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import order as O
 from tidemark.functions import stats as S
 
 
@@ -111,3 +112,117 @@ def annotator_agreement(votes: DataFrame, columns: Sequence[str]) -> DataFrame:
     total = reduce(lambda x, y: x + y, [F.col(c) for c in columns])
     share = F.try_divide(F.greatest(*columns), total)
     return votes.withColumn("agreement", share).withColumn("unanimous", share == 1)
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined to right on a key that is unique in both, or an error that names a key which is not."""
+    for side, d in (("left", left), ("right", right)):
+        twice = d.groupBy(key).count().where("count > 1").orderBy(key).limit(1).collect()
+        if twice:
+            raise ValueError(f"{key} {twice[0][0]!r} is not unique in the {side} table")
+    return left.join(right, key)
+
+
+def in_pools(rows: DataFrame, pools: Sequence[tuple[str, Column]]) -> DataFrame:
+    """rows with pool: the first of the named conditions that holds; rows of none are left out."""
+    pool = reduce(lambda acc, p: acc.when(p[1], p[0]), pools[1:], F.when(pools[0][1], pools[0][0]))
+    return rows.withColumn("pool", pool).where("pool is not null")
+
+
+def two_labeller_pools(rows: DataFrame, a: str, b: str, target: str = "hate") -> DataFrame:
+    """rows in pools by how two labellers agree on the target class; coded strata stand apart."""
+    x, y = F.col(a), F.col(b)
+    coded = F.col("stratum").isin("lexicon", "nli_tail")
+    return in_pools(rows, [(f"only_{b}", (x != target) & (y == target)), (f"only_{a}", (x == target) & (y != target)), (f"agree_{target}", (x == y) & (x == target)), ("agree_coded", (x == y) & coded), ("agree", x == y)])
+
+
+def pool_agreement(rows: DataFrame) -> DataFrame:
+    """Per pool the rows with a consensus label, and the share on which the human agrees with it."""
+    known = rows.where("label is not null and label <> ''")
+    return known.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), S.share(F.col("human_label") == F.col("label")).alias("agreement"))
+
+
+def axis_errors(rows: DataFrame, target: str = "hate") -> DataFrame:
+    """Rows with a consensus label on which human and consensus part over the target class: error is missed or over."""
+    human, own = F.col("human_label") == target, F.col("label") == target
+    known = rows.where("label is not null and label <> ''")
+    return known.withColumn("error", F.when(human & ~own, "missed").when(own & ~human, "over")).where("error is not null")
+
+
+def labeller_axis(rows: DataFrame, columns: Sequence[str], target: str = "hate") -> DataFrame:
+    """Per labeller column its exact agreement with the human, and precision and recall of the target class."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("labeller"), F.col(c).alias("guess")) for c in columns])).alias("g")
+    x = rows.select("human_label", each).select("human_label", "g.labeller", "g.guess")
+    truth, guess = F.col("human_label") == target, F.col("guess") == target
+    out = x.groupBy("labeller").agg(S.share(F.col("guess") == F.col("human_label")).alias("exact"), S.count_if(truth & guess).alias("hit"), S.count_if(truth & ~guess).alias("missed"), S.count_if(~truth & guess).alias("over"))
+    ratio = lambda c: F.coalesce(F.try_divide(F.col("hit"), F.col("hit") + F.col(c)), F.lit(0.0))
+    return out.withColumn("precision", ratio("over")).withColumn("recall", ratio("missed"))
+
+
+def flag_metrics(rows: DataFrame, truth: str, guess: str, flags: Sequence[str]) -> DataFrame:
+    """Per flag of two array columns: precision, recall, F1 and support."""
+    each = F.explode(F.array(*[F.lit(f) for f in flags])).alias("flag")
+    x = rows.select(truth, guess, each).select("flag", F.array_contains(truth, F.col("flag")).alias("t"), F.array_contains(guess, F.col("flag")).alias("g"))
+    out = x.groupBy("flag").agg(S.count_if(F.col("t") & F.col("g")).alias("hit"), S.count_if(F.col("t")).alias("support"), S.count_if(F.col("g")).alias("guessed"))
+    p, r = (F.coalesce(F.try_divide("hit", c), F.lit(0.0)) for c in ("guessed", "support"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hit"), F.col("guessed") + F.col("support")), F.lit(0.0))
+    return out.select("flag", p.alias("precision"), r.alias("recall"), f1.alias("f1"), "support")
+
+
+def calibration(reference: DataFrame, labels: DataFrame, flags: Sequence[str], key: str = "post_id") -> dict[str, DataFrame]:
+    """A labeller (label, flags) against a human reference (human_label, human_flags), one row a key on both sides.
+
+    classes and flags are metrics, mismatches the rows that differ in the label or in any flag.
+    """
+    joined = one_to_one(reference, labels, key)
+    pairs = joined.select(F.col("human_label").alias("a"), F.col("label").alias("b"))
+    odd = (F.size(F.array_except("human_flags", "flags")) > 0) | (F.size(F.array_except("flags", "human_flags")) > 0)
+    return {"classes": class_metrics(pairs), "flags": flag_metrics(joined, "human_flags", "flags", flags), "mismatches": joined.where((F.col("label") != F.col("human_label")) | odd)}
+
+
+def rebuilt_splits(rows: DataFrame, key: str, val_size: int, seed: int = 0, allowed: Sequence[str] = ("train", "challenge", "gold")) -> DataFrame:
+    """rows with new labels in the parts they were in; of the train part val_size rows become val, in proportion to labels.
+
+    A row without a part, or in one nobody knows, is an error; so is a train part too small to give val_size.
+    """
+    from tidemark.operators import selection
+
+    odd = rows.where(F.col("split").isNull() | ~F.col("split").isin(*allowed)).select(key).limit(1).collect()
+    if odd:
+        raise ValueError(f"{key} {odd[0][0]!r} has no known part")
+    train = rows.where("split = 'train'")
+    n = train.count()
+    if n <= val_size:
+        raise ValueError(f"{n} train rows cannot give {val_size}")
+    quota = selection.quotas(train.groupBy("label").count(), "label", "count", val_size)
+    placed = selection.placed(train, "label", key, seed).join(F.broadcast(quota.withColumnRenamed("label", "_l")), F.col("label") == F.col("_l"))
+    moved = placed.where("_r < quota").select(key).withColumn("_val", F.lit(True))
+    out = rows.join(moved, key, "left")
+    return out.withColumn("split", F.when(F.col("_val"), "val").otherwise(F.col("split"))).drop("_val")
+
+
+def mine_candidates(pool: DataFrame, quotas: dict[str, int], cap: int, seed: int = 0, menace: float = 0.85) -> DataFrame:
+    """Posts to label, in strata of falling interest, without near-duplicates and with at most cap of an author.
+
+    Strata in turn: all with a lexicon hit (lexicon), menace over criticism (nli_tail), the highest p_hate
+    (p_hate_top), the highest p_offensive (p_offensive_top), others (random_control); a stratum takes its
+    quota of what those before it left. Of near-duplicates the one of the first stratum stays, then of the
+    highest p_hate. pool has platform_post_id, author_handle, text, p_hate, p_offensive, lexicon_hits,
+    menace and criticism.
+    """
+    from tidemark.operators import neardup, selection
+
+    key, shuffled = "platform_post_id", F.xxhash64(F.lit(seed), "platform_post_id")
+    tail = F.coalesce((F.col("menace") >= menace) & (F.col("menace") > F.col("criticism")), F.lit(False))
+    strata = [("lexicon", F.size("lexicon_hits") > 0, [F.desc("p_hate")], None), ("nli_tail", tail, [shuffled], "nli_tail"), ("p_hate_top", F.lit(True), [F.desc("p_hate")], "p_hate_top"), ("p_offensive_top", F.lit(True), [F.desc("p_offensive")], "p_offensive_top"), ("random_control", F.lit(True), [shuffled], "random_control")]
+    left, taken = pool, None
+    for rank, (name, condition, order, quota) in enumerate(strata):
+        own = left.where(condition)
+        own = own if quota is None else own.orderBy(*order, key).limit(quotas.get(quota, 0))
+        own = own.withColumn("stratum", F.lit(name)).withColumn("_rank", F.lit(rank))
+        own = O.checkpointed(own)
+        left = left.join(own.select(key), key, "left_anti")
+        taken = own if taken is None else taken.unionByName(own)
+    groups = neardup.clusters(taken, key, "text").withColumnRenamed("cluster", "_cluster")
+    best = selection.capped(taken.join(groups, key), "_cluster", 1, "_rank", F.desc("p_hate"), key)
+    return selection.capped(best, "author_handle", cap, "_rank", F.desc("p_hate"), key).drop("_rank", "_cluster")

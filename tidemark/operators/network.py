@@ -292,12 +292,19 @@ def recovery(edges: DataFrame, flag: str) -> DataFrame:
     return out.select(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def shuffled(t: DataFrame, seed: int = 0) -> DataFrame:
-    """Traces with objects dealt anew over the same accounts: both degrees stay (up to repeats)."""
-    rows = t.select("author_id", "action_object").distinct()
-    w = Window.partitionBy(F.pmod(F.xxhash64("author_id", "action_object", F.lit(seed)), F.lit(64)))
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("author_id", "action_object", F.lit(seed)), F.lit(64)))
+def shuffled(t: DataFrame, seed: int = 0, what: str = "object") -> DataFrame:
+    """Traces with objects, or times, dealt anew over the same accounts: both degrees stay (up to repeats)."""
+    if what not in ("object", "time"):
+        raise ValueError(f"cannot deal {what!r} anew, expected object or time")
+    rows = t.select("author_id", "action_object").distinct() if what == "object" else t.select("author_id", "action_object", "created_at")
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    n = max(1, rows.count() // 4096)
+    own = rows.withColumn("_b", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(n)))
     w = Window.partitionBy("_b")
-    a = own.select("_b", "author_id", F.row_number().over(w.orderBy("author_id", "action_object")).alias("_k"))
-    b = own.select("_b", "action_object", F.row_number().over(w.orderBy(F.xxhash64("action_object", "author_id", F.lit(seed + 1)), "action_object", "author_id")).alias("_k"))
-    return a.join(b, ["_b", "_k"]).select("author_id", "action_object", F.lit(None).cast("timestamp").alias("created_at")).distinct()
+    order = names if what == "time" else [F.col("author_id"), F.col("action_object")]
+    moved = "action_object" if what == "object" else "created_at"
+    stay = [c for c in rows.columns if c != moved]
+    a = own.select("_b", *stay, F.row_number().over(w.orderBy(*order)).alias("_k"))
+    b = own.select("_b", moved, F.row_number().over(w.orderBy(F.xxhash64(*reversed(names), F.lit(seed + 1)), *order)).alias("_k"))
+    out = a.join(b, ["_b", "_k"])
+    return out.select("author_id", "action_object", F.lit(None).cast("timestamp").alias("created_at") if what == "object" else "created_at").distinct()

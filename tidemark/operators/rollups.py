@@ -142,3 +142,27 @@ def topic_mix(posts: DataFrame, key: str) -> DataFrame:
     n = posts.groupBy(key, "topic").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(key))
     return n.withColumn("p", p).groupBy(key).agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"), F.max_by("topic", F.struct("n", -F.col("topic"))).alias("dominant"))
+
+
+def enriched(posts: DataFrame, toxicity: DataFrame, authors: DataFrame, incitement: DataFrame, labels: DataFrame) -> DataFrame:
+    """Posts with a toxicity score, and, where there are any, their author's region and community, lexicon hits and sentiment.
+
+    Five tables in one frame: the score is required, the others are not.
+    """
+    who = authors.select(F.col("platform_user_id").alias("author_id"), T.first_match(F.col("location"), REGION_RULES).alias("region"), T.first_match(F.col("location"), COMMUNITY_RULES).alias("community"))
+    own = posts.withColumn("engagement", F.col("like_count") + F.col("reply_count") + F.col("repost_count") + F.col("quote_count"))
+    return own.join(toxicity, "platform_post_id").join(who, "author_id", "left").join(incitement, "platform_post_id", "left").join(labels, "platform_post_id", "left")
+
+
+def regional_rate(frame: DataFrame, by: str, least: int = 200) -> DataFrame:
+    """Share of toxic posts in scope by region or community, for those with enough posts. Aggregates only."""
+    toxic = F.col("label") != "neither"
+    out = frame.where(F.col("in_scope") & F.col(by).isNotNull()).groupBy(F.col(by).alias("slice")).agg(F.count(F.lit(1)).alias("n"), S.share(toxic).alias("rate"))
+    return out.where(F.col("n") >= least)
+
+
+def reach_and_engagement(posts: DataFrame, authors: DataFrame) -> DataFrame:
+    """Per author the followers, posts, and engagement a post."""
+    who = authors.select(F.col("platform_user_id").alias("author_id"), "followers_count")
+    total = F.col("like_count") + F.col("repost_count") + F.col("reply_count") + F.col("quote_count")
+    return posts.join(who, "author_id").groupBy("author_id").agg(F.max("followers_count").alias("followers"), F.count(F.lit(1)).alias("n_posts"), F.avg(total).alias("mean_engagement"))

@@ -149,3 +149,9 @@ def merge_terms(known: DataFrame, found: DataFrame, as_of: str, ttl_days: int, c
     live = both.where(F.col("approved") | (F.col("last_seen") > now - F.expr(f"INTERVAL {int(ttl_days)} DAYS")))
     w = Window.partitionBy("approved").orderBy(F.desc("novelty"), "term")
     return live.withColumn("_r", F.row_number().over(w)).where(F.col("approved") | (F.col("_r") <= cap)).drop("_r")
+
+
+def active_terms(terms: DataFrame, autopromote: bool = False, cap: int = 20) -> DataFrame:
+    """Mined terms to search for: approved ones, and the most novel others if autopromote; at most cap, approved first."""
+    usable = terms if autopromote else terms.where("approved")
+    return usable.orderBy(F.desc("approved"), F.desc("novelty"), "term").limit(cap).select("term")

@@ -33,11 +33,11 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> Data
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     quota = sizes.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.bround(n * F.col("_n") / F.col("_all"), 0).cast("int")).alias("_q"))
-    placed = _placed(df, stratum, key, seed).join(F.broadcast(quota.withColumnRenamed(stratum, "_s")), F.col(stratum).eqNullSafe(F.col("_s")))
-    return placed.where("_r < _q").select(*df.columns)
+    own = placed(df, stratum, key, seed).join(F.broadcast(quota.withColumnRenamed(stratum, "_s")), F.col(stratum).eqNullSafe(F.col("_s")))
+    return own.where("_r < _q").select(*df.columns)
 
 
-def _placed(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+def placed(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     """df with _r, a row's place (from 0) in its stratum in hash order, and _n, the stratum's rows."""
     placed = O.numbered(df, F.col(stratum), F.xxhash64(F.lit(seed), F.col(key)), F.col(key), out="_p")
     own = placed.groupBy(F.col(stratum).alias("_t")).agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -59,8 +59,8 @@ def split(df: DataFrame, key: str, stratum: str, shares: dict[str, float], seed:
     for name, s in shares.items():
         edge += s
         out = F.when(F.col("_p") <= edge, name) if out is None else out.when(F.col("_p") <= edge, name)
-    placed = _placed(df, stratum, key, seed).withColumn("_p", (F.col("_r") + 0.5) / F.col("_n"))
-    return placed.withColumn("split", out.otherwise(list(shares)[-1])).select(*df.columns, "split")
+    own = placed(df, stratum, key, seed).withColumn("_p", (F.col("_r") + 0.5) / F.col("_n"))
+    return own.withColumn("split", out.otherwise(list(shares)[-1])).select(*df.columns, "split")
 
 
 def by_priority(pools: Sequence[DataFrame], key: str, limits: Sequence[int], order: Sequence) -> DataFrame:
@@ -76,3 +76,28 @@ def by_priority(pools: Sequence[DataFrame], key: str, limits: Sequence[int], ord
 def capped(df: DataFrame, key: str, n: int, *order) -> DataFrame:
     """The first n rows of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def reservoir(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows, each set of n as likely as any other and the same on every run: those of the smallest hashes."""
+    return hash_order(df, key, n, seed)
+
+
+def high_on_both(df: DataFrame, one: str, two: str, q: float = 0.9, rank: float = 0.9) -> DataFrame:
+    """Rows over the q-quantile of one whose two is over rank."""
+    cut = df.agg(F.percentile(one, F.lit(q)).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).where((F.col(one) > F.col("_cut")) & (F.col(two) > rank)).drop("_cut")
+
+
+def first_per(df: DataFrame, key: str, *order) -> DataFrame:
+    """The first row of each key in the order."""
+    return capped(df, key, 1, *order)
+
+
+def distinct_terms(*columns: DataFrame) -> DataFrame:
+    """Distinct terms of frames with one array column each, exploded and in lower case."""
+    every = None
+    for d in columns:
+        own = d.select(F.explode(d.columns[0]).alias("term")).select(F.lower("term").alias("term"))
+        every = own if every is None else every.union(own)
+    return every.where("term is not null and term <> ''").distinct()

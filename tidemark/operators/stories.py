@@ -236,3 +236,43 @@ def assign_topics(rows: DataFrame, tau: float = 0.35, least: int = 10, core: int
     named = numbered(size, F.desc("n"), F.col("component"), out="topic").select("component", F.col("topic").cast("int").alias("topic"))
     of = member.join(named, "component").select("id", "topic")
     return rows.select("id").join(of, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
+def sentiment_timeline(stories: DataFrame, labels: DataFrame, unit: str = "day") -> DataFrame:
+    """Per story and unit of time: labelled posts, mean sentiment, shares of negative and positive ones."""
+    value = F.when(F.col("sentiment") == "positive", 1).when(F.col("sentiment") == "negative", -1).otherwise(0)
+    own = labels.groupBy("platform_post_id").agg(F.first("sentiment").alias("sentiment"))
+    x = stories.select("story_id", "platform_post_id", "created_at").join(own, "platform_post_id").withColumn("v", value)
+    return x.groupBy("story_id", F.date_trunc(unit, "created_at").alias("bucket")).agg(F.count(F.lit(1)).alias("n_posts"), F.avg("v").alias("mean_sentiment"), S.share(F.col("v") == -1).alias("neg_share"), S.share(F.col("v") == 1).alias("pos_share"))
+
+
+def story_keywords(stories: DataFrame, top: int = 8) -> DataFrame:
+    """(story_id, keywords): the terms that tell a story's posts from the other stories'."""
+    terms = class_terms(stories, "story_id", "text", top)
+    return terms.groupBy("story_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
+
+
+def story_framing(stories: DataFrame, topics: DataFrame | None = None, labels: DataFrame | None = None) -> dict[str, DataFrame]:
+    """How stories are told: topics, keywords and sentiment_timeline; a part without its input has no rows."""
+    spark = stories.sparkSession
+    key = dict(stories.dtypes)["story_id"]
+    none = {"topics": f"story_id {key}, rank int, topic int, share double", "sentiment_timeline": f"story_id {key}, bucket timestamp, n_posts long, mean_sentiment double, neg_share double, pos_share double"}
+    return {
+        "topics": story_topics(stories, topics) if topics is not None else spark.createDataFrame([], none["topics"]),
+        "keywords": story_keywords(stories),
+        "sentiment_timeline": sentiment_timeline(stories, labels) if labels is not None else spark.createDataFrame([], none["sentiment_timeline"]),
+    }
+
+
+def persist_stories(catalog, card: DataFrame, platform: str = "x", least: float = 0.0) -> int:
+    """Append scored stories with an index of `least` or more as one run; the rows written, 0 if none reach it.
+
+    Only declared columns are stored; those that card lacks are null.
+    """
+    keep = card.where(F.col("story_suspicion_index") >= least).withColumn("platform", F.lit(platform)).withColumn("computed_at", F.current_timestamp())
+    return catalog.append("stories", keep)
+
+
+def attach_hate(card: DataFrame, hate: DataFrame) -> DataFrame:
+    """A cluster scorecard with the columns of cluster_hate(); clusters without posts have nulls."""
+    return card.join(hate.drop("n_posts"), "cluster_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -83,17 +84,46 @@ class Catalog:
         finally:
             seen.unpersist()
 
+    def write_manifest(self, rows: DataFrame, platform: str = "x") -> int:
+        """Append the queries of one collection pass as a run of its own; nothing for none. Missing columns are null, counts 0."""
+        rows = rows.withColumn("n_posts", F.coalesce("n_posts", F.lit(0))) if "n_posts" in rows.columns else rows.withColumn("n_posts", F.lit(0))
+        own = rows.withColumn("run_id", F.lit(uuid.uuid4().hex)).withColumn("platform", F.lit(platform)).withColumn("collected_at", F.current_timestamp())
+        return self.append("collection_runs", own)
+
+    def write_census_run(self, stats: dict, platform: str = "x") -> int:
+        """Append a pass's counters, a row of zeros too: that nothing was found is a finding."""
+        row = {"pass": str(stats.get("pass", "census")), "n_items": int(stats.get("n_items", 0)), "n_rows": int(stats.get("n_rows", 0)), "error": stats.get("error")}
+        own = self.spark.createDataFrame([tuple(row.values())], "pass string, n_items long, n_rows long, error string")
+        now = F.current_timestamp()
+        return self.append("census_runs", own.withColumn("platform", F.lit(platform)).withColumn("started_at", now).withColumn("ended_at", now), even_if_empty=True)
+
     def replace_state(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a small state table as a new version and return it; readers take the newest whole version."""
-        version = f"{self.path('state/' + name)}/version={uuid.uuid1().time:020d}"
+        """Write a small state table as a new version and return it; readers take the newest whole version.
+
+        A version counts once its _SUCCESS mark is there, which is written last: a write that broke off
+        is never seen.
+        """
+        version = f"{self.path('state/' + name)}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(version)
         return self.spark.read.parquet(version)
 
     def state(self, name: str) -> DataFrame | None:
         if not self.exists(f"state/{name}"):
             return None
-        all_ = self.spark.read.option("basePath", self.path("state/" + name)).option("inferSchema", "false").parquet(self.path("state/" + name))
-        return newest_run(all_, "version").drop("version")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"state/{name}"))
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        versions = sorted(str(s.getPath()) for s in fs.listStatus(folder) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return self.spark.read.parquet(versions[-1]) if versions else None
+
+    def columns(self, name: str) -> list[str]:
+        """The columns that a table's files have now, which may be fewer than declared; none if nobody wrote it."""
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path(name)).columns if self.exists(name) else []
+
+    def register(self, name: str, rows) -> DataFrame:
+        """A view over rows in memory: pandas, Arrow, or a list of dicts."""
+        df = self.spark.createDataFrame(rows)
+        df.createOrReplaceTempView(name)
+        return df
 
     def query(self, sql: str) -> DataFrame:
         """Ad-hoc SQL over views of all tables; a slash in a name becomes an underscore."""
@@ -119,6 +149,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_artifact(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A finding as one folder of CSV or Parquet."""
+    if kind not in ("csv", "parquet"):
+        raise ValueError(f"unknown kind {kind!r}")
+    write_csv(df, path) if kind == "csv" else df.write.mode("overwrite").parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str, strict: bool = False) -> DataFrame:
     """JSON lines with one row per key: the last file's, or an error on repeats if strict."""
     df = spark.read.schema(schema).json(path)

@@ -20,6 +20,8 @@ EDGES = "src string, dst string, weight double, p_value double, min_gap double,
 CLUSTERS = "cluster_id string, author_id string, cluster_name string, size bigint, computed_at timestamp"
 RUNS = "pass string, n_items bigint, n_rows bigint, started_at timestamp, ended_at timestamp, error string"
 
+MANIFEST = "run_id string, target_type string, term string, source string, fp_risk string, query string, since string, until string, n_posts bigint, collected_at timestamp"
+
 #: table -> (schema, partition columns, key of the latest state (empty: a series), order column)
 TABLES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], str]] = {
     "posts": (POSTS, ("platform", "type", "dt"), ("platform", "platform_post_id"), "collected_at"),
@@ -27,7 +29,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], str]] = {
     "authors": (AUTHORS, ("platform", "dt"), ("platform", "platform_user_id"), "collected_at"),
     "engagements": (ENGAGEMENTS, ("platform", "dt"), ("platform", "platform_post_id", "platform_user_id", "kind"), "collected_at"),
     "follows": (FOLLOWS, ("platform", "dt"), ("platform", "follower_id", "followed_id"), "collected_at"),
-    "collection_runs": (RUNS, ("platform", "dt"), (), "started_at"),
+    "collection_runs": (MANIFEST, ("platform", "dt"), (), "collected_at"),
     "census_runs": (RUNS, ("platform", "dt"), (), "started_at"),
     "embeddings": ("platform_post_id string, embedding array<float>, embedded_at timestamp", ("platform", "model", "dt"), ("platform_post_id",), "embedded_at"),
     "labels": ("platform_post_id string, sentiment string, emotion string, labeled_at timestamp", ("platform", "dt"), ("platform_post_id",), "labeled_at"),

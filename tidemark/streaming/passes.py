@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -77,3 +79,74 @@ def latest_state(stream: DataFrame, ttl_ms: int = 14 * 86_400_000) -> DataFrame:
 def visit_ledger(stream: DataFrame, key: str) -> DataFrame:
     """Last visit of every key so far (complete mode), against which due() is asked."""
     return stream.groupBy(key).agg(F.max("visited_at").alias("visited_at"))
+
+
+def due_by_ttl(visits: DataFrame, items: DataFrame, key: str, as_of: str, hours: dict[str, int]) -> DataFrame:
+    """items (key, lane) whose last visit is older than their lane's hours, or that had none; an unknown lane is never due."""
+    ttl = F.create_map(*[F.lit(x) for kv in hours.items() for x in kv])
+    last = visits.groupBy(key).agg(F.max("visited_at").alias("_last"))
+    wait = F.element_at(ttl, F.col("lane"))
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("_last")) / 3.6e9
+    return items.where(F.col(key).isNotNull() & wait.isNotNull()).join(last, key, "left").where(F.col("_last").isNull() | (age >= wait)).drop("_last")
+
+
+def in_flushes(items: list, fetch: Callable[[object], DataFrame], sink: Callable[[DataFrame], object], mark: Callable[[list], object], every: int = 25) -> tuple[int, list]:
+    """Fetch items one by one and store what came in every so many; items are marked done only after their rows are stored.
+
+    A fetch that fails leaves its item unmarked and the rest go on. Returns the number marked and the failures.
+    """
+    done, failed, rows, waiting = 0, [], None, []
+
+    def flush() -> None:
+        nonlocal done, rows, waiting
+        if waiting:
+            if rows is not None:
+                sink(rows)
+            mark(waiting)
+            done += len(waiting)
+        rows, waiting = None, []
+
+    for item in items:
+        try:
+            got = fetch(item)
+        except Exception as e:  # noqa: BLE001
+            failed.append((item, str(e)))
+            continue
+        rows = got if rows is None else rows.unionByName(got)
+        waiting.append(item)
+        if len(waiting) >= every:
+            flush()
+    flush()
+    return done, failed
+
+
+def run_loop(passes: dict[str, Callable[[], int]], cycles: int | None = None, busy: float = 5.0, idle: tuple[float, float] = (60.0, 180.0), periodic: dict[str, tuple[Callable[[], object], float, float]] | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, seed: int | None = None) -> list[dict]:
+    """Bounded passes over and over: soon again while there is work, after a jittered pause else.
+
+    A pass gives the number of rows it did; one that fails is noted and stops no other. periodic names jobs
+    with their interval and, after a failure, their retry interval in seconds; they run before the passes,
+    so a backlog cannot put them off. Returns what each cycle did (cycles=None: never returns).
+    """
+    jitter, log, due, k = random.Random(seed), [], dict.fromkeys(periodic or {}, clock()), 0
+    while cycles is None or k < cycles:
+        k += 1
+        entry: dict = {"done": {}, "failed": {}, "ran": []}
+        for name, (job, each, again) in (periodic or {}).items():
+            if clock() >= due[name]:
+                try:
+                    job()
+                    due[name] = clock() + each
+                    entry["ran"].append(name)
+                except Exception as e:  # noqa: BLE001
+                    due[name] = clock() + again
+                    entry["failed"][name] = str(e)
+        for name, step in passes.items():
+            try:
+                entry["done"][name] = step()
+            except Exception as e:  # noqa: BLE001
+                entry["failed"][name] = str(e)
+        entry["wait"] = busy if sum(entry["done"].values()) else jitter.uniform(*idle)
+        if cycles is not None:
+            log.append(entry)
+        sleep(entry["wait"])
+    return log
