@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 from tidemark.llm import common
 from tidemark.operators.graphs import spread_join
 
-#: Nodes that one task holds at a time.
-BLOCK = 2048
+#: Nodes that one group of a task holds: small, so that groups spread evenly over tasks.
+BLOCK = 256
 #: Pairs that ask for one node's code, from which on that code is broadcast.
 HOT = 4096
 
