@@ -41,3 +41,29 @@ def test_a_hubs_rows_do_not_meet(spark):
     out = graphs.spread_join(rows, "hi", values, 2048)
     assert out.count() == 2048 and out.where("m <> hi * 10").isEmpty()
     assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
+def score(pairs, weight, label, resolution):
+    inside = sum(w for (i, j), w in zip(pairs, weight) if label[i] == label[j])
+    return inside - resolution * sum(k * (k - 1) / 2 for k in np.bincount(label))
+
+
+def test_communities_are_connected_and_no_single_move_gains():
+    rng = np.random.default_rng(0)
+    for seed in range(6):
+        n = 60
+        group = rng.integers(0, 5, n)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.6 if group[i] == group[j] else 0.05)]
+        weight = rng.random(len(pairs)) + 0.5
+        label = graphs.potts(n, *np.array(pairs).T, weight, 0.3)
+        base = score(pairs, weight, label, 0.3)
+        assert base >= score(pairs, weight, group, 0.3) - 1e-9
+        for v in range(n):
+            for c in set(label.tolist()):
+                other = label.copy()
+                other[v] = c
+                assert score(pairs, weight, other, 0.3) <= base + 1e-9
+        for c in set(label.tolist()):
+            members = set(np.flatnonzero(label == c).tolist())
+            inner = [(i, j) for i, j in pairs if i in members and j in members]
+            assert len(members) == 1 or len(set(plain(inner).values())) == 1 and set(plain(inner)) == members

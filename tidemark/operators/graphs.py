@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable
 
 import numpy as np
@@ -67,53 +67,96 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def potts(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float) -> np.ndarray:
-    """Communities of n nodes that raise sum(internal weight) - resolution * sum(pairs), by moves then merges."""
+    """Communities of n nodes that raise sum(internal weight) - resolution * sum(pairs): moves, refinement, merging.
+
+    As in the Leiden method a level moves single nodes until none gains, then splits each community into
+    parts grown from single nodes along links that gain, and goes on with the parts as nodes that start in
+    their community. So a community is never held together by a node that has left it.
+    """
     near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
     for i, j, w in zip(a.tolist(), b.tolist(), weight.tolist()):
         near[i][j] += w
         near[j][i] += w
-    size = np.ones(n)
-    of = np.arange(n)  # community of each original node
+    size, of, label = np.ones(n), np.arange(n), np.arange(n)
     while True:
         m = len(near)
-        label, mass = np.arange(m), size.copy()
-        moved_once = False
-        queue = list(range(m))
-        waiting = [True] * m
-        while queue:
-            v = queue.pop(0)
-            waiting[v] = False
-            pull: dict[int, float] = defaultdict(float)
-            for u, w in near[v].items():
-                if u != v:
-                    pull[label[u]] += w
-            own = label[v]
-            mass[own] -= size[v]
-            best, gain = own, pull.get(own, 0.0) - resolution * size[v] * mass[own]
-            for c in sorted(pull):
-                g = pull[c] - resolution * size[v] * mass[c]
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            if gain < -1e-12:  # alone is better
-                empty = np.flatnonzero(mass == 0)
-                best = int(empty[0]) if len(empty) else own
-            mass[best] += size[v]
-            if best != own:
-                label[v] = best
-                moved_once = True
-                for u in near[v]:
-                    if label[u] != best and not waiting[u]:
-                        waiting[u] = True
-                        queue.append(u)
-        names, label = np.unique(label, return_inverse=True)
-        of = label[of]
-        if not moved_once or len(names) == m:
-            return of
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in names]
+        label = np.unique(_moved(near, size, label, resolution), return_inverse=True)[1]
+        if label.max(initial=-1) + 1 == m:  # every community is one node
+            return label[of]
+        parts = np.unique(_refined(near, size, label, resolution), return_inverse=True)[1]
+        if parts.max() + 1 == m:
+            parts = label
+        k = int(parts.max()) + 1
+        merged: list[dict[int, float]] = [defaultdict(float) for _ in range(k)]
         for v in range(m):
             for u, w in near[v].items():
-                merged[label[v]][label[u]] += w
-        near, size = merged, np.bincount(label, weights=size)
+                merged[parts[v]][parts[u]] += w
+        start = np.zeros(k, np.int64)
+        start[parts] = label
+        near, size, of, label = merged, np.bincount(parts, weights=size, minlength=k), parts[of], start
+
+
+def _pull(near: dict[int, float], v: int, label: np.ndarray) -> dict[int, float]:
+    """Weight of the links from v to each community."""
+    out: dict[int, float] = defaultdict(float)
+    for u, w in near.items():
+        if u != v:
+            out[int(label[u])] += w
+    return out
+
+
+def _moved(near: list[dict[int, float]], size: np.ndarray, label: np.ndarray, resolution: float) -> np.ndarray:
+    """label after single moves, each to the community that gains most, until none gains; ties to the lowest."""
+    m, label = len(near), label.copy()
+    mass = np.bincount(label, weights=size, minlength=m + 1)
+    free = [c for c in range(m, -1, -1) if mass[c] == 0]
+    queue, waiting = deque(range(m)), np.ones(m, bool)
+    while queue:
+        v = queue.popleft()
+        waiting[v] = False
+        own = int(label[v])
+        pull = _pull(near[v], v, label)
+        mass[own] -= size[v]
+        best, gain = own, pull.get(own, 0.0) - resolution * size[v] * mass[own]
+        for c in sorted(pull):
+            g = pull[c] - resolution * size[v] * mass[c]
+            if g > gain + 1e-12:
+                best, gain = c, g
+        if gain < -1e-12:  # alone is better
+            best = free.pop()
+        mass[best] += size[v]
+        if best != own:
+            if mass[own] == 0:
+                free.append(own)
+            label[v] = best
+            for u in near[v]:
+                if label[u] != best and not waiting[u]:
+                    waiting[u] = True
+                    queue.append(u)
+    return label
+
+
+def _refined(near: list[dict[int, float]], size: np.ndarray, label: np.ndarray, resolution: float) -> np.ndarray:
+    """Parts of the communities: nodes that are still alone join the part of their community that gains most."""
+    m = len(near)
+    part, mass, alone = np.arange(m), size.astype(float), np.ones(m, bool)
+    for v in range(m):
+        if not alone[v]:
+            continue
+        pull: dict[int, float] = defaultdict(float)
+        for u, w in near[v].items():
+            if u != v and label[u] == label[v]:
+                pull[int(part[u])] += w
+        best, gain = v, 1e-12
+        for c in sorted(pull):
+            g = pull[c] - resolution * size[v] * mass[c]
+            if g > gain:
+                best, gain = c, g
+        if best != v:
+            part[v], alone[v], alone[best] = best, False, False
+            mass[best] += size[v]
+            mass[v] -= size[v]
+    return part
 
 
 def curveball(n: int, a: np.ndarray, o: np.ndarray, rng: np.random.Generator, per_node: int = 5) -> list[set[int]]:

@@ -181,7 +181,8 @@ def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """(author_id, cluster_id) under the constant Potts model, singletons left out.
 
     Such communities never span connected components, so each component is optimised on its own, by
-    local moves and merges of whole communities until neither raises the score.
+    moves, refinement and merging (see graphs.potts). One component is one task's work: hub cap and
+    validation are what keeps components small.
     """
     members = graphs.connected_components(edges.select("src", "dst"))
     own = edges.join(members.select(F.col("node").alias("src"), F.col("component")), "src")

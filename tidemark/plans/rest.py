@@ -26,7 +26,7 @@ def _arm(key: str, degree: str, worked: str) -> str:
     r AS (SELECT *, count(*) OVER () AS in_band, count(*) FILTER (WHERE NOT worked) OVER () AS open FROM c) SELECT * FROM r ORDER BY worked, degree DESC, n_rows DESC, object_id LIMIT 40"""
 
 
-@query("sl01_hot_reposts", "posts_raw engagements_raw", _arm("repost_of_id", "repost_count", "SELECT DISTINCT platform_post_id AS id FROM engagements_raw WHERE kind = 'retweet' AND collected_at > TIMESTAMP '2024-02-01' - INTERVAL 48 HOURS"))
+@query("sl01_hot_objects", "posts_raw engagements_raw", _arm("repost_of_id", "repost_count", "SELECT DISTINCT platform_post_id AS id FROM engagements_raw WHERE kind = 'retweet' AND collected_at > TIMESTAMP '2024-02-01' - INTERVAL 48 HOURS"))
 def _(t: Tables):
     return ledgers.hot_reposts(t.posts_raw, t.engagements_raw, AS_OF, 14, (5, 600), 48, 40)
 

@@ -395,9 +395,3 @@ def _(t: Tables):
 @query("sl11_directory", "acts authors_raw", f"{FOLLOWS} SELECT DISTINCT a.platform_user_id AS id, a.handle FROM (SELECT f AS id FROM fo UNION SELECT t FROM fo) x JOIN authors_raw a ON a.platform_user_id = x.id")
 def _(t: Tables):
     return ledgers.directory(follows(t), t.authors_raw)
-
-
-@query("sl01_hot_objects", "posts engagements_raw", "o AS (SELECT repost_of_id AS id, count(DISTINCT author_id) AS n FROM posts WHERE repost_of_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT author_id) BETWEEN 2 AND 500), f AS (SELECT DISTINCT platform_post_id AS id FROM engagements_raw WHERE collected_at > TIMESTAMP '2024-02-01' - INTERVAL 72 HOURS), d AS (SELECT o.* FROM o WHERE id NOT IN (SELECT id FROM f)) SELECT id AS object_id, n, (SELECT count(*) FROM o) AS in_band, (SELECT count(*) FROM d) AS due FROM d ORDER BY n DESC, id LIMIT 30")
-def _(t: Tables):
-    ledger = t.engagements_raw.select(F.col("platform_post_id").alias("object_id"), F.col("collected_at").alias("visited_at"))
-    return ledgers.hot_objects(t.posts, ledger, AS_OF, band=(2, 500), hours=72, n=30)
