@@ -380,9 +380,8 @@ def test_late_snapshots_do_not_undo_newer_ones(spark, tmp_path):
 
     def step():
         stream = spark.readStream.schema("platform_post_id string, type string, s int, collected_at timestamp").parquet(f"file://{tmp_path}/in")
-        out = passes.latest_state(stream).writeStream.option("checkpointLocation", f"file://{tmp_path}/cp").foreachBatch(lambda d, _: d.write.mode("append").parquet(f"file://{tmp_path}/out")).start()
-        out.processAllAvailable()
-        out.stop()
+        out = passes.latest_state(stream).writeStream.option("checkpointLocation", f"file://{tmp_path}/cp").foreachBatch(lambda d, _: d.write.mode("append").parquet(f"file://{tmp_path}/out")).trigger(once=True).start()
+        assert out.awaitTermination(60)
 
     write([("a", "one", 100), ("a", "zero", 50), ("b", "one", 10)])
     step()

@@ -77,11 +77,23 @@ def potts(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution:
     for i, j, w in zip(a.tolist(), b.tolist(), weight.tolist()):
         near[i][j] += w
         near[j][i] += w
-    size, of, label = np.ones(n), np.arange(n), np.arange(n)
+    label = np.arange(n)
+    while True:  # each pass starts from the last one's communities and never lowers the score
+        after = _pass(near, label, resolution)
+        # Named by first member, so that equal partitions are equal arrays.
+        after = np.unique(after, return_index=True)[1][np.unique(after, return_inverse=True)[1]]
+        if np.array_equal(after, label):
+            return label
+        label = after
+
+
+def _pass(near: list[dict[int, float]], label: np.ndarray, resolution: float) -> np.ndarray:
+    """Levels of moves, refinement and merging, from label on, until every community is one node."""
+    size, of = np.ones(len(near)), np.arange(len(near))
     while True:
         m = len(near)
         label = np.unique(_moved(near, size, label, resolution), return_inverse=True)[1]
-        if label.max(initial=-1) + 1 == m:  # every community is one node
+        if label.max(initial=-1) + 1 == m:
             return label[of]
         parts = np.unique(_refined(near, size, label, resolution), return_inverse=True)[1]
         if parts.max() + 1 == m:
