@@ -40,6 +40,7 @@ OTHERS = {
     "co19_recovery": lambda d: d[["precision", "recall", "f1"]].iloc[0].tolist() == [1.0, 1.0, 1.0],
     "co20_null_baseline": lambda d: d["edges"].iloc[0] > 0 and d["bonferroni"].iloc[0] == 0,
     "fx04_random_subsets": lambda d: len(d) == 9 and d["p_value"].between(1 / 21, 1).all(),
+    "lb06_candidates": lambda d: len(d) > 20 and d["platform_post_id"].is_unique and d["author_handle"].value_counts().max() <= 5 and d["stratum"].nunique() >= 4,
     "st07_minhash_clusters": lambda d: d["doc_id"].is_unique and (d["cluster"] <= d["doc_id"]).all() and d["cluster"].nunique() < len(d),
 }
 
