@@ -8,26 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df after a checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is stored on the way, which driver and executors share: the one spark.checkpoint.dir names.
 
-    Only a local master may do without that folder: elsewhere a folder of our own would be each machine's own.
+    Only a local master may do without that setting: elsewhere a folder of our own would be each machine's own.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df after a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = shared_folder(df.sparkSession)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(base)
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import core, measures, more, networks, rest, stories  # noqa: F401  (each registers its queries)
+from tidemark.plans import core, measures, more, networks, rest, stored, stories  # noqa: F401  (each registers its queries)
 from tidemark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "co08_validated_edges"

@@ -67,6 +67,8 @@ class Catalog:
         """Add a run, cast to the declared schema; missing columns are null. Returns its rows.
 
         An empty run writes nothing unless even_if_empty, for audit tables where a zero is a signal.
+        Rows are brought together by partition first, large ones split by their size, so that a run adds
+        a file per partition and not one per task and partition.
         """
         schema, (_, parts, _, order) = full_schema(name), TABLES[name]
         have = set(df.columns)
@@ -79,7 +81,7 @@ class Catalog:
         try:
             n = seen.count()
             if n or even_if_empty:
-                seen.write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(name))
+                seen.hint("rebalance", *parts).write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(name))
             return n
         finally:
             seen.unpersist()

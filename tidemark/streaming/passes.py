@@ -50,10 +50,20 @@ def without_repeats(stream: DataFrame, within: str = "14 days") -> DataFrame:
     return stream.withWatermark("collected_at", within).dropDuplicatesWithinWatermark(["platform_post_id", "collected_at"])
 
 
+def newest_snapshots(stream: DataFrame) -> DataFrame:
+    """The newest snapshot of every post that a batch touches (update mode), in any order of arrival.
+
+    State is one row per post and stays in the JVM. A sink that keeps a post's newest row is right after
+    a replayed batch too.
+    """
+    newest = F.max_by("type", F.struct("collected_at", "type")).alias("type")
+    return stream.groupBy("platform_post_id").agg(newest, F.unix_micros(F.max("collected_at")).alias("collected_us"))
+
+
 def latest_state(stream: DataFrame, ttl_ms: int = 14 * 86_400_000) -> DataFrame:
-    """Per post a row whenever a snapshot newer than all before it arrives, in any order of arrival.
+    """As newest_snapshots, but a row only when a newer snapshot arrives, and no state of posts silent for ttl_ms.
 
-    State of a post that is silent for ttl_ms is dropped.
+    A Python call per post and batch: for streams whose posts go quiet and are too many to be kept.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
