@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,30 +82,53 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, bloc
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+#: Rows of a block of radius_links, and rows to a side of the tiles in which two blocks are compared.
+RADIUS_BLOCK, TILE = 16_384, 1024
+
+
 def radius_links(df: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
-    """(src, dst, sim) of all pairs of (id, vec) with cosine >= least: blocks of rows met in pairs.
+    """(src, dst, sim) of all pairs of (id, vec) with cosine >= least: every two blocks of rows meet in a task.
 
-    Exact. Each row goes to `blocks` tasks; the work is that of all pairs, as the radius graph's is,
-    done in matrix products. For large tables prefer the filter join of near-duplicate search.
+    Exact, and the work is that of all pairs, as the radius graph's is, done in matrix products. Blocks have
+    a fixed size and links are handed out tile by tile, so a task's memory does not grow with the table. Rows
+    without a vector link with nothing. For large tables prefer the filter join of near-duplicate search.
     """
-    n = blocks or max(1, int(df.count() ** 0.5 / 64) + 1)
-    own = df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    spread = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(pdf["vec"].tolist(), float)
+    rows = df.count()
+    n = blocks or max(1, -(-rows // RADIUS_BLOCK), min(8, rows // 2048))
+    own = df.where("id is not null and vec is not null").select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    i, j = F.least("b", "o"), F.greatest("b", "o")
+    spread = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((j * (j + 1) / 2 + i).cast("int").alias("p"), (i == j).alias("one"), "id", "vec", "b")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("b").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("vec")), b.column("one")[0].as_py()) for b in batches if b.num_rows]
+        if not held:
+            return
+        block, ids, v = (np.concatenate([h[k] for h in held]) for k in range(3))
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        b, ids = pdf["b"].to_numpy(), pdf["id"].to_numpy()
-        src, dst, sim = [], [], []
-        for at in range(0, len(v), 2048):
-            s = v[at : at + 2048] @ v.T
-            ok = (s >= least) & (ids[at : at + 2048, None] < ids[None])
-            if pdf["i"].iat[0] != pdf["j"].iat[0]:
-                ok &= b[at : at + 2048, None] != b[None]
-            x, y = np.nonzero(ok)
-            src.append(ids[at + x])
-            dst.append(ids[y])
-            sim.append(s[x, y])
-        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "sim": np.concatenate(sim)})
-
-    return spread.groupBy("i", "j").applyInPandas(meet, "src long, dst long, sim double")
+        first, one = block == block.min(), held[0][3]
+        del held
+        if one:
+            (x, y), (w, u) = (ids, ids), (v, v)
+        else:
+            (x, y), (w, u) = (ids[first], ids[~first]), (v[first], v[~first])
+        for s in range(0, len(x), TILE):
+            for t in range(0, len(y), TILE):
+                sim = w[s : s + TILE] @ u[t : t + TILE].T
+                a, b = np.nonzero(sim >= least)
+                src, dst, sim = x[s + a], y[t + b], sim[a, b]
+                if one:
+                    ok = src < dst
+                    src, dst, sim = src[ok], dst[ok], sim[ok]
+                for at in range(0, len(src), 100_000):
+                    c = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(src[c], dst[c])), pa.array(np.maximum(src[c], dst[c])), pa.array(sim[c])], names=["src", "dst", "sim"])
+
+    return spread.repartitionById(n * (n + 1) // 2, F.col("p")).mapInArrow(meet, "src long, dst long, sim double")
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles; null components are nan."""
+    size = pc.list_value_length(vectors)
+    if pc.min(size).as_py() != pc.max(size).as_py():
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
