@@ -719,3 +719,18 @@ def test_training_does_not_depend_on_the_order_of_repeated_rows(spark):
     chains = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels, train_rows=200) for r, k in ((rows, 3), (rows[::-1], 5))]
     assert [m.weights for m in chains[0].models] == [m.weights for m in chains[1].models] and chains[0].threshold == chains[1].threshold
     assert len(chains[0].held_out["toxic"][0]) == 200
+
+
+def test_pii_decoding_holds_few_chains_at_a_time():
+    """What Viterbi holds is bounded however many chains a batch of texts has (r02, pipeline)."""
+    import tracemalloc
+
+    from tidemark.llm import pii
+
+    field = pii.Field({}, np.zeros((0, len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2))
+    seqs = [[("x",)] * 10 for _ in range(19_000)]
+    tracemalloc.start()
+    assert [len(x) for x in field.decode(seqs)] == [10] * len(seqs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6

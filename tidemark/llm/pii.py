@@ -214,7 +214,7 @@ class Field:
             pair += rate * gp / np.sqrt(seen_p)
         return cls(names, unary, pair)
 
-    def decode(self, seqs: list[list[tuple[str, ...]]], most: int = 200_000) -> list[np.ndarray]:
+    def decode(self, seqs: list[list[tuple[str, ...]]], most: int = 50_000) -> list[np.ndarray]:
         """The likeliest labels of each chain: Viterbi over chains of like length side by side."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(seqs)
         cache: dict[tuple[str, ...], np.ndarray] = {}
@@ -387,6 +387,7 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
             sums = [hashlib.sha256(written(b).encode()).hexdigest() for b in base]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sums, pa.string()), pa.array([written(s) for s in spans], pa.string())], names=names)
+        common.tidy()
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -394,6 +395,7 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
             masked = [t and masked_text(t, s) for t, s in zip(texts, spans_of([t or "" for t in texts])[1])]
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(masked, batch.schema.field(at).type))
+        common.tidy()
 
     if redact:
         out = common.text_batches(docs).mapInArrow(mask, docs.schema)
