@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +14,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import stats as S
 from tidemark.functions import text as T
 from tidemark.functions.order import checkpointed, numbered
-from tidemark.operators import graphs
+from tidemark.operators import graphs, vectors
 from tidemark.operators.rollups import reply_pairs
 
 
@@ -37,31 +40,74 @@ def divergence_from_all(profiles: DataFrame) -> DataFrame:
 def shift_cohorts(profiles: DataFrame, quantile: float, within: float) -> DataFrame:
     """Components of the authors with unusual hours whose profiles are within a divergence of each other.
 
-    The root of the divergence is a metric, so two profiles within r of one another are within r in their
-    distance from any third: authors meet only in neighbouring bands of distance from three turned mean
-    profiles. No pair within reach is lost.
+    All pairs, in blocks of authors, with most decided by one matrix product: for the Hellinger distance
+    h2 = 1 - sum(sqrt(p q)) the divergence lies between h2 / (2 ln 2) and 2 h2, and logarithms are taken only
+    in between. A task hands out its trees and no pairs.
     """
-    odd = divergence_from_all(profiles)
+    profiles = checkpointed(profiles)
+    odd = checkpointed(divergence_from_all(profiles))
     cut = odd.agg(F.percentile("jsd", F.lit(quantile)).alias("cut"))
     few = odd.crossJoin(F.broadcast(cut)).where("jsd >= cut").select("author_id")
     hours = F.transform(F.sort_array(F.collect_list(F.struct("hour", "p"))), lambda x: x["p"])
-    own = profiles.join(few, "author_id", "left_semi").groupBy("author_id").agg(hours.alias("p"))
-    mean = profiles.groupBy("hour").agg(F.avg("p").alias("p")).agg(hours.alias("m"))
-    r = max(within, 1e-12) ** 0.5
-    turned = [F.concat(F.slice("m", s + 1, 24 - s), F.slice("m", 1, s)) if s else F.col("m") for s in (0, 8, 16)]
-    bands = [F.floor(F.sqrt(F.greatest(_jsd(F.col("p"), m), F.lit(0.0))) / (r * (1 + 1e-9))) for m in turned]
-    own = checkpointed(own.crossJoin(F.broadcast(mean)).select("author_id", "p", *[b.alias(f"b{i}") for i, b in enumerate(bands)]))
-    a = own.select(F.col("author_id").alias("src"), "p", *[F.col(f"b{i}").alias(f"c{i}") for i in range(3)])
-    for i in range(3):
-        a = a.withColumn(f"b{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
-    pairs = a.join(own.select(F.col("author_id").alias("dst"), F.col("p").alias("q"), "b0", "b1", "b2"), ["b0", "b1", "b2"])
-    pairs = pairs.where("src < dst").where(_jsd(F.col("p"), F.col("q")) <= within)
-    return graphs.connected_components(pairs.select("src", "dst")).select(F.col("node").alias("author_id"), "component")
-
-
-def _jsd(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence (base 2) of two arrays of shares, none of them zero."""
-    return F.aggregate(F.zip_with(p, q, lambda x, y: (_kl(x, (x + y) / 2) + _kl(y, (x + y) / 2)) / 2), F.lit(0.0), lambda s, x: s + x)
+    own = checkpointed(profiles.join(few, "author_id", "left_semi").groupBy("author_id").agg(hours.alias("p")))
+    trees = close_profiles(own.select(F.col("author_id").alias("id"), "p"), within)
+    return graphs.connected_components(trees).select(F.col("node").alias("author_id"), "component")
+
+
+#: Authors of a block of close_profiles, and to a side of the tiles in which two blocks are compared.
+PROFILES, TILE = 8192, 512
+
+
+def close_profiles(own: DataFrame, within: float, blocks: int | None = None) -> DataFrame:
+    """(src, dst) with the components of the pairs of (id, p) whose profiles (shares, none zero) are within a divergence."""
+    count = own.count()
+    n = blocks or max(1, -(-count // PROFILES), min(5, count // 1024))
+    kind = dict(own.dtypes)["id"]
+    dealt = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    i, j = F.least("b", "o"), F.greatest("b", "o")
+    dealt = dealt.select((j * (j + 1) / 2 + i).cast("int").alias("t"), (i == j).alias("one"), "id", "p", "b")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        tab = pa.Table.from_batches(held)
+        ids, block, one = tab.column("id").combine_chunks(), tab.column("b").to_numpy(), held[0].column("one")[0].as_py()
+        p = vectors._matrix(tab.column("p").combine_chunks())
+        first = np.flatnonzero(block == block.min())
+        rest = first if one else np.flatnonzero(block != block.min())
+        root = np.arange(len(p))
+        for s in range(0, len(first), TILE):
+            for t in range(s if one else 0, len(rest), TILE):
+                x, y = first[s : s + TILE], rest[t : t + TILE]
+                r = root[np.concatenate([x, y])]
+                if (r == r[0]).all():
+                    continue  # what is in one tree needs no more links
+                a, b = _close(p[x], p[y], within)
+                a, b = x[a], y[b]
+                apart = root[a] != root[b]
+                if apart.any():
+                    root = graphs.least_of_trees(len(root), np.concatenate([np.arange(len(root)), a[apart]]), np.concatenate([root, b[apart]]))
+        inner = np.bincount(root, minlength=len(root))[root] > 1
+        for s in range(0, int(inner.sum()), 100_000):
+            own = np.flatnonzero(inner)[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(root[own])), ids.take(pa.array(own))], names=["src", "dst"])
+
+    return dealt.repartitionById(n * (n + 1) // 2, F.col("t")).mapInArrow(meet, f"src {kind}, dst {kind}")
+
+
+def _close(p: np.ndarray, q: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in p, in q) of the pairs with a Jensen-Shannon divergence (base 2) of at most within."""
+    h = 1 - np.sqrt(p) @ np.sqrt(q).T
+    sure = 2 * h <= within - 1e-9
+    a, b = np.nonzero(~sure & (h <= 2 * math.log(2) * within + 1e-9))
+    ok = np.zeros(len(a), bool)
+    for s in range(0, len(a), 100_000):
+        x, y = p[a[s : s + 100_000]], q[b[s : s + 100_000]]
+        m = (x + y) / 2
+        ok[s : s + 100_000] = (x * np.log2(x / m) + y * np.log2(y / m)).sum(axis=1) / 2 <= within
+    i, j = np.nonzero(sure)
+    return np.concatenate([i, a[ok]]), np.concatenate([j, b[ok]])
 
 
 def awakened(authors: DataFrame, posts: DataFrame, as_of: str, days: int = 14, age: int = 365, ratio: float = 20.0) -> DataFrame:
