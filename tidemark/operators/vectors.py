@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -53,7 +52,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, bloc
     """query_id, id, sim: the k rows nearest by cosine to each query, itself apart; ties by id.
 
     A stated set of queries against all rows, in blocks: a task compares one block of each and keeps k a
-    query, and these are merged. Neither side is ever on the driver.
+    query, a tile of the rows at a time, and these are merged. A task's memory is fixed by the blocks and does
+    not grow with the tables; neither side is ever on the driver.
     """
     asks, all_rows = queries.select("id", "vec"), rows.select("id", "vec")
     nq, nr = max(1, -(-asks.count() // block)), max(1, -(-all_rows.count() // rows_block))
@@ -62,26 +62,54 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, bloc
     q = part(asks, nq).withColumnRenamed("_p", "i").withColumn("j", each(nr))
     r = part(all_rows, nr).withColumnRenamed("_p", "j").withColumn("i", each(nq))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
-        v, w = (np.array(x["vec"].tolist(), float) for x in (a, b))
-        v, w = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (v, w))
-        ids, own, out = a["id"].to_numpy(), b["id"].to_numpy(), []
-        m = min(k, len(own))
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, own = (x.column("id").to_numpy() for x in (a, b))
+        if not len(ids) or not len(own):
+            return _found(*(np.zeros(0, t) for t in (np.int64, np.int64, float)))
+        v, w = (_unit(_matrix(x.column("vec").combine_chunks())) for x in (a, b))
+        out = []
         for at in range(0, len(ids), 256):
-            s = np.round(v[at : at + 256] @ w.T, decimals)
-            s[ids[at : at + 256, None] == own[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-            found = pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], m), "id": own[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
-            out.append(found[np.isfinite(found["sim"])])
-        return pd.concat(out)
+            asked = ids[at : at + 256]
+            best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))  # place of the query, id, sim
+            for to in range(0, len(own), TOP_TILE):
+                there = own[to : to + TOP_TILE]
+                s = np.round(v[at : at + 256] @ w[to : to + TOP_TILE].T, decimals)
+                s[asked[:, None] == there[None]] = -np.inf
+                s[np.isnan(s)] = -np.inf
+                m = min(k, len(there))
+                bar = np.partition(s, len(there) - m, axis=1)[:, len(there) - m]
+                i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))  # ties at the bar are in
+                best = _top(*(np.concatenate(c) for c in zip(best, (i, there[j], s[i, j]))), k)
+            out.append((asked[best[0]], *best[1:]))
+        return _found(*(np.concatenate(c) for c in zip(*out)))
 
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    found = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(meet, "query_id long, id long, sim double")
+    found = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInArrow(meet, "query_id long, id long, sim double")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+#: Rows that nearest compares with at a time.
+TOP_TILE = 4096
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    return v
+
+
+def _found(query: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> pa.Table:
+    return pa.table({"query_id": pa.array(query, pa.int64()), "id": pa.array(ids, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+
+def _top(query: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k of each query with the largest sim, ties to the smaller id."""
+    order = np.lexsort((ids, -sim, query))
+    query = query[order]
+    start = np.searchsorted(query, query)
+    order = order[np.arange(len(order)) - start < k]
+    return query[np.arange(len(query)) - start < k], ids[order], sim[order]
+
+
 #: Rows of a block of radius_links, and rows to a side of the tiles in which two blocks are compared.
 RADIUS_BLOCK, TILE = 16_384, 1024
 
