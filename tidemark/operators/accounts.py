@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
@@ -17,22 +17,26 @@ from tidemark.operators.latest import POST_KEY, latest
 WEIGHTS = {"ratio": 0.30, "age": 0.25, "rate": 0.15, "dup": 0.15, "bio": 0.05, "img": 0.05, "handle": 0.05}
 
 
-def behaviour(posts: DataFrame) -> DataFrame:
-    """Per author of latest posts: n_posts, reply, repost and quote ratios, and the share of repeated texts."""
+def behaviour(posts: DataFrame, text_key: Column | None = None) -> DataFrame:
+    """Per author of latest posts: n_posts, reply, repost and quote ratios, and the share of repeated texts (by text_key)."""
+    text_key = T.text_key(F.col("text")) if text_key is None else text_key
     quote = S.share(F.col("is_quote")) if "is_quote" in posts.columns else F.lit(0.0)
     return posts.groupBy("author_id").agg(
         F.count(F.lit(1)).alias("n_posts"),
         S.share(F.col("in_reply_to_id").isNotNull()).alias("reply_ratio"),
         F.avg(F.col("is_repost").cast("int")).alias("repost_ratio"),
         quote.alias("quote_ratio"),
-        (1 - F.countDistinct(T.text_key(F.col("text"))) / F.count(F.lit(1))).alias("duplicate_text_ratio"),
+        (1 - F.countDistinct(text_key) / F.count(F.lit(1))).alias("duplicate_text_ratio"),
     )
 
 
 def author_features(authors: DataFrame, posts: DataFrame, as_of: str) -> DataFrame:
     """One row per author: the newest profile, ages and ratios at as_of, and behaviour (zeros without posts)."""
     profile = latest(authors, ("platform", "platform_user_id"), "collected_at")
-    own = behaviour(latest(posts, POST_KEY, "collected_at"))
+    # Of a text only whether it repeats counts: a digest of its key goes through the shuffles, not the text.
+    needed = [c for c in (*POST_KEY, "collected_at", "author_id", "in_reply_to_id", "is_repost", "is_quote") if c in posts.columns]
+    slim = posts.select(*needed, F.md5(T.text_key(F.col("text"))).alias("_text"))
+    own = behaviour(latest(slim, POST_KEY, "collected_at"), F.col("_text"))
     day = F.datediff(F.lit(as_of).cast("timestamp"), "created_at")
     out = profile.join(own.withColumnRenamed("author_id", "platform_user_id"), "platform_user_id", "left")
     out = out.na.fill(0, ["n_posts"]).na.fill(0.0, ["reply_ratio", "repost_ratio", "quote_ratio", "duplicate_text_ratio"])
