@@ -196,11 +196,16 @@ def _(t: Tables):
     return L.latest_posts(t.posts_raw, "baseline", {"user1", "user2", "user3"}).select("platform_post_id", "like_count")
 
 
+#: Rows of a file of a stream, in the mean: a task writes or reads one.
+FILE_ROWS = 200_000
+
+
 def _streamed(t: Tables, rows: DataFrame, parts: int = 2) -> DataFrame:
-    """rows as a stream of files: `parts` batches, dealt by the post's id."""
+    """rows as a stream of files: `parts` batches, dealt by the post's id. A batch's files have a bounded number of rows each."""
     path = _folder(t)
-    rows.repartition(parts, "platform_post_id").write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = max(1, -(-rows.count() // (parts * FILE_ROWS)))
+    rows.repartition(parts * each, "platform_post_id").write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
