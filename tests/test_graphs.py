@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import graphs
+from tidemark.operators import graphs, network, packed
 
 
 def plain(pairs):
@@ -67,3 +67,49 @@ def test_communities_are_connected_and_no_single_move_gains():
             members = set(np.flatnonzero(label == c).tolist())
             inner = [(i, j) for i, j in pairs if i in members and j in members]
             assert len(members) == 1 or len(set(plain(inner).values())) == 1 and set(plain(inner)) == members
+
+
+def planted(seed, n=60, groups=5, inside=0.6, outside=0.05):
+    rng = np.random.default_rng(seed)
+    group = rng.integers(0, groups, n)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (inside if group[i] == group[j] else outside)]
+    return group, pairs, rng.integers(2, 9, len(pairs)).tolist()
+
+
+def test_a_large_component_is_optimised_in_blocks_and_its_edges_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(packed, "ALONE", 50)
+    monkeypatch.setattr(packed, "EDGES", 100)
+    monkeypatch.setattr(packed, "BLOCK", 120)
+    name = lambda i: f"n{i:03d}"
+    for seed, resolution in ((1, 1.0), (2, 0.5), (3, 2.5)):
+        group, pairs, weight = planted(seed)
+        ring = [(900, 901, 3), (901, 902, 3), (900, 902, 3)]  # a small component beside the large one
+        rows = [(name(a), name(b), w) for (a, b), w in zip(pairs, weight)]
+        rows = [r if i % 2 else (r[1], r[0], r[2]) for i, r in enumerate(rows)] + [(name(a), name(b), w) for a, b, w in ring] + [(None, "n000", 3), ("n000", "n000", 3)]
+        graph = packed.pack(spark.createDataFrame(rows, "src string, dst string, weight long"))
+        assert graph.rows.count() < len(rows) / 10
+        got = packed.communities(graph, [resolution])[0].collect()
+        of = {r["author_id"]: r["cluster_id"] for r in got}
+        assert len(of) == len(got) and {of[name(i)] for i in (900, 901, 902)} == {"n900"}
+        label = np.unique([of.get(name(i), name(i)) for i in range(60)], return_inverse=True)[1]
+        base = score(pairs, weight, label, resolution)
+        alone = graphs.potts(60, *np.array(pairs).T, np.array(weight, float), resolution)
+        assert base >= 0.95 * max(score(pairs, weight, group, resolution), score(pairs, weight, alone, resolution))
+        for v in range(60):
+            for c in [*set(label.tolist()), 60]:
+                other = label.copy()
+                other[v] = c
+                assert score(pairs, weight, other, resolution) <= base + 1e-6
+        for c in set(label.tolist()):
+            members = set(np.flatnonzero(label == c).tolist())
+            inner = [(i, j) for i, j in pairs if i in members and j in members]
+            assert len(members) == 1 or len(set(plain(inner).values())) == 1 and set(plain(inner)) == members
+            assert min(np.flatnonzero(label == c)) == int(of.get(name(min(members)), name(min(members)))[1:])
+
+
+def test_sums_between_clusters_come_from_packed_edges(spark):
+    _, pairs, weight = planted(7)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", w) for (a, b), w in zip(pairs, weight)], "src string, dst string, weight long")
+    members = spark.createDataFrame([(f"n{i}", f"c{i % 4}") for i in range(50)], "author_id string, cluster_id string")
+    one, two = (sorted(map(tuple, network.cluster_summary(e, members).collect())) for e in (edges, packed.pack(edges)))
+    assert one == two and len(one) == 4
