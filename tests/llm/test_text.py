@@ -1,6 +1,7 @@
 """Operators on documents and pages: odd rows, brute force, round trips, held-out accuracy."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -734,3 +735,18 @@ def test_pii_decoding_holds_few_chains_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6
+
+
+def test_a_models_fit_holds_little_beside_its_sample():
+    rng = np.random.default_rng(0)
+    rows = [rng.integers(0, 20_000, 1500) for _ in range(4000)]
+    s = toxicity.Sample(rows, [np.zeros(len(r), int) for r in rows], np.zeros((4000, 4)))
+    y = (rng.random(4000) < 0.3).astype(float)
+    tracemalloc.start()
+    m = toxicity.fit(s, s.dense, y, np.ones(4000, bool), rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.weights and peak < 120e6
+    own = [toxicity.distinct(r, np.zeros(len(r), int)) for r in rows]
+    again = toxicity.Sample.of_distinct(*zip(*own), s.dense)
+    assert all(np.array_equal(getattr(s, c), getattr(again, c)) for c in ("row", "col", "count", "kind"))

@@ -93,24 +93,46 @@ class Model:
     bias: float
 
 
+def distinct(x: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row's features, each once: as int32, with its count (4 at most) and the kind that it had first."""
+    f, first, n = np.unique(x, return_index=True, return_counts=True)
+    return f.astype("<i4"), np.minimum(n, 4).astype("i1"), kind[first].astype("i1")
+
+
 class Sample:
     """Sparse rows: of nonzero k, row[k] has feature col[k] count[k] times; kind by feature."""
 
     def __init__(self, rows: list[np.ndarray], kinds: list[np.ndarray], dense: np.ndarray, least: int = 4):
         """Features of fewer than `least` rows are left out at once: no model could use them."""
+        own = [distinct(x, k) for x, k in zip(rows, kinds)]
+        self._take([x[0] for x in own], [x[1] for x in own], [x[2] for x in own], dense, least)
+
+    @classmethod
+    def of_distinct(cls, cols: list[np.ndarray], counts: list[np.ndarray], kinds: list[np.ndarray], dense: np.ndarray, least: int = 4) -> Sample:
+        """From what distinct() gives of each row."""
+        out = cls.__new__(cls)
+        out._take(cols, counts, kinds, dense, least)
+        return out
+
+    def _take(self, cols: list[np.ndarray], counts: list[np.ndarray], kinds: list[np.ndarray], dense: np.ndarray, least: int) -> None:
+        # The driver does this: what it holds besides the given rows is a byte or two a feature, and the result.
         df = np.zeros(1 << BITS, np.int32)
-        for x in rows:
-            df[np.unique(x)] += 1
-        row, col, count, kind = [], [], [], []
-        for i, (x, k) in enumerate(zip(rows, kinds)):
-            keep = df[x] >= least
-            f, first, n = np.unique(x[keep], return_index=True, return_counts=True)
-            row.append(np.full(len(f), i, np.int32))
-            col.append(f.astype(np.int32))
-            count.append(np.minimum(n, 4).astype(np.int8))
-            kind.append(k[keep][first].astype(np.int8))
-        self.row, self.col, self.count, self.kind = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((row, np.int32), (col, np.int32), (count, np.int8), (kind, np.int8)))
-        self.dense, self.n = dense, len(rows)
+        for x in cols:
+            df[x] += 1
+        keep = [df[x] >= least for x in cols]
+        n = np.array([int(k.sum()) for k in keep], np.int64)
+        at = np.append(0, np.cumsum(n))
+        self.row = np.repeat(np.arange(len(cols), dtype=np.int32), n)
+        self.col, self.count, self.kind = np.empty(at[-1], np.int32), np.empty(at[-1], np.int8), np.empty(at[-1], np.int8)
+        for i, k in enumerate(keep):
+            for to, own in ((self.col, cols), (self.count, counts), (self.kind, kinds)):
+                to[at[i] : at[i + 1]] = own[i][k]
+        self.dense, self.n = dense, len(cols)
+
+    def parts(self, most: int = 500_000) -> Iterator[slice]:
+        """Runs of nonzeros, so that what is made of each is small."""
+        for i in range(0, len(self.row), most):
+            yield slice(i, i + most)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -123,20 +145,24 @@ def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int
     if not n or not pos or pos == n:
         share = (pos + 0.5) / (n + 1)
         return Model({}, np.zeros(dense.shape[1]), float(np.log(share / (1 - share))))
-    live = use[s.row]
-    row, col, count = s.row[live], s.col[live], s.count[live]
-    df = np.bincount(col, minlength=1 << BITS)
-    with_pos = np.bincount(col, weights=y[row], minlength=1 << BITS)
+    df, with_pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for part in s.parts():
+        live = use[s.row[part]]
+        np.add.at(df, s.col[part][live], 1)
+        np.add.at(with_pos, s.col[part][live], y[s.row[part][live]])
     expected = df * pos / n
     chi = np.where(df >= least, (with_pos - expected) ** 2 / np.maximum(expected * (1 - pos / n), 1e-9), -1)
     chosen = np.argsort(-chi, kind="stable")[:most]  # of the fold's own rows: held-out ones stay unseen
     chosen = np.sort(chosen[chi[chosen] > 4])
     to = np.full(1 << BITS, -1)
     to[chosen] = np.arange(len(chosen))
-    ok = to[col] >= 0
-    row, col, count = row[ok], to[col[ok]], count[ok].astype(float)
+    found = []
+    for part in s.parts():
+        ok = use[s.row[part]] & (to[s.col[part]] >= 0)
+        found.append((s.row[part][ok], to[s.col[part][ok]], s.count[part][ok].astype(float), s.kind[part][ok]))
+    row, col, count, kinds = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*found) if found else [()] * 4, (np.int32, np.int64, float, np.int8)))
     kind = np.zeros(len(chosen), np.int64)
-    kind[col] = s.kind[live][ok]
+    kind[col] = kinds
     cost = np.array([_PENALTY[int(k)] for k in kind]) * penalty
     index = np.full(s.n, -1)
     index[use] = np.arange(n)
@@ -171,7 +197,10 @@ def fit(s: Sample, dense: np.ndarray, y: np.ndarray, use: np.ndarray, least: int
 def score(s: Sample, dense: np.ndarray, m: Model) -> np.ndarray:
     table = np.zeros(1 << BITS)
     table[list(m.weights)] = list(m.weights.values())
-    return m.bias + dense @ m.dense + np.bincount(s.row, weights=s.count * table[s.col], minlength=s.n)
+    words = np.zeros(s.n)
+    for part in s.parts():
+        np.add.at(words, s.row[part], s.count[part] * table[s.col[part]])
+    return m.bias + dense @ m.dense + words
 
 
 @dataclass
@@ -258,21 +287,36 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Chain:
             for text in batch.column(1).to_pylist():
                 words, dense = tokens(text or "")
                 f = [x for t in sorted(words) for x in word_features(t)]
-                got.append((np.array([x for x, _ in f], "<i4").tobytes(), np.array([k for _, k in f], "i1").tobytes(), dense.tolist()))
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *batch.columns[2:]], names=["doc_id", "features", "kinds", "dense", "quality", "toxic"])
+                own = distinct(np.array([x for x, _ in f], np.int64), np.array([k for _, k in f], np.int64))
+                got.append((*[x.tobytes() for x in own], dense.tolist()))
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *batch.columns[2:]], names=["doc_id", "features", "counts", "kinds", "dense", "quality", "toxic"])
 
     # At most train_rows labels are broadcast and as many documents' features come back: of documents that
     # share an id, the one with the smallest hash of its text.
     texts = docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     texts = texts.join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    got = common.text_batches(texts).mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", kinds="binary", dense="array<double>", quality="double", toxic="double"))
-    rows = got.toArrow().sort_by("doc_id")
-    column = {c: rows.column(c) for c in rows.column_names}
-    s = Sample([np.frombuffer(x.as_py(), "<i4") for x in column["features"]], [np.frombuffer(x.as_py(), "i1") for x in column["kinds"]], np.array(column["dense"].to_pylist(), float).reshape(rows.num_rows, len(DENSE)))
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in column["doc_id"].to_pylist()], int)
-    return fit_chain(s, {"low_quality": 1 - np.array(column["quality"].to_pylist(), float), "toxic": np.array(column["toxic"].to_pylist(), float)}, folds)
+    got = common.text_batches(texts).mapInArrow(extract, common.schema_with(docs, "doc_id", features="binary", counts="binary", kinds="binary", dense="array<double>", quality="double", toxic="double"))
+    rows = got.toArrow()
+    order = pa.table({"doc_id": rows.column("doc_id"), "at": np.arange(rows.num_rows)}).sort_by("doc_id").column("at").to_numpy()
+    small = rows.drop_columns(["features", "counts", "kinds"]).take(pa.array(order))
+    names, dense = small.column("doc_id").to_pylist(), np.array(small.column("dense").to_pylist(), float).reshape(len(order), len(DENSE))
+    quality, toxic = (np.array(small.column(c).to_pylist(), float) for c in ("quality", "toxic"))
+    # Features stay where Arrow holds them until the sample is made.
+    s = Sample.of_distinct(*[_values(rows.column(c), order, kind) for c, kind in (("features", "<i4"), ("counts", "i1"), ("kinds", "i1"))], dense)
+    del rows, small
+    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in names], int)
+    chain = fit_chain(s, {"low_quality": 1 - quality, "toxic": toxic}, folds)
+    del s
+    common.tidy()  # the driver goes on for as long as the session does
+    return chain
+
+
+def _values(column: pa.ChunkedArray, order: np.ndarray, kind: str) -> list[np.ndarray]:
+    """A binary column's values in the order given, as views of its memory."""
+    views = [np.frombuffer(x.as_buffer(), kind) for chunk in column.chunks for x in chunk]
+    return [views[i] for i in order.tolist()]
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
