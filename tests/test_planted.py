@@ -398,3 +398,12 @@ def test_reservoir_and_terms(spark):
     assert one == two and len(one) == 40 and max(one) > 300
     t = spark.createDataFrame([(["A", "b"],), (None,)], "x array<string>")
     assert {r[0] for r in selection.distinct_terms(t, t).collect()} == {"a", "b"}
+
+
+def test_mining_stores_texts_of_taken_rows_only(spark, monkeypatch):
+    rows = [(f"p{i}", f"a{i}", " ".join(str((i * 7919 + j * 104729) % 99991) for j in range(6)), i / 100, 1 - i / 100, ["mende"] if i < 5 else [], 0.1, 0.5) for i in range(60)]
+    pool = spark.createDataFrame(rows, "platform_post_id string, author_handle string, text string, p_hate double, p_offensive double, lexicon_hits array<string>, menace double, criticism double")
+    stored, plain = [], LB.O.checkpointed
+    monkeypatch.setattr(LB.O, "checkpointed", lambda df: stored.append(df.columns) or plain(df))
+    got = LB.mine_candidates(pool, {"nli_tail": 3, "p_hate_top": 4, "p_offensive_top": 4, "random_control": 4}, cap=6)
+    assert got.count() == 17 and sum("text" in c for c in stored) == 2

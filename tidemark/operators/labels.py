@@ -214,15 +214,19 @@ def mine_candidates(pool: DataFrame, quotas: dict[str, int], cap: int, seed: int
 
     key, shuffled = "platform_post_id", F.xxhash64(F.lit(seed), "platform_post_id")
     tail = F.coalesce((F.col("menace") >= menace) & (F.col("menace") > F.col("criticism")), F.lit(False))
-    strata = [("lexicon", F.size("lexicon_hits") > 0, [F.desc("p_hate")], None), ("nli_tail", tail, [shuffled], "nli_tail"), ("p_hate_top", F.lit(True), [F.desc("p_hate")], "p_hate_top"), ("p_offensive_top", F.lit(True), [F.desc("p_offensive")], "p_offensive_top"), ("random_control", F.lit(True), [shuffled], "random_control")]
-    left, taken = pool, None
-    for rank, (name, condition, order, quota) in enumerate(strata):
-        own = left.where(condition)
-        own = own if quota is None else own.orderBy(*order, key).limit(quotas.get(quota, 0))
-        own = own.withColumn("stratum", F.lit(name)).withColumn("_rank", F.lit(rank))
-        own = O.checkpointed(own)
-        left = left.join(own.select(key), key, "left_anti")
-        taken = own if taken is None else taken.unionByName(own)
+    hit = F.coalesce(F.size("lexicon_hits") > 0, F.lit(False))
+    strata = [("nli_tail", F.col("_tail"), [shuffled]), ("p_hate_top", F.lit(True), [F.desc("p_hate")]), ("p_offensive_top", F.lit(True), [F.desc("p_offensive")]), ("random_control", F.lit(True), [shuffled])]
+    # Only rows that are taken are stored whole: those with a hit, and at last the few that quotas let in.
+    taken = O.checkpointed(pool.where(hit).withColumn("stratum", F.lit("lexicon")).withColumn("_rank", F.lit(0)))
+    left = pool.where(~hit).select(key, "p_hate", "p_offensive", tail.alias("_tail")).join(taken.select(key), key, "left_anti")
+    left, few = O.checkpointed(left), None
+    for rank, (name, condition, order) in enumerate(strata, 1):
+        own = left if few is None else left.join(F.broadcast(few.select(key)), key, "left_anti")
+        own = own.where(condition).orderBy(*order, key).limit(quotas.get(name, 0))
+        own = O.checkpointed(own.select(key, F.lit(name).alias("stratum"), F.lit(rank).alias("_rank")))
+        few = own if few is None else few.unionByName(own)
+    rest = pool.join(F.broadcast(few.select(key)), key, "left_semi").join(F.broadcast(few), key)
+    taken = O.checkpointed(taken.unionByName(rest))
     groups = neardup.clusters(taken, key, "text").withColumnRenamed("cluster", "_cluster")
     best = selection.capped(taken.join(groups, key), "_cluster", 1, "_rank", F.desc("p_hate"), key)
     return selection.capped(best, "author_handle", cap, "_rank", F.desc("p_hate"), key).drop("_rank", "_cluster")
